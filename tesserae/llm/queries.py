@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import sharding
+from tesserae.llm import langid, quality, sharding
 from tesserae.llm.common import table
 
 SHARDS = 24
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_all(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding,)}
+    return {f.__name__: f for f in (op1_quality, op3_langid, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
