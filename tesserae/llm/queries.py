@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import langid, quality, sharding
+from tesserae.llm import langid, quality, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
+PIECES = os.environ.get("TESSERAE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +22,20 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_all(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.digest(table(spark, sf_dir, "documents"), spiece.load(PIECES))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), wordpiece.load(PIECES))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_langid, op7_sharding)}
+    return {f.__name__: f for f in (op1_quality, op3_langid, op5_sentencepiece, op6_token_counts, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
