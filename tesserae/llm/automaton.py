@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,8 +13,36 @@ CELLS = 1 << 21
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+class IntMap:
+    """int64 keys (0 or more) to values in an open-addressing table, looked up for many keys at once."""
+
+    def __init__(self, items: dict[int, int]):
+        bits = max(4, int(2 * len(items) + 1).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        for key, to in items.items():
+            h = (key * int(_MULT) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+            while self._keys[h] >= 0:
+                h = (h + 1) & self._mask
+            self._keys[h], self._to[h] = key, to
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        h = ((key.astype(np.uint64) * _MULT) >> self._shift).astype(np.int64)
+        at = self._keys[h]
+        out = np.where(at == key, self._to[h], -1)
+        open_ = np.flatnonzero((at != key) & (at >= 0))
+        while len(open_):
+            h[open_] = (h[open_] + 1) & self._mask
+            at = self._keys[h[open_]]
+            hit = at == key[open_]
+            out[open_[hit]] = self._to[h[open_[hit]]]
+            open_ = open_[~hit & (at >= 0)]
+        return out
+
+
 class Trie:
-    """goto edges in an open-addressing table; node 0 is the root. parent, char and depth by node; end: index of the string that ends there, or -1."""
+    """Node 0 is the root. parent, char and depth by node; end: index of the string that ends there, or -1."""
 
     def __init__(self, strings: Iterable[str]):
         edges: dict[int, int] = {}
@@ -33,29 +60,11 @@ class Trie:
         self.edges = edges
         self.parent, self.char, self.depth, self.end = (np.array(x, np.int64) for x in (parent, char, depth, end))
         self.order = np.argsort(self.depth, kind="stable")[1:].tolist()
-        bits = max(4, int(2 * len(edges) + 1).bit_length())
-        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
-        self._keys, self._to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
-        for key, to in edges.items():
-            h = (key * int(_MULT) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
-            while self._keys[h] >= 0:
-                h = (h + 1) & self._mask
-            self._keys[h], self._to[h] = key, to
+        self._map = IntMap(edges)
 
     def goto(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The child of each node by its character, or -1."""
-        key = (node << 21) | char
-        h = ((key.astype(np.uint64) * _MULT) >> self._shift).astype(np.int64)
-        at = self._keys[h]
-        out = np.where(at == key, self._to[h], -1)
-        open_ = np.flatnonzero((at != key) & (at >= 0))
-        while len(open_):
-            h[open_] = (h[open_] + 1) & self._mask
-            at = self._keys[h[open_]]
-            hit = at == key[open_]
-            out[open_[hit]] = self._to[h[open_[hit]]]
-            open_ = open_[~hit & (at >= 0)]
-        return out
+        return self._map.get((node << 21) | char)
 
     def suffix_links(self) -> tuple[np.ndarray, np.ndarray]:
         """fail: the node of the longest proper suffix that is in the trie; out: the nearest node by failure links at which a string ends, itself not counted (0: none)."""

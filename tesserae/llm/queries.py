@@ -23,7 +23,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spiece.digest(table(spark, sf_dir, "documents"), spiece.load(PIECES))
+    return spiece.digest(table(spark, sf_dir, "documents"), spiece.Segmenter(spiece.load(PIECES)))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
-The segmentation of a text is the one whose piece scores have the largest sum. The automaton reads each character once; at
-each position the output links give every piece that ends there, longest first, and each relaxes the best score there. Of
-equal sums the one found first stays. A character that is no piece costs the smallest score less 10 and is written as the
-pieces of its UTF-8 bytes (or as the unknown piece, if the model has no byte pieces).
+The automaton reads each character once; at each position the output links give every piece that ends there, longest first,
+and each is relaxed from the best path that ends where the piece starts. What is relaxed depends on the model:
+
+- unigram: the sum of piece scores; of equal sums the one found first stays;
+- BPE: a step from one piece to the next is open (score 0) if the merges would leave just these two pieces on either side of
+  the cut, and closed (minus infinity) otherwise. One piece at each position has an open path, and the path to the end is what the
+  merges give. The largest sum of a BPE model's scores would be another segmentation, since its scores only rank merges.
+
+A character that is no piece is written as the pieces of its UTF-8 bytes (or as the unknown piece, if the model has no byte
+pieces); in a unigram model it costs the smallest score less 10.
 
 Blanks become U+2581 and one is put before a text, if the model says so; other characters stay as they are (models with a
 character map are refused). No piece crosses from a character into a following blank or into or out of a line feed (checked
@@ -12,14 +18,14 @@ when a model is loaded), so texts are cut there into units, and each distinct un
 Decoding joins the pieces, turns U+2581 into blanks and drops the first. decode(encode(x)) is x with U+2581 read as a blank.
 
 Defined cases: a null or empty text has no ids, and null or empty ids decode to an empty text; rows keep their number and
-order; ids outside the vocabulary decode to nothing, as control pieces do; columns other than those named are not read.
+order; ids outside the vocabulary decode to nothing, as control pieces do; other columns pass through as they are.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as T
-from tesserae.llm.automaton import LONGEST, Trie, batches, matrix
+from tesserae.llm.automaton import LONGEST, IntMap, Trie, batches, matrix
 
 UNKNOWN_COST = 10.0
 #: What an executor is sent is bounded by the number of pieces.
@@ -43,6 +49,7 @@ class Pieces:
     scores: tuple[float, ...]
     kinds: tuple[int, ...]
     prefix: bool = True
+    bpe: bool = False
 
     def __post_init__(self):
         if len(self.pieces) > MAX_PIECES:
@@ -62,19 +69,92 @@ def load(path: str) -> Pieces:
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
         raise ValueError("only models without a character map and without white-space removal are supported")
     p = model.pieces
-    return Pieces(tuple(x.piece.replace("▁", " ") for x in p), tuple(x.score for x in p), tuple(x.type for x in p), norm.add_dummy_prefix)
+    return Pieces(tuple(x.piece.replace("▁", " ") for x in p), tuple(x.score for x in p), tuple(x.type for x in p), norm.add_dummy_prefix, model.trainer_spec.model_type == 2)
+
+
+class Merges:
+    """The merges of a BPE model. Symbols: single characters first, then longer pieces, those that merge earlier first."""
+
+    def __init__(self, model: Pieces):
+        own = {p: k for k, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind in (1, 4)}
+        chars = sorted({c for p in own for c in p})
+        self.strings = chars + sorted((p for p in own if len(p) > 1), key=lambda p: (-model.scores[own[p]], own[p]))
+        self.symbol = {x: k for k, x in enumerate(self.strings)}
+        self.ids = [own.get(x, -1) for x in self.strings]
+        self.rank = [0.0] * len(chars) + [-model.scores[own[x]] for x in self.strings[len(chars) :]]
+        left, right, made = list(range(len(self.strings))), list(range(len(self.strings))), {}
+        self.reached = [True] * len(self.strings)
+        for k in range(len(chars), len(self.strings)):
+            parts, last = self.merge(self.strings[k])
+            self.reached[k] = len(parts) == 1
+            if self.reached[k]:
+                left[k], right[k] = self.symbol[last[0]], self.symbol[last[1]]
+                made[left[k] << 21 | right[k]] = k
+        self.left, self.right, self.made = np.array(left, np.int64), np.array(right, np.int64), IntMap(made)
+        self.pairs = made
+
+    def merge(self, unit: str) -> tuple[list[str], tuple[str, str]]:
+        """Merges as the model does: always the pair with the best score, of equal ones the leftmost. Also the last pair."""
+        parts: list[str | None] = list(unit)
+        before, after, last = list(range(-1, len(unit) - 1)), [*range(1, len(unit)), -1], ("", "")
+        pair = lambda a, b: (self.rank[k], a, parts[a] + parts[b], b) if (k := self.symbol.get(parts[a] + parts[b])) is not None else None
+        heap = [x for a in range(len(unit) - 1) if (x := pair(a, a + 1))]
+        heapify(heap)
+        while heap:
+            _, a, both, b = heappop(heap)
+            if parts[a] is None or after[a] != b or parts[a] + parts[b] != both:
+                continue
+            last = parts[a], parts[b]
+            parts[a], parts[b], after[a] = both, None, after[b]
+            if after[b] >= 0:
+                before[after[b]] = a
+            for c, d in ((before[a], a), (a, after[a])):
+                if c >= 0 and d >= 0 and (x := pair(c, d)):
+                    heappush(heap, x)
+        return [p for p in parts if p is not None], last
+
+    def open(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether the merges leave these two symbols side by side (-1: a character that is in no piece, which nothing merges with).
+
+        Merges are undone from the later one on. At each stage a pair across the cut that would have merged before the
+        merge just undone shows that the cut would not have stayed.
+        """
+        out = np.ones(len(one), bool)
+        rows = np.flatnonzero((one >= 0) & (two >= 0))
+        a, b = one[rows], two[rows]
+        limit = np.full(len(rows), 1 << 40)
+        while len(rows):
+            across = self.made.get((a << 21) | b)
+            shut = (across >= 0) & (across < limit)
+            out[rows[shut]] = False
+            whole_a, whole_b = self.left[a] == a, self.left[b] == b
+            go = ~shut & ~(whole_a & whole_b)
+            first = go & ((a > b) & ~whole_a | whole_b)
+            second = go & ~first
+            limit = np.where(first, a, np.where(second, b + 1, limit))
+            a, b = np.where(first, self.right[a], a), np.where(second, self.left[b], b)
+            rows, a, b, limit = rows[go], a[go], b[go], limit[go]
+        return out
 
 
 class Segmenter:
     def __init__(self, model: Pieces):
         self.model = model
-        self.ids = [k for k, kind in enumerate(model.kinds) if kind in (1, 4)]
-        self.trie = Trie([model.pieces[k] for k in self.ids])
+        self.merges = Merges(model) if model.bpe else None
+        if self.merges:
+            own = [k for k, ok in enumerate(self.merges.reached) if ok]
+            self.trie = Trie([self.merges.strings[k] for k in own])
+            self.symbol_at = np.array([own[e] if e >= 0 else -1 for e in self.trie.end.tolist()], np.int64)
+            ids = np.array([*self.merges.ids, -1], np.int64)
+            self.id_at = ids[self.symbol_at]
+        else:
+            own = [k for k, kind in enumerate(model.kinds) if kind in (1, 4)]
+            self.trie = Trie([model.pieces[k] for k in own])
+            self.id_at = np.array([own[e] if e >= 0 else -1 for e in self.trie.end.tolist()], np.int64)
+            score = np.array(model.scores, np.float64)
+            self.score_at = np.where(self.id_at >= 0, score[self.id_at], -np.inf)
+            self.unknown = (min(score[own]) if own else 0.0) - UNKNOWN_COST
         self.fail, self.out = self.trie.suffix_links()
-        self.id_at = np.array([self.ids[e] if e >= 0 else -1 for e in self.trie.end.tolist()], np.int64)
-        score = np.array(model.scores, np.float64)
-        self.score_at = np.where(self.id_at >= 0, score[self.id_at], -np.inf)
-        self.unknown = (min(score[self.ids]) if self.ids else 0.0) - UNKNOWN_COST
         self.byte_ids = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == 6}
         self.unk_id = next((k for k, kind in enumerate(model.kinds) if kind == 2), 0)
         raw = [b"" if kind in (2, 3, 5) else bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() for p, kind in zip(model.pieces, model.kinds, strict=True)]
@@ -86,14 +166,20 @@ class Segmenter:
         return [self.byte_ids.get(b, self.unk_id) for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unk_id]
 
     def one(self, unit: str) -> list[int]:
-        """The ids of one unit."""
+        """The ids of one unit, read character by character."""
+        if self.merges:
+            out: list[int] = []
+            for part in self.merges.merge(unit)[0]:
+                k = self.merges.ids[self.merges.symbol[part]] if part in self.merges.symbol else -1
+                out += [k] if k >= 0 else self._spell(part)
+            return out
         edges, n, node = self.trie.edges, len(unit), 0
         best, back = [0.0] + [-np.inf] * n, [(1, -1)] * (n + 1)
         for i, c in enumerate(map(ord, unit), 1):
             while node and (node << 21 | c) not in edges:
                 node = int(self.fail[node])
             node = edges.get(node << 21 | c, 0)
-            o, single = node if self.id_at[node] >= 0 else int(self.out[node]), False
+            o, single = node if self.trie.end[node] >= 0 else int(self.out[node]), False
             while o:
                 length = int(self.trie.depth[o])
                 single |= length == 1
@@ -112,10 +198,13 @@ class Segmenter:
     def many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all units one after the other, and how many each has."""
         lengths = np.array([len(x) for x in units], np.int64)
+        alone = lengths > LONGEST
+        if self.merges:  # equal scores of runs of blanks merge from the left, which a rank by symbol does not tell
+            alone |= np.array([x[:2] == "  " for x in units], bool)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own in batches(lengths):
+        for own in batches(np.where(alone, 0, lengths)):
             parts.append(self._walk([units[k] for k in own.tolist()], lengths[own], own))
-        for k in np.flatnonzero(lengths > LONGEST).tolist():
+        for k in np.flatnonzero(alone).tolist():
             ids = np.array(self.one(units[k]), np.int64)
             parts.append((np.full(len(ids), k), np.arange(len(ids)), ids))
         if not parts:
@@ -142,22 +231,8 @@ class Segmenter:
                 to[stuck] = self.trie.goto(s[stuck], c[stuck])
                 stuck = stuck[to[stuck] < 0]
             node[a:] = s = np.maximum(to, 0)
-            o = np.where(self.id_at[s] >= 0, s, self.out[s])
-            top, bp, single = best[i, a:], back[i, a:], np.zeros(n - a, bool)
-            row = np.flatnonzero(o)
-            while len(row):
-                v = o[row]
-                length = self.trie.depth[v]
-                single[row[length == 1]] = True
-                now = best[i - length, a + row] + self.score_at[v]
-                better = now > top[row]
-                top[row[better]], bp[row[better]] = now[better], v[better]
-                o[row] = v = self.out[v]
-                row = row[v > 0]
-            row = np.flatnonzero(~single)
-            now = best[i - 1, a + row] + self.unknown
-            better = now > top[row]
-            top[row[better]], bp[row[better]] = now[better], 0
+            o = np.where(self.trie.end[s] >= 0, s, self.out[s])
+            (self._relax_open if self.merges else self._relax_sum)(i, a, o, best, back)
         rows, at, found = np.arange(n), lengths.copy(), []
         while len(rows):
             v = back[at[rows], rows]
@@ -165,13 +240,47 @@ class Segmenter:
             at[rows] -= np.maximum(self.trie.depth[v], 1)
             rows = rows[at[rows] > 0]
         row, place, v = (np.concatenate(x) for x in zip(*found, strict=True))
-        known = v > 0
+        known = self.id_at[v] >= 0
         out = [(own[row[known]], place[known] * 4, self.id_at[v[known]])]
         for r, p in zip(row[~known].tolist(), place[~known].tolist(), strict=True):
             ids = self._spell(units[r][p - 1])
             out.append((np.full(len(ids), own[r]), p * 4 + np.arange(len(ids)), np.array(ids)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _relax_sum(self, i: int, a: int, o: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+        """Position i of the units from a on: the pieces that end there, by the sum of scores."""
+        top, bp, single = best[i, a:], back[i, a:], np.zeros(len(o), bool)
+        row = np.flatnonzero(o)
+        while len(row):
+            v = o[row]
+            length = self.trie.depth[v]
+            single[row[length == 1]] = True
+            now = best[i - length, a + row] + self.score_at[v]
+            better = now > top[row]
+            top[row[better]], bp[row[better]] = now[better], v[better]
+            o[row] = v = self.out[v]
+            row = row[v > 0]
+        row = np.flatnonzero(~single)
+        now = best[i - 1, a + row] + self.unknown
+        better = now > top[row]
+        top[row[better]], bp[row[better]] = now[better], 0
+
+    def _relax_open(self, i: int, a: int, o: np.ndarray, best: np.ndarray, back: np.ndarray) -> None:
+        """The same by open steps; position 0 is open to every piece."""
+        top, bp = best[i, a:], back[i, a:]
+        row = np.flatnonzero(o)
+        while len(row):
+            v = o[row]
+            start = i - self.trie.depth[v]
+            before = back[start, a + row]
+            one = np.where((start > 0) & (before > 0), self.symbol_at[before], -1)
+            ok = (best[start, a + row] == 0) & self.merges.open(one, self.symbol_at[v])
+            top[row[ok]], bp[row[ok]] = 0, v[ok]
+            o[row] = v = self.out[v]
+            row = row[~ok & (v > 0)]
+        row = np.flatnonzero(top < 0)
+        top[row], bp[row] = best[i - 1, a + row], 0
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after the other, and how many each has."""
         texts = pc.replace_substring(T.plain(texts), "▁", " ")
@@ -207,12 +316,7 @@ class Segmenter:
         return out
 
 
-@lru_cache(maxsize=2)
-def segmenter(model: Pieces) -> Segmenter:
-    return Segmenter(model)
-
-
-def encode(docs: DataFrame, model: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: Segmenter, text: str = "text", out: str = "ids") -> DataFrame:
     """The rows of docs, with the array of ids of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != out]
@@ -220,14 +324,14 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", out: str = "ids")
 
     def run(batches):
         for b in T.slices(batches, text):
-            ids, n = segmenter(shared.value).encode(b.column(text))
+            ids, n = shared.value.encode(b.column(text))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), lists], [*names, out])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, model: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, model: Segmenter, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows, with the text that the ids stand for."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != out]
@@ -240,13 +344,13 @@ def decode(rows: DataFrame, model: Pieces, ids: str = "ids", out: str = "decoded
                 lists = b.column(ids)
                 n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = segmenter(shared.value).decode(flat, n)
+                texts = shared.value.decode(flat, n)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, out])
 
     return rows.select(*names).mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, model: Pieces) -> DataFrame:
+def digest(docs: DataFrame, model: Segmenter) -> DataFrame:
     """doc_id, n_tokens, ids_hash (xxhash64 of the ids), text_hash (of the text, null as empty), decoded_hash (of decode(encode(text))), same."""
     rows = docs.select("doc_id", F.col("text").alias("text"))
     both = decode(encode(rows, model).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "ids"), model)
