@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import langid, quality, sharding, spiece, wordpiece
+from tesserae.llm import hmm, langid, quality, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
@@ -18,6 +18,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_all(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_langid, op5_sentencepiece, op6_token_counts, op7_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op5_sentencepiece, op6_token_counts, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
