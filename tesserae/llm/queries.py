@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import hmm, langid, quality, sharding, spiece, wordpiece
+from tesserae.llm import hmm, langid, neardup, quality, secrets, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
@@ -26,6 +26,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_all(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.digest(table(spark, sf_dir, "documents"), spiece.Segmenter(spiece.load(PIECES)))
 
@@ -38,8 +42,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op5_sentencepiece, op6_token_counts, op7_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op4_secrets, op5_sentencepiece, op6_token_counts, op7_sharding, op8_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
