@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, hmm, langid, neardup, quality, secrets, sharding, spiece, wordpiece
+from tesserae.llm import ann, decontam, hmm, langid, neardup, quality, secrets, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
@@ -50,8 +50,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op4_secrets, op5_sentencepiece, op6_token_counts, op7_sharding, op8_neardup, op9_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op4_secrets, op5_sentencepiece, op6_token_counts, op7_sharding, op8_neardup, op9_ann, op10_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,3 +66,43 @@ def mix(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(mult)
     return x ^ (x >> np.uint64(31))
+
+
+def byte_table(separators: bytes) -> np.ndarray:
+    """For word_hashes: 0 for a separator, else a number; A-Z count as a-z."""
+    out = np.arange(1, 257, dtype=np.uint64)
+    out[65:91] = out[97:123]
+    out[list(separators)] = 0
+    return out
+
+
+_ROOT = 0xD1342543DE82EF95
+_UNROOT = pow(_ROOT, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(root: int, n: int) -> np.ndarray:
+    """1, root, root^2, ... modulo 2^64."""
+    if root not in _powers or len(_powers[root]) < n:
+        x = np.full(max(n, 1 << 20), root, np.uint64)
+        x[0] = 1
+        _powers[root] = np.cumprod(x, dtype=np.uint64)
+    return _powers[root][:n]
+
+
+def word_hashes(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (run of bytes that are no separators) of the texts, and how many words each text has.
+
+    Prefix sums of byte * root^place give every word's polynomial at once. Keep slices near 1 MB, which the cache holds.
+    """
+    raw, at = data(texts)
+    value = table[raw]
+    word = value > 0
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    start = np.flatnonzero(word & (~np.append(False, word[:-1]) | first[:-1])) if len(raw) else np.zeros(0, np.int64)
+    end = np.flatnonzero(word & (~np.append(word[1:], False) | first[1:])) + 1 if len(raw) else start
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value * _power(_ROOT, len(raw)), out=total[1:])
+    h = (total[end] - total[start]) * _power(_UNROOT, len(raw))[start]
+    return mix(h + mix((end - start).astype(np.uint64))), np.diff(np.searchsorted(start, at))
