@@ -228,3 +228,15 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     model = train(rows.where(~F.col("held_out")), labels)
     out = scored(rows, model)
     return out.select(F.col("key").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score is at least the threshold, with all columns; learned from as in classify()."""
+    rows = with_features(docs).where(F.coalesce(fold("key", folds) != 0, F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
+
+    def run(batches):
+        for b in T.slices(batches, "text"):
+            yield b.filter(pa.array(shared.value.score(features(b.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
