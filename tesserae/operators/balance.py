@@ -63,7 +63,7 @@ def slots(selected: DataFrame, needed: DataFrame, key: str, label: str = "label"
     """label, slot, key: a source for each augmented sample, drawn with replacement by hash from the selected rows of its class."""
     ranked = hash_rank(selected, label, key, seed, "__rk", "__n")
     sizes = selected.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    want = needed.where("aug_needed > 0").join(sizes, "label")
+    want = needed.where("aug_needed > 0").select("label", "aug_needed").join(sizes, "label")
     drawn = want.select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("aug_needed"))).alias("slot"), "n")
     draw = F.conv(F.substring(shuffled(seed, F.concat_ws("-", "label", "slot")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
     return drawn.withColumn("__draw", draw).join(ranked.select(F.col(label).alias("__l"), F.col(key), "__rk"), (F.col("label") == F.col("__l")) & (F.col("__draw") == F.col("__rk"))).select("label", "slot", key)

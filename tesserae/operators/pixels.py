@@ -55,7 +55,7 @@ def histogram(images: DataFrame, bins: int = 16, low: float = 0, high: float = 2
 
 def moments(images: DataFrame) -> DataFrame:
     """id, mean, sd (population), skew (0 if the deviation is 1e-6 at most)."""
-    x = images.select("id", F.explode("px").cast("double").alias("x"))
+    x = images.select("id", F.explode("px").alias("x")).withColumn("x", F.col("x").cast("double"))
     m = x.groupBy("id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skew"))
     return m.select("id", "mean", "sd", F.when(F.col("sd") <= 1e-6, F.lit(0.0)).otherwise(F.coalesce("skew", F.lit(0.0))).alias("skew"))
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans import images, tabular
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return tabular.QUERIES | images.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return tabular.SQL | images.SQL
