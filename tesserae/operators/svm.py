@@ -55,14 +55,14 @@ def train(rows: DataFrame, weights: DataFrame | None = None, cost: float = 1.0,
     df = df.join(F.broadcast(weights.select(F.col("label").alias("__l"), "weight")), "__l") if weights is not None else df.withColumn("weight", F.lit(1.0))
     n = df.count()
     one = LinearSVC(featuresCol="x", weightCol="weight", maxIter=iterations, regParam=1 / (cost * max(n, 1)))
-    return OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", rawPredictionCol="raw", predictionCol="predicted").setRawPredictionCol("raw").fit(df.select("label", "x", "weight"))
+    return OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted").fit(df.select("label", "x", "weight"))
 
 
 def predict(model: OneVsRestModel, rows: DataFrame, key: str = "id", vector: str = "features") -> DataFrame:
     """id, predicted, scores (decision value of each class)."""
     df = rows.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
     out = model.transform(df)
-    return out.select("id", F.col("predicted").cast("int").alias("predicted"), vector_to_array("raw").alias("scores"))
+    return out.select("id", F.col("predicted").cast("int").alias("predicted"), vector_to_array("rawPrediction").alias("scores"))
 
 
 def calibrate(scored: DataFrame) -> tuple[float, float]:
