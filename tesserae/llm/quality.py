@@ -151,7 +151,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, lea
     """Cyclic boosting over features, then over the n_pairs pairs whose tables reduce the loss most."""
     none = tuple(np.zeros(0, np.float32) for _ in FEATURES), tuple(np.zeros(1) for _ in FEATURES)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Additive(float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))), *none, ())
     edges = tuple(np.unique(np.quantile(x[:, f], np.linspace(0, 1, max_bins + 1)[1:-1])).astype(np.float32) for f in range(x.shape[1]))
     start = float(np.log(share / (1 - share)))
