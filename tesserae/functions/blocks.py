@@ -107,7 +107,7 @@ def patterns(gray: np.ndarray, radius: int, points: int = 8) -> np.ndarray:
         fr, fc = dr - r0, dc - c0
         part = lambda a, b: g[radius + 1 + r0 + a : radius + 1 + r0 + a + h, radius + 1 + c0 + b : radius + 1 + c0 + b + w]  # noqa: B023, E731
         value = sum(part(a, b) * wt for a, b, wt in ((0, 0, (1 - fr) * (1 - fc)), (0, 1, (1 - fr) * fc), (1, 0, fr * (1 - fc)), (1, 1, fr * fc)) if wt)
-        bits.append(value >= gray)
+        bits.append(value + 1e-9 >= gray)
     b = np.array(bits)
     return np.where((b != np.roll(b, -1, 0)).sum(0) <= 2, b.sum(0), points + 1)
 

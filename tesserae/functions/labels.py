@@ -11,9 +11,15 @@ CODES = {"glass": 0, "paper": 1, "cardboard": 2, "plastic": 3, "metal": 4, "tras
 UNKNOWN = "unknown"
 
 
-def label_of(path: Column) -> Column:
-    """The name of the folder that holds the file; percent escapes of file: paths are resolved."""
-    return F.element_at(F.split(F.when(path.startswith("file:"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path), "/"), -2)
+def unescaped(path: Column) -> Column:
+    """Percent escapes of a URI resolved; other characters, `+` too, stay."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def label_of(path: Column, escaped: bool = True) -> Column:
+    """The name of the folder that holds the file; percent escapes of file: paths are resolved, unless they are none."""
+    plain = F.when(path.startswith("file:"), unescaped(path)).otherwise(path) if escaped else path
+    return F.element_at(F.split(plain, "/"), -2)
 
 
 def suffix_of(path: Column) -> Column:

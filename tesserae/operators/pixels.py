@@ -112,7 +112,7 @@ def local_patterns(images: DataFrame, radius: int = 1, points: int = 8) -> DataF
                 r, c = F.col("r") + (r0 + a), F.col("c") + (c0 + b)
                 inside = (r >= 0) & (r < F.col("height")) & (c >= 0) & (c < F.col("width"))
                 value = value + F.when(inside, _at(r, c) * w).otherwise(F.lit(0.0))
-        bits.append((value >= _at(F.col("r"), F.col("c"))).cast("int"))
+        bits.append((value + 1e-9 >= _at(F.col("r"), F.col("c"))).cast("int"))
     seen = _places(images).select("id", F.array(*bits).alias("b"))
     ones = F.aggregate("b", F.lit(0), lambda s, x: s + x)
     turns = F.aggregate(F.zip_with("b", F.concat(F.slice("b", 2, points - 1), F.slice("b", 1, 1)), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
@@ -180,6 +180,6 @@ def turned(images: DataFrame, degrees: Column) -> DataFrame:
     """Turned by multiples of 90 degrees clockwise (a sensor's orientation); other angles leave the image as it is."""
     h, w, d = F.col("height"), F.col("width"), F.pmod(degrees, F.lit(360))
     i_of = lambda i: F.when(d == 90, (h - 1 - i % h) * w + F.floor(i / h)).when(d == 180, h * w - 1 - i).when(d == 270, (i % h) * w + (w - 1 - F.floor(i / h))).otherwise(i)
-    px = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.get("px", i_of(i).cast("int")))
+    new = images.withColumn("px", F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.get("px", i_of(i).cast("int"))))
     swap = d.isin(90, 270)
-    return images.select(*(c for c in images.columns if c not in ("px", "height", "width")), F.when(swap, w).otherwise(h).alias("height"), F.when(swap, h).otherwise(w).alias("width"), px.alias("px"))
+    return new.withColumns({"height": F.when(swap, w).otherwise(h), "width": F.when(swap, h).otherwise(w)})

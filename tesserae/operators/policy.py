@@ -13,7 +13,7 @@ CERTAINTY, DISTANCE = 0.60, 0.80
 def by_distance(predicted: Column, distance: Column, most: float = DISTANCE) -> tuple[Column, Column]:
     """Label and confidence of a single nearest neighbour: known up to `most`, confidence falling to 0 there."""
     near = distance <= most
-    return F.when(near, predicted.cast("string")).otherwise(UNKNOWN), F.when(near, F.greatest(F.lit(0.0), 1 - distance / most)).otherwise(F.lit(0.0))
+    return F.when(near, predicted.cast("string")).otherwise(UNKNOWN), F.when(near, F.greatest(F.lit(0.0), 1 - F.try_divide(distance, F.lit(most)))).otherwise(F.lit(0.0))
 
 
 def by_probability(predicted: Column, top: Column, least: float = CERTAINTY) -> tuple[Column, Column]:

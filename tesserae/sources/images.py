@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.labels import is_image, label_of, suffix_of
+from tesserae.functions.labels import is_image, label_of, suffix_of, unescaped
 
 
 def _plain_path(path):
@@ -26,7 +26,7 @@ def listing(spark: SparkSession, root: str, suffixes: bool = True) -> DataFrame:
         f = files.next()
         rows.append((f.getPath().toString(), f.getLen()))
     df = spark.createDataFrame(rows, "path string, length long").withColumn("path", _plain_path(F.col("path")))
-    df = df.withColumns({"label": label_of(F.col("path")), "suffix": suffix_of(F.col("path"))})
+    df = df.withColumns({"label": label_of(F.col("path"), escaped=False), "suffix": suffix_of(F.col("path"))})
     return df.where(is_image(F.col("path"))) if suffixes else df
 
 
@@ -57,10 +57,10 @@ def decoded(raw: DataFrame) -> DataFrame:
 
         return pd.Series([one(x, c) if x is not None and c in (1, 3, 4) else None for x, c in zip(data, channels, strict=True)])
 
-    path = _plain_path(F.col("image.origin"))
+    path = _plain_path(unescaped(F.col("image.origin")))  # the source gives URIs
     ok = F.col("image.height") > 0
     return raw.select(
-        path.alias("path"), label_of(path).alias("label"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, F.col("image.width")).alias("width"),
+        path.alias("path"), label_of(path, escaped=False).alias("label"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, F.col("image.width")).alias("width"),
         to_rgb(F.when(ok, F.col("image.data")), "image.nChannels").alias("rgb"),
     )
 
