@@ -11,7 +11,8 @@ meet if they agree in any two half-keys. At a similarity of 0.75 a half-key agre
 3. In each table bucket, every class is checked against the most connected class of the bucket (a star, not all pairs), by the
    full sets of both texts.
 4. Links make components. Then pairs in a bucket that are still in different components, and not checked yet, are checked as
-   well, so that no link is lost because a star's centre is not linked with both ends.
+   well, so that no link is lost because a star's centre is not linked with both ends. Pairs that cannot be linked by what the two
+   have in common with other components at all are left out first.
 5. Components are labelled by alternating large and small stars, each round a table in the shared folder.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and are linked with nothing; repeated rows and
@@ -35,6 +36,9 @@ SHARE, PART = 100, 75
 _RANDOM = np.random.default_rng(5)
 _LOW, _HIGH = (_RANDOM.integers(0, 1 << 32, HALVES * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
 _SALT = _RANDOM.integers(0, 1 << 63, HALVES, dtype=np.uint64)
+#: Numbers of 64 bits in a class's sketch, and how many bits may differ between linked classes.
+WORDS, FAR = 16, 181
+_BITS = _RANDOM.integers(0, 1 << 32, (2, WORDS * 64), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _POWERS = [pow(0x9E3779B97F4A7C15, SIZE - 1 - k, 1 << 64) for k in range(SIZE)]
 
 
@@ -149,14 +153,66 @@ def _stars(tables: DataFrame) -> DataFrame:
     return tables.join(centre, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct()
 
 
-def _rest(tables: DataFrame, sizes: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components, could be linked by their sizes, and are not checked yet."""
+def _shared(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, shared: how many of a class's shingles occur in another component as well. nodes: node, label."""
+
+    def run(batches):
+        for b in _pieces(batches):
+            value, size = shingle_sets(b.column("text"))
+            at = pa.array(np.repeat(np.arange(b.num_rows), size))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("of").take(at), pa.array(value.view(np.int64))], ["id", "of", "shingle"])
+
+    rows = texts.join(nodes, "node").select(F.xxhash64("node").alias("id"), F.xxhash64("label").alias("of"), "text")
+    shingles = keep(rows.mapInArrow(run, "id long, of long, shingle long"))
+    across = shingles.groupBy("shingle").agg(F.min("of").alias("l"), F.max("of").alias("m")).where("l <> m").select("shingle")
+    counts = shingles.select("id", "shingle").join(across, "shingle").groupBy("id").agg(F.count("*").alias("shared"))
+    return nodes.select("node", F.xxhash64("node").alias("id")).join(counts, "id").select("node", "shared")
+
+
+def bits(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """WORDS numbers of 64 bits for each set that is not empty; a bit of two sets differs with probability (1 - similarity) / 2."""
+    begin = (np.cumsum(size) - size)[size > 0]
+    low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(begin), WORDS * 64), np.uint8)
+    for k in range(out.shape[1] if len(begin) else 0):
+        least = np.minimum.reduceat(low * _BITS[0, k] + high * _BITS[1, k], begin)
+        out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, w0 to w15: the bits of a class's set."""
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def run(batches):
+        for b in _pieces(batches):
+            words = bits(*shingle_sets(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS))], ["node", *names])
+
+    return texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(run, "node binary, " + ", ".join(f"{x} long" for x in names))
+
+
+def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a bucket that are in different components, could be linked, and are not checked yet.
+
+    Two bounds leave out pairs before they are written. What two classes of different components have in common is at most what
+    each shares with other components at all. And of 1,024 bits, at most FAR differ for linked classes (128 +- 10.6 at 0.75, so
+    a link fails this with 3e-7). A pair is written in the bucket of the first two half-keys that it shares, so once.
+    """
     named = tables.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-    left = named.join(mixed, "key").join(sizes, "node")
-    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "label", "n_shingles")))
-    low, high = F.least("n_shingles", "n_shingles_"), F.greatest("n_shingles", "n_shingles_")
-    pairs = left.join(right, "key").where((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & (SHARE * low >= PART * high))
+    left = keep(named.join(mixed, "key"))
+    bounds = _shared(left.select("node", "label").distinct(), texts).join(classes.select("node", "n_shingles", F.sort_array("halves").alias("halves")), "node")
+    alone = SHARE * F.col("shared") >= PART * F.col("n_shingles")  # else no partner of any size is similar enough
+    bounds = keep(bounds.where(alone))
+    left = keep(left.join(bounds.join(_sketched(bounds, texts), "node"), "node"))
+    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in left.columns if c != "key"))
+    most = F.least("shared", "shared_")
+    could = SHARE * most >= PART * (F.col("n_shingles") + F.col("n_shingles_") - most)
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}_"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_"))))
+    common = F.array_intersect("halves", "halves_")
+    once = F.col("key") == F.xxhash64(common[0], common[1])
+    pairs = left.join(right, "key").where((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & could & (differ <= FAR) & once)
     return pairs.select(*_pair(F.col("node"), F.col("node_"))).distinct().join(checked, ["a", "b"], "left_anti")
 
 
@@ -211,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = keep(_stars(tables))
     links = keep(confirm(stars, texts))
     labels = components(links)
-    more = keep(confirm(_rest(tables, classes.select("node", "n_shingles"), labels, stars), texts))
+    more = keep(confirm(_rest(tables, classes, labels, stars, texts), texts))
     labels = keep(components(links.union(more)))
     first = classes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
     smallest = first.where("linked").groupBy("label").agg(F.min("first").alias("component_id"))
