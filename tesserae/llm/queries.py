@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, decontam, hmm, langid, neardup, quality, secrets, sharding, spiece, wordpiece
+from tesserae.llm import ann, decontam, hmm, langid, neardup, oracle, quality, secrets, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secrets": oracle.secrets_sql(), "op8_neardup": oracle.neardup_sql()}
