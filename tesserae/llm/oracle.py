@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import neardup, secrets
+from tesserae.llm import neardup, secrets, sharding
 
 
 def _quoted(x: str) -> str:
@@ -44,3 +44,15 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN c ca
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM d JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def sharding_sql(shards: int) -> str:
+    """For equal weights: the largest draw wins, and the first of equal ones."""
+    of = lambda n: f"list_transform(range({n}), lambda k: ('0x' || substring(md5(key || '#' || k), 1, 13))::BIGINT)"
+    best = lambda x: f"(list_position({x}, list_max({x})) - 1)::INT"
+    part = f"('0x' || substring(md5(coalesce(doc_id::VARCHAR, '-') || '|' || size || '|' || text_crc32 || '|key|' || grown_shard), 1, 8))::BIGINT % {sharding.PARTS}"
+    return f"""WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, chr(0)) AS key, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+x AS (SELECT doc_id, len(bytes) + 8 AS size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32, {of(shards)} AS a, {of(shards + 1)} AS b FROM d, tab),
+s AS (SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, {best("a")} AS shard, {best("b")} AS grown_shard FROM x)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {part}, doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM s"""

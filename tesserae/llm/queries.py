@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": oracle.secrets_sql(), "op8_neardup": oracle.neardup_sql()}
+    return {"op4_secrets": oracle.secrets_sql(), "op7_sharding": oracle.sharding_sql(SHARDS), "op8_neardup": oracle.neardup_sql()}

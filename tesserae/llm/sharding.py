@@ -36,6 +36,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return -best["k"]
 
 
+def _part(columns: Sequence[str], parts: int) -> Column:
+    """From md5, so that SQL elsewhere gives the same parts."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % parts).cast("int")
+
+
 def slots(df: DataFrame, shard: str, order: Sequence[str], parts: int = PARTS) -> DataFrame:
     """Adds `slot`, gapless from 0 in each shard, to rows that are told apart by the columns in `order` alone.
 
@@ -43,7 +49,7 @@ def slots(df: DataFrame, shard: str, order: Sequence[str], parts: int = PARTS) -
     the part is a hash of the row; a part starts where the parts before it end.
     """
     keys = [shard, *order]
-    one = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("copies")).withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    one = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("copies")).withColumn("part", _part(order, parts))
     within = Window.partitionBy(shard, "part").orderBy(*order)
     sizes = one.groupBy(shard, "part").agg(F.sum("copies").alias("n"))
     starts = sizes.select(shard, "part", (F.sum("n").over(Window.partitionBy(shard).orderBy("part")) - F.col("n")).alias("start"))
