@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.llm.common import keep
+
 #: Rows of one shard are numbered in so many parts, so that no task holds a whole shard.
 PARTS = 4096
 #: Repeated rows are written out in steps of so many.
@@ -45,11 +47,12 @@ def _part(columns: Sequence[str], parts: int) -> Column:
 def slots(df: DataFrame, shard: str, order: Sequence[str], parts: int = PARTS) -> DataFrame:
     """Adds `slot`, gapless from 0 in each shard, to rows that are told apart by the columns in `order` alone.
 
-    Equal rows are counted before the shuffle and written out again after it. Rows are numbered within (shard, part), where
+    Equal rows are counted before the shuffle and written out again after it; the counted rows are kept in the shared folder, so
+    that the input is read once. Rows are numbered within (shard, part), where
     the part is a hash of the row; a part starts where the parts before it end.
     """
     keys = [shard, *order]
-    one = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("copies")).withColumn("part", _part(order, parts))
+    one = keep(df.select(*keys).groupBy(*keys).agg(F.count("*").alias("copies")).withColumn("part", _part(order, parts)))
     within = Window.partitionBy(shard, "part").orderBy(*order)
     sizes = one.groupBy(shard, "part").agg(F.sum("copies").alias("n"))
     starts = sizes.select(shard, "part", (F.sum("n").over(Window.partitionBy(shard).orderBy("part")) - F.col("n")).alias("start"))
