@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, decontam, hmm, langid, neardup, quality, secrets, sharding, spiece, wordpiece
+from tesserae.llm import ann, decontam, hmm, langid, neardup, oracle, quality, secrets, sharding, spiece, wordpiece
 from tesserae.llm.queries import PIECES
 
 WORDS = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega").split()
@@ -278,6 +279,14 @@ def test_sharding(spark, docs, empty):
     assert sharding.assign_shards(empty, [1.0]).count() == 0
 
 
+def test_sharding_sql_on_odd_rows(spark, docs):
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows()], pa.int64()), "text": pa.array([r[1] for r in rows()], pa.string())}))
+    want = Counter(db.execute(oracle.sharding_sql(24)).fetchall())
+    out = sharding.assign_shards(docs, [1.0] * 24, [1.0] * 25)
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def test_weights_and_repeated_rows(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = Counter(r.shard for r in sharding.assign_shards(df, [1.0, 3.0]).collect())
