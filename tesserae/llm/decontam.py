@@ -1,13 +1,20 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, A-Z as a-z. Every 3-gram of a test item is counted in the whole corpus; an item's seeds are
-the rarest of every 4 successive 3-grams, so each item has seeds however often it was copied, and 6 words of it that were left
-as they are hold one. A document that holds a seed is aligned with
-the item around the places where the item would lie (match 2, mismatch -1, gap -1; local). The document is contaminated if the
-best score is at least THRESHOLD of the score of the whole item, which edited and paraphrased copies reach as well.
+Words are runs of letters and digits, A-Z as a-z. Seeds are pairs of neighbouring words of a test item; in a document, one other
+word may stand between the two. A document that holds enough seeds of an item is aligned with the item around the places where the
+item would lie (match 2, mismatch -1, gap -1; local). The document is contaminated if the best score is at least THRESHOLD of the
+score of the whole item, which edited and paraphrased copies reach as well.
+
+How many seeds are enough: let an alignment of M of an item's L words reach 2tL, t the threshold. Between two successive matches
+there is a seed, or at least one word of the item is lost there (T1 such places), or at least two words are put in (T2). Scores give
+2M - T1 - 2 T2 >= 2tL, and M + T1 <= L; so there are M - 1 - T1 - T2 >= L(4t - 1)/3 - 1 seeds, and all of them lie within 2L(1 - t)
+of the place where the item would start. If this number is D more than one, up to D/2 pairs, the commonest in the corpus, need
+not be seeds, and those that are left are that many fewer. So no pair that reaches the threshold is lost, whatever was edited; items
+of three words, for which the number is 0, have the pair of their outer words as well. Only for thresholds below 1/4 + 3/(4L) the
+number is below 1: then copies without any seed are not found.
 
 Items are broadcast in chunks of at most CHUNK bytes of text; more chunks are more passes, so no item is left out. Counts are
-summed per task before the shuffle, one row for each 3-gram of the chunk at most. Texts are aligned where they are read: they are
+summed per task before the shuffle, one row for each pair of the chunk at most. Texts are aligned where they are read: they are
 never shuffled.
 
 Defined cases: items of fewer than three words, null and empty items have no seeds and match nothing; null and empty documents
@@ -18,7 +25,7 @@ columns are not read, and decontaminate() passes them through.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +34,48 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import text as T
 
-SIZE, RUN, THRESHOLD, CHUNK = 3, 4, 0.5, 8 << 20
+RUN, THRESHOLD, CHUNK = 4, 0.5, 8 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Everything below 128 but digits and letters.
 TABLE = T.byte_table(bytes(k for k in range(128) if not chr(k).isalnum()))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FILTER = 1 << 22
+#: Hits that found() holds at once, unless one document has more.
+_HITS = 1 << 20
 
 
-def _grams(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all 3-grams that start at a word, and the words at which they start."""
-    n = len(h) - SIZE + 1
+def _grams(h: np.ndarray, count: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of words `step` apart in the same text, and the first words of them."""
+    n = len(h) - step
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(SIZE):
-        rolled = rolled * _MULT + h[k : k + n]
     inside = np.ones(n, bool)
     ends = np.cumsum(count)
-    for k in range(1, SIZE):
+    for k in range(1, step + 1):
         cut = ends - k
         inside[cut[(cut >= 0) & (cut < n)]] = False
     at = np.flatnonzero(inside)
-    return T.mix(rolled[at]), at
+    return T.mix(h[at] * _MULT + h[at + step]), at
 
 
 @dataclass(frozen=True)
 class Items:
-    """words: hashes of all items' words; begin, length: each item's run; grams: distinct 3-grams, sorted; of_gram, gram_item, gram_at: where each of them is."""
+    """words: hashes of all items' words; begin, length: each item's run; need, drift: seeds that a copy holds at least, and how far apart
+    the places are at most; grams: distinct pairs, sorted; gram, item, at: where each of them is."""
 
     ids: pa.Array
     words: np.ndarray
     begin: np.ndarray
     length: np.ndarray
+    need: np.ndarray
+    drift: np.ndarray
     grams: np.ndarray
     gram: np.ndarray
     item: np.ndarray
     at: np.ndarray
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in h, number of the 3-gram) of those in h that items have."""
+        """(position in h, number of the pair) of those in h that items have."""
         if not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         seen = np.zeros(_FILTER, bool)
@@ -77,17 +86,22 @@ class Items:
         return maybe[hit], k[hit]
 
 
-def _items(ids: pa.Array, texts: pa.Array) -> Items:
+def _items(ids: pa.Array, texts: pa.Array, threshold: float = THRESHOLD) -> Items:
     h, count = T.word_hashes(T.plain(texts), TABLE)
-    g, at = _grams(h, count)
     begin = np.cumsum(count) - count
-    item = np.searchsorted(np.cumsum(count), at, side="right")
+    of = np.repeat(np.arange(len(count)), count)
+    (g, at), (outer, first) = _grams(h, count), _grams(h, count, 2)
+    three, more = count[of[first]] == 3, count[of[at]] >= 3
+    g, at = np.append(g[more], outer[three]), np.append(at[more], first[three])
+    item = of[at]
     grams, gram = np.unique(g, return_inverse=True)
-    return Items(ids, h, begin, count, grams, gram, item, at - begin[item])
+    need = np.maximum(np.ceil(count * (4 * threshold - 1) / 3 - 1 - 1e-9), 1).astype(np.int64)
+    drift = np.maximum(np.floor(2 * count * (1 - threshold) + 1e-9), 1).astype(np.int64)
+    return Items(ids, h, begin, count, need, drift, grams, gram, item, at - begin[item])
 
 
 def seeds(items: Items, freq: np.ndarray) -> Items:
-    """With the rarest 3-gram of each RUN successive ones alone (all of an item with fewer); of equal counts, the first."""
+    """Without the commonest pairs, as many as half of what each item needs; the rarest of each RUN successive ones stays (of equal counts, the first)."""
     order = np.lexsort((items.at, items.item))
     item, count = items.item[order], freq[items.gram[order]]
     n = len(item)
@@ -101,9 +115,14 @@ def seeds(items: Items, freq: np.ndarray) -> Items:
         at = first[full | short]
         reach = np.minimum(at[:, None] + np.arange(RUN), last[at][:, None])
         own[at + np.minimum(count[reach].argmin(1), last[at] - at)] = True
-    own = order[own]
+    common = np.flatnonzero(~own)
+    common = common[np.lexsort((-count[common], item[common]))]
+    nth = np.arange(len(common)) - np.searchsorted(item[common], item[common])
+    gone = common[nth < (items.need[item[common]] - 1) // 2]
+    need = items.need - np.bincount(item[gone], minlength=len(items.need))
+    own = np.delete(order, gone)
     grams, gram = np.unique(items.grams[items.gram[own]], return_inverse=True)
-    return Items(items.ids, items.words, items.begin, items.length, grams, gram, items.item[own], items.at[own])
+    return replace(items, need=need, grams=grams, gram=gram, item=items.item[own], at=items.at[own])
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,32 +144,50 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def found(items: Items, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, item, best score, word at which it ends, seeds hit) of all pairs with a seed."""
-    g, at = _grams(h, count)
-    spot, gram = items.lookup(g)
+    """(document, item, best score, word at which it ends, seeds hit) of all pairs with as many seeds as a copy needs."""
+    word, gram = [], []
+    for step in (1, 2):
+        g, at = _grams(h, count, step)
+        spot, k = items.lookup(g)
+        word.append(at[spot])
+        gram.append(k)
+    word, gram = np.concatenate(word), np.concatenate(gram)
+    by_gram = np.argsort(items.gram, kind="stable")
+    first = np.searchsorted(items.gram[by_gram], np.arange(len(items.grams) + 1))
+    many = np.diff(first)[gram]
+    doc = np.searchsorted(np.cumsum(count), word, side="right")
+    part = np.cumsum(np.bincount(doc, many, len(count)))[doc] // _HITS
+    out = []
+    for p in np.unique(part):
+        own = part == p
+        out.append(_aligned(items, h, count, doc[own], word[own], by_gram, first[gram[own]], many[own]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+
+
+def _aligned(items: Items, h: np.ndarray, count: np.ndarray, doc: np.ndarray, word: np.ndarray, by_gram: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """found() for the hits at these words, where by_gram[first : first + many] have the pair."""
     ends = np.cumsum(count)
     begin = ends - count
-    by_gram = np.argsort(items.gram, kind="stable")
-    first, last = np.searchsorted(items.gram[by_gram], gram), np.searchsorted(items.gram[by_gram], gram, side="right")
-    many = last - first
     which = by_gram[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    word = at[np.repeat(spot, many)]
-    doc, item = np.searchsorted(ends, word, side="right"), items.item[which]
-    place = word - items.at[which]  # where the item would start
-    order = np.lexsort((place, item, doc))
+    doc, item = np.repeat(doc, many), items.item[which]
+    place = np.repeat(word, many) - items.at[which]  # where the item would start
+    order = np.lexsort((place, doc * len(items.length) + item))
     doc, item, place = doc[order], item[order], place[order]
-    if not len(doc):
+    new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))
+    group = np.cumsum(new) - 1
+    hits = np.bincount(group)
+    # a place from which enough seeds lie within the drift
+    reach = np.arange(len(doc)) + items.need[item] - 1
+    there = np.minimum(reach, len(doc) - 1)
+    start = np.flatnonzero((reach < len(doc)) & (group[there] == group) & (place[there] - place <= items.drift[item]))
+    if not len(start):
         return (np.zeros(0, np.int64),) * 5
-    pad = items.length[item] // 2 + 8
-    new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > pad[1:] // 4))
-    start = np.flatnonzero(new)
-    stop = np.append(start[1:], len(doc))
-    # a chain of places longer than the pad becomes several windows, each a pad long
-    parts = (place[stop - 1] - place[start]) // pad[start] + 1
-    group = np.repeat(np.arange(len(start)), parts)
-    nth = np.arange(len(group)) - np.repeat(np.cumsum(parts) - parts, parts)
-    d, k, p = doc[start][group], item[start][group], pad[start][group]
-    low = place[start][group] + nth * p - p
+    # the places are dealt into windows that reach as far as an alignment can
+    group, d, k, place = group[start], doc[start], item[start], place[start]
+    p = items.drift[k]
+    nth = place // p
+    one = np.append(True, (group[1:] != group[:-1]) | (nth[1:] != nth[:-1]))
+    group, d, k, p, low = group[one], d[one], k[one], p[one], (nth * p - p)[one]
     high = np.minimum(low + items.length[k] + 3 * p, ends[d])
     low = np.maximum(low, begin[d])
     score, end = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
@@ -164,20 +201,18 @@ def found(items: Items, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, .
         words = np.where(col < items.length[k[own], None], items.words[np.minimum(items.begin[k[own], None] + col, len(items.words) - 1)], np.uint64(1))
         score[own], end[own] = align(words, window)
         end[own] += low[own] - begin[d[own]]
-    hits = np.add.reduceat(np.ones(len(doc), np.int64), start)[group]
-    best = np.lexsort((end, -score, k, d))
-    d, k = d[best], k[best]
-    one = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))
-    return d[one], k[one], score[best][one], end[best][one], np.add.reduceat(hits[best], np.flatnonzero(one))
+    best = np.lexsort((end, -score, group))
+    one = best[np.append(True, group[best][1:] != group[best][:-1])]
+    return d[one], k[one], score[one], end[one], hits[group[one]]
 
 
-def _chunks(benchmark: DataFrame):
+def _chunks(benchmark: DataFrame, threshold: float):
     rows = benchmark.select("item_id", F.col("text").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(total / CHUNK)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        yield _items(part.column("item_id").combine_chunks(), part.column("text").combine_chunks())
+        yield _items(part.column("item_id").combine_chunks(), part.column("text").combine_chunks(), threshold)
 
 
 def _frequencies(docs: DataFrame, shared) -> DataFrame:
@@ -201,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, hash long, item_id {kinds[1]}, sw_score long, share double, ends_at long, n_seeds long"
     out = spark.createDataFrame([], schema)
-    for items in _chunks(benchmark):
+    for items in _chunks(benchmark, threshold):
         counted = _frequencies(rows, spark.sparkContext.broadcast(items)).toPandas()
         freq = np.zeros(len(items.grams), np.int64)
         freq[counted["gram"]] = counted["n"]

@@ -436,3 +436,26 @@ def test_every_run_of_six_words_holds_a_seed():
     some = decontam.seeds(items, np.arange(len(items.grams))[::-1].copy())
     at = set(some.at.tolist())
     assert all(at & set(range(k, k + decontam.RUN)) for k in range(40 - 2 - decontam.RUN + 1)) and len(at) < 38
+
+
+def test_edited_copies_without_long_runs():
+    rng = random.Random(9)
+    other = lambda: rng.choice("uvwxyz") * 9
+    words = prose(90, 40).split()
+    copies = [[other() if k % n == n - 1 else w for k, w in enumerate(words)] for n in (3, 4, 5, 6)]
+    copies += [[x for k, w in enumerate(words) for x in ([w, other()] if k % n == n - 1 else [w])] for n in (1, 2, 3)]
+    short = prose(91, 3).split()
+    copies += [[short[0], short[2]], [short[0], other(), short[2]]]
+    for _ in range(60):
+        copies.append([x for w in words for x in rng.choice([[w], [w], [w], [other()], [w, other()], []])])
+    lines = [words, short]
+    texts = pa.array([prose(92 + k, 50) + " " + " ".join(x) + " " + prose(93 + k, 50) for k, x in enumerate(copies)])
+    items = decontam._items(pa.array([0, 1]), pa.array([" ".join(x) for x in lines]))
+    h, n = decontam.T.word_hashes(texts, decontam.TABLE)
+    docs = [text.lower().split() for text in texts.to_pylist()]
+    want = {(d, k): s for d, text in enumerate(docs) for k, item in enumerate(lines) if (s := plain_align(item, text)) >= len(item)}
+    assert {d for d, _ in want} >= set(range(9))
+    # whichever pairs are common
+    for freq in (np.zeros(len(items.grams)), np.arange(len(items.grams)), np.arange(len(items.grams))[::-1]):
+        d, k, score, _, _ = decontam.found(decontam.seeds(items, freq.astype(np.int64)), h, n)
+        assert {(a, b): s for a, b, s in zip(d.tolist(), k.tolist(), score.tolist(), strict=True) if s >= len(lines[b])} == want
