@@ -2,27 +2,127 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 INTERVAL_MS = 500
+#: Milliseconds of one device that a task folds in one go.
+BLOCK_MS = 3_600_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((device, block), rows) of sorted batches whose first columns are device and block."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    return groupby(rows, lambda row: row[:2])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    some: list[tuple] = []
+    for row in rows:
+        some.append(row)
+        if len(some) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def _ways(times: Iterator[int], bound: int, interval: int) -> tuple[list[int], list[int]]:
+    """Of each time at which the first frame of a block may be kept (those below bound, and the next), the time of the last one then kept."""
+    entry: list[int] = []
+    lasts: deque = deque()  # (last kept time, entries that lead to it), by time
+    for t in times:
+        here: list[int] = []
+        while lasts and t - lasts[0][0] >= interval:
+            own = lasts.popleft()[1]
+            here = here + own if here else own
+        if not entry or entry[-1] < bound:
+            here.append(len(entry))
+            entry.append(t)
+        if here:
+            lasts.append((t, here))
+    leave = [0] * len(entry)
+    for last, own in lasts:
+        for k in own:
+            leave[k] = last
+    return entry, leave
 
 
 def throttle(frames: DataFrame, device: str, ms: str, key: str, interval: int = INTERVAL_MS) -> DataFrame:
     """Batch: keeps a frame unless it is less than `interval` after the last one kept of its device (the first one always stays).
 
-    A device's frames are gathered as pairs of numbers, not with their contents, and folded in order.
+    Of frames at the same millisecond only the one with the least key can stay. A device's time is cut into blocks of BLOCK_MS, which
+    are folded by themselves: first for each of the few times at which the first kept frame of a block may be; from that it follows,
+    block by block, what was kept last before each of them. So a task holds no list of frames, and a device with many of them is spread
+    over tasks. Frames without a time all stay.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(ms).alias("ms"), F.col(key).alias("key"))))
-    kind = frames.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-    fold = lambda s, x: F.when(s["last"].isNull() | (x["ms"] - s["last"] >= interval), F.struct(x["ms"].cast("long").alias("last"), F.array_append(s["kept"], x["key"]).alias("kept"))).otherwise(s)
-    per = frames.groupBy(device).agg(F.aggregate(pairs, start, fold)["kept"].alias("kept"))
-    return per.select(device, F.explode("kept").alias(key))
+    block_ms = max(BLOCK_MS, interval)
+    rows = frames.select(F.col(device).alias("d"), F.col(ms).cast("long").alias("t"), F.col(key).alias("key"))
+    done = rows.select(F.col("d").alias(device), "key", "t")
+    if interval <= 0:
+        return done.select(device, F.col("key").alias(key))
+    first = rows.where("t is not null").groupBy("d", F.floor(F.col("t") / F.lit(block_ms)).alias("block"), "t").agg(F.min(F.struct("key")).alias("k")).select("d", "block", "t", "k.key")
+    kinds = {c: first.schema[c].dataType.simpleString() for c in ("d", "key")}
+
+    def ways(batches):
+        batches = iter(batches)
+        b = next(batches, None)
+        if b is not None:
+            schema = pa.schema([b.schema.field("d"), ("block", pa.int64()), ("entry", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
+            yield from _batches(((*k, *_ways((t for _, _, t in own), k[1] * block_ms + interval, interval)) for k, own in _runs(_chain(b, batches))), schema)
+
+    def before(batches):
+        batches = iter(batches)
+        b = next(batches, None)
+
+        def run():
+            now, last = (), None
+            for (d, block), own in _runs(_chain(b, batches)):
+                if now != (d,):
+                    now, last = (d,), None
+                yield d, block, last
+                for _, _, entry, leave in own:
+                    at = 0 if last is None else int(np.searchsorted(entry, last + interval))
+                    last = leave[at] if at < len(leave) else last
+
+        if b is not None:
+            yield from _batches(run(), pa.schema([b.schema.field("d"), ("block", pa.int64()), ("last", pa.int64())]))
+
+    def kept(batches):
+        batches = iter(batches)
+        b = next(batches, None)
+
+        def run():
+            for (d, _), own in _runs(_chain(b, batches)):
+                last = None
+                for nth, (_, _, t, key, start) in enumerate(own):
+                    last = start if nth == 0 else last
+                    if last is None or t - last >= interval:
+                        last = t
+                        yield d, key
+
+        if b is not None:
+            yield from _batches(run(), pa.schema([b.schema.field("d"), b.schema.field("key")]))
+
+    parts = first.select("d", "block", "t").repartition("d", "block").sortWithinPartitions("d", "block", "t").mapInArrow(ways, f"d {kinds['d']}, block long, entry array<long>, leave array<long>")
+    starts = parts.repartition("d").sortWithinPartitions("d", "block").mapInArrow(before, f"d {kinds['d']}, block long, last long")
+    starts = starts.select(F.col("d").alias("d2"), F.col("block").alias("block2"), "last")
+    both = first.join(starts, F.col("d").eqNullSafe(F.col("d2")) & (F.col("block") == F.col("block2"))).select("d", "block", "t", "key", "last")
+    out = both.repartition("d", "block").sortWithinPartitions("d", "block", "t").mapInArrow(kept, f"d {kinds['d']}, key {kinds['key']}")
+    return out.select(F.col("d").alias(device), F.col("key").alias(key)).union(done.where("t is null").select(device, "key"))
+
+
+def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield first
+    yield from rest
 
 
 def throttle_stream(frames: DataFrame, device: str, ms: str, key: str, interval: int = INTERVAL_MS) -> DataFrame:

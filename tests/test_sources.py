@@ -3,6 +3,7 @@
 import base64
 import json
 import os
+import random
 import struct
 import zlib
 
@@ -108,6 +109,22 @@ def test_throttle(spark):
     assert {(r.device, r.ms) for r in frames.latest(df, "device", "ms").collect()} == {("a", 1001), ("b", 5)}
 
 
+def test_throttle_of_a_hot_device_is_spread(spark, monkeypatch):
+    rng = random.Random(3)
+    times = [t for t in range(0, 60_000, 7) if rng.random() < 0.3] + [rng.randrange(-9_000, 0) for _ in range(20)]
+    rows = [("hot", t, 10 * t + k) for t in times for k in range(2)] + [(None, t, 10 * t) for t in (0, 499, 600, 5_000)] + [("late", 90_000, 7), ("none", None, 1), ("none", None, 2)]
+    df = spark.createDataFrame(rows, "device string, ms long, key long").repartition(5)
+    want, last = [], {}
+    for d, t, k in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        if last.get(d) is None or t - last[d] >= 500:
+            last[d] = t
+            want.append((d, k))
+    monkeypatch.setattr(frames, "BLOCK_MS", 1_500)
+    got = frames.throttle(df, "device", "ms", "key")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert sorted(map(repr, ((r.device, r.key) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_throttled_stream_over_batches(spark, tmp_path):
     schema = "device string, ms long, key long"
     for n, part in enumerate((MS[:3], MS[3:])):
