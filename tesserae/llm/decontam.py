@@ -18,8 +18,9 @@ summed per task before the shuffle, one row for each pair of the chunk at most.
 never shuffled.
 
 Defined cases: items of fewer than three words, null and empty items have no seeds and match nothing; null and empty documents
-match nothing; repeated items and documents get rows of their own; with no items or no documents there are no rows; other
-columns are not read, and decontaminate() passes them through.
+match nothing; repeated items and documents get rows of their own; with no items or no documents there are no rows; a very long
+text is a slice of its own, whose hits are gone through by ranges of items; of alignments with equal scores the one that ends first
+counts; other columns are not read, and decontaminate() passes them through.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as T
+from tesserae.llm.common import fresh
 
 RUN, THRESHOLD, CHUNK = 4, 0.5, 8 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -40,7 +42,7 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 TABLE = T.byte_table(bytes(k for k in range(128) if not chr(k).isalnum()))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _FILTER = 1 << 22
-#: Hits that found() holds at once, unless one document has more.
+#: Hits that found() holds at once, unless one document has more of one item.
 _HITS = 1 << 20
 
 
@@ -152,15 +154,23 @@ def found(items: Items, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, .
         word.append(at[spot])
         gram.append(k)
     word, gram = np.concatenate(word), np.concatenate(gram)
-    by_gram = np.argsort(items.gram, kind="stable")
-    first = np.searchsorted(items.gram[by_gram], np.arange(len(items.grams) + 1))
-    many = np.diff(first)[gram]
     doc = np.searchsorted(np.cumsum(count), word, side="right")
+    n, wide = len(items.length), np.arange(len(items.grams) + 1)
+    by_gram = np.lexsort((items.item, items.gram))
+    where = items.gram[by_gram] * n + items.item[by_gram]
+    many = np.diff(np.searchsorted(where, wide * n))[gram]
     part = np.cumsum(np.bincount(doc, many, len(count)))[doc] // _HITS
-    out = []
-    for p in np.unique(part):
-        own = part == p
-        out.append(_aligned(items, h, count, doc[own], word[own], by_gram, first[gram[own]], many[own]))
+    todo, out = [(part == p, 0, n) for p in np.unique(part)], []
+    while todo:
+        own, a, b = todo.pop()
+        g = gram[own]
+        first, last = np.searchsorted(where, g * n + a), np.searchsorted(where, g * n + b)
+        if b - a > 1 and (last - first).sum() > 2 * _HITS:
+            some, half = np.flatnonzero(own)[last > first], np.zeros(len(own), bool)
+            half[some] = True
+            todo += [(half, a, (a + b) // 2), (half, (a + b) // 2, b)]
+        else:
+            out.append(_aligned(items, h, count, doc[own], word[own], by_gram, first, last - first))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
 
 
@@ -261,5 +271,6 @@ def _hash() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    return docs.join(bad, (_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    id_, hash_ = fresh(docs, "id", "hash")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_)).distinct()
+    return docs.join(bad, (_hash() == F.col(hash_)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

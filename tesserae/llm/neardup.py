@@ -15,9 +15,16 @@ meet if they agree in any two half-keys. At a similarity of 0.75 a half-key agre
    have in common with other components at all are left out first.
 5. Components are labelled by alternating large and small stars, each round a table in the shared folder.
 
+Keys that many rows share (half-keys, buckets, star centres, hubs) are dealt over tasks by join_spread(); buckets in step 4 are cut
+into blocks, and each pair of blocks is a group of its own.
+
 Defined cases: null and empty texts, and texts of white space, have an empty set and are linked with nothing; repeated rows and
-copies are one class; a null id is larger than all others; if all ids of a group are null, so is component_id, and its rows are
-kept; columns other than doc_id and text are not read, and deduplicate() passes them through.
+copies are one class; a very long text is a slice of its own; a null id is larger than all others; if all ids of a group are null, so
+is component_id, and its rows are kept; of equally connected classes the one with the larger fingerprint is a star's centre, which
+changes no result; an empty table gives an empty one; components() stops with an error after 60 rounds (their number grows with the
+logarithm of the longest chain). Columns other than doc_id and text are not read; deduplicate() passes them through. It leaves
+one row of each group: of rows with the smallest id the one whose text has the smallest hash, and of repeated rows one by a hash of
+all their columns. Rows with empty sets all stay.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as T
-from tesserae.llm.common import keep
+from tesserae.llm.common import fresh, join_spread, keep
 
 SIZE, HALVES, ROWS = 5, 24, 3
 #: Links: SHARE * intersection >= PART * union.
@@ -38,6 +45,8 @@ _LOW, _HIGH = (_RANDOM.integers(0, 1 << 32, HALVES * ROWS, dtype=np.uint64).asty
 _SALT = _RANDOM.integers(0, 1 << 63, HALVES, dtype=np.uint64)
 #: Numbers of 64 bits in a class's sketch, and how many bits may differ between linked classes.
 WORDS, FAR = 16, 181
+#: Classes of a bucket that meet in one group of a join.
+BLOCK = 256
 _BITS = _RANDOM.integers(0, 1 << 32, (2, WORDS * 64), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _POWERS = [pow(0x9E3779B97F4A7C15, SIZE - 1 - k, 1 << 64) for k in range(SIZE)]
 
@@ -134,13 +143,12 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def _tables(classes: DataFrame) -> DataFrame:
     """key, node, weight: buckets with more than one class. weight: how many classes share the node's half-keys."""
+    counted = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     halves = classes.select("node", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    own = halves.join(shared, "half").groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
+    own = join_spread(halves, counted(halves, "half"), "half").groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
     pairs = own.select("node", "weight", "halves", F.posexplode("halves").alias("k", "a"))
-    keys = pairs.select("node", "weight", "a", F.explode(F.slice("halves", F.col("k") + 2, F.size("halves"))).alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight")
-    keys = keep(keys)
-    return keep(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "node", "weight"))
+    keys = keep(pairs.select("node", "weight", "a", F.explode(F.slice("halves", F.col("k") + 2, F.size("halves"))).alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight"))
+    return keep(join_spread(keys, counted(keys, "key"), "key").select("key", "node", "weight"))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -149,8 +157,8 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 def _stars(tables: DataFrame) -> DataFrame:
     """Each class of a bucket with the most connected one."""
-    centre = tables.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    return tables.join(centre, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct()
+    centre = tables.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"), F.count("*").alias("n"))
+    return join_spread(tables, centre, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct()
 
 
 def _shared(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,20 +207,27 @@ def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: Dat
     each shares with other components at all. And of 1,024 bits, at most FAR differ for linked classes (128 +- 10.6 at 0.75, so
     a link fails this with 3e-7). A pair is written in the bucket of the first two half-keys that it shares, so once.
     """
-    named = tables.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-    left = keep(named.join(mixed, "key"))
+    named = keep(tables.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m").select("key", "n")
+    left = keep(join_spread(named, mixed, "key").select("key", "node", "label"))
     bounds = _shared(left.select("node", "label").distinct(), texts).join(classes.select("node", "n_shingles", F.sort_array("halves").alias("halves")), "node")
     alone = SHARE * F.col("shared") >= PART * F.col("n_shingles")  # else no partner of any size is similar enough
     bounds = keep(bounds.where(alone))
-    left = keep(left.join(bounds.join(_sketched(bounds, texts), "node"), "node"))
-    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in left.columns if c != "key"))
+    left = left.join(bounds.select("node"), "node", "left_semi")
+    sizes = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    left = keep(join_spread(left, sizes, "key").join(bounds.join(_sketched(bounds, texts), "node"), "node"))
+    # a bucket is cut into blocks; each pair of blocks is joined by itself
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    right = left.where("other <= own").select("key", F.col("other").alias("own"), F.col("own").alias("other"), *(F.col(c).alias(f"{c}_") for c in left.columns if c not in ("key", "own", "other")))
+    left = left.where("own <= other")
     most = F.least("shared", "shared_")
     could = SHARE * most >= PART * (F.col("n_shingles") + F.col("n_shingles_") - most)
     differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}_"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("w0_"))))
     common = F.array_intersect("halves", "halves_")
     once = F.col("key") == F.xxhash64(common[0], common[1])
-    pairs = left.join(right, "key").where((F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & could & (differ <= FAR) & once)
+    met = (F.col("own") < F.col("other")) | (F.col("node") < F.col("node_"))
+    pairs = left.join(right, ["key", "own", "other"]).where(met & (F.col("label") != F.col("label_")) & could & (differ <= FAR) & once)
     return pairs.select(*_pair(F.col("node"), F.col("node_"))).distinct().join(checked, ["a", "b"], "left_anti")
 
 
@@ -231,7 +246,10 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = (SHARE * same >= PART * (n + m - same)) & (same > 0)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs
+    for side, text in (("a", "text"), ("b", "text_b")):
+        own = texts.select(F.col("node").alias(side), F.col("text").alias(text))
+        both = join_spread(both, own, side, pairs.groupBy(side).agg(F.count("*").alias("n")))
     return both.select("a", "b", "text", "text_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -241,10 +259,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = keep(both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = keep(join_spread(both, least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least, "b")
         edges = keep(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -255,8 +273,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and hash (of the text) of every document."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, n_shingles, component_id, kept, and group (of rows in a group of more than one, else null)."""
     rows = keep(sketches(docs))
     classes = keep(_classes(rows))
     tables = _tables(classes)
@@ -267,17 +285,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = keep(_stars(tables))
     links = keep(confirm(stars, texts))
     labels = components(links)
-    more = keep(confirm(_rest(tables, classes, labels, stars, texts), texts))
+    more = keep(confirm(keep(_rest(tables, classes, labels, stars, texts)), texts))
     labels = keep(components(links.union(more)))
     first = classes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
     smallest = first.where("linked").groupBy("label").agg(F.min("first").alias("component_id"))
-    named = first.where("linked or copies > 1").join(smallest, "label", "left").select("node", F.coalesce("component_id", "first").alias("component_id"), F.lit(True).alias("grouped"))
+    named = first.where("linked or copies > 1").join(smallest, "label", "left").select("node", F.coalesce("component_id", "first").alias("component_id"), F.col("label").alias("group"))
     out = rows.select("doc_id", "hash", "node", "n_shingles").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "hash")
+    out = out.withColumn("component_id", F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and hash (of the text) of every document."""
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", "kept", "hash")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their groups, with all columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    return docs.join(gone, (_hash() == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """One document of each group, with all columns."""
+    id_, hash_, stays, n = fresh(docs, "id", "hash", "stays", "n")
+    rows = keep(_grouped(docs).where("group is not null").groupBy("group", "doc_id", "hash", "kept").agg(F.count("*").alias("n")))
+    best = rows.where("kept").groupBy("group").agg(F.min("hash").alias("best"))
+    marked = keep(rows.join(best, "group").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), (F.col("kept") & (F.col("hash") == F.col("best"))).alias(stays), F.col("n").alias(n)))
+    same = (_hash() == F.col(hash_)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    out = docs.join(marked.where(~F.col(stays) | (F.col(n) > 1)), same, "left_anti")
+    again = marked.where(F.col(stays) & (F.col(n) > 1))
+    if again.isEmpty():
+        return out
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = docs.join(again, same).groupBy(id_, hash_).agg(F.min_by(every, F.xxhash64(*plain)).alias("row")).select("row.*")
+    return out.unionByName(one)

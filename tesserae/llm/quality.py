@@ -5,12 +5,14 @@ Each is cut into quantile bins. Boosting goes round the features again and again
 bins is fitted to the residuals and added, shrunk, to that feature's table; then the same is done for the few pairs of
 features whose joint table explains most of what is left. Scoring looks bins up and adds.
 
-The tables are fitted on the driver from the feature rows of at most `sample` labelled documents (those with the smallest
+The tables are fitted on the driver from the features of at most `sample` labelled documents (those with the smallest
 hash of the key): 20 numbers a row, 8 MB at the default bound. Features and scores of all documents are computed in tasks.
 
-Defined cases: a null text counts as empty; an empty text has all features 0 and is scored like any other; a document with
-several labels counts once for each; null labels are left out; without labels of both kinds every score is the share of
-label 1 (0.5 if there are none); a null key counts as held out; columns other than key and text are not read.
+Defined cases: a null text counts as empty; an empty text has all features 0 and is scored like any other; repeated rows are scored
+alike, and each counts in training; an empty table gives an empty one; a very long text is a slice of its own; of labelled rows with
+equal hashes the smaller key, then the smaller label goes first; a document with several labels counts once for each; null labels
+are left out; without labels of both kinds every score is the share of label 1 (0.5 if there are none); a null key counts as held
+out; columns other than key and text are not read, and accept() passes them through.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "exclaim", "pipe", "stop_comma", "high", "space",
     "distinct_words", "repeat_next", "short_words", "log_lines", "line_words", "distinct_lines", "upper_words", "mark_ends", "longest_word",
 )
+#: Bytes of text whose features are made at once.
+SLICE = 1 << 20
 _CLASSES = ("upper", "digit", "symbol", "exclaim", "pipe", "stop_comma", "high", "space")
 
 
@@ -192,7 +196,7 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in T.slices(batches, "text"):
+        for b in T.slices(batches, "text", SLICE):
             x = features(b.column("text"))
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column("key"), values], ["key", "x"])
@@ -200,10 +204,15 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, x array<float>")
 
 
+def _chosen(keys: DataFrame, labels: DataFrame, label: str, key: str, sample: int) -> DataFrame:
+    """key and y of the labelled rows that are learned from. keys: the column key, one row for each document."""
+    known = labels.select(F.col(key).alias("key"), F.col(label).alias("y")).where("key is not null and y in (0, 1)")
+    return keys.join(known, "key").orderBy(F.xxhash64("key"), "key", "y").limit(sample)
+
+
 def train(rows: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", sample: int = 40_000, **params) -> Additive:
     """Fits the tables to the labelled rows (key, x); more than `sample` of them: those with the smallest hashes."""
-    known = labels.select(F.col(key).alias("key"), F.col(label).alias("y")).where("key is not null and y in (0, 1)")
-    some = rows.join(known, "key").orderBy(F.xxhash64("key"), "key", "y").limit(sample).toArrow()
+    some = _chosen(rows, labels, label, key, sample).toArrow()
     x = np.stack(some.column("x").to_numpy()).astype(np.float32) if some.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, some.column("y").to_numpy().astype(float), **params)
 
@@ -230,13 +239,16 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     return out.select(F.col("key").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accept(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = 40_000) -> DataFrame:
     """The documents whose score is at least the threshold, with all columns; learned from as in classify()."""
-    rows = with_features(docs).where(F.coalesce(fold("key", folds) != 0, F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
+    own = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("text")).where(F.coalesce(fold("doc_id", folds) != 0, F.lit(False)))
+    # at most `sample` keys go to the tasks, so that features are made for the rows learned from alone
+    some = keep(_chosen(own.select("key"), labels, "quality", "doc_id", sample).select("key").distinct())
+    rows = with_features(own.join(F.broadcast(some), "key"), "key")
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample=sample))
 
     def run(batches):
-        for b in T.slices(batches, "text"):
+        for b in T.slices(batches, "text", SLICE):
             yield b.filter(pa.array(shared.value.score(features(b.column("text"))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

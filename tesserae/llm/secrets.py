@@ -15,7 +15,9 @@ stands between the pieces of a split, so one pass gives all positions. Parts are
 SCOPE code points with a semi-join, so no pairs are written, and a stretch holds few parts, since parts of a kind don't overlap.
 
 Defined cases: a null text counts as empty and has no spans; documents are told apart by id (null allowed) and text, and
-repeated rows get the same spans; columns other than doc_id and text are not read, and redact() passes them through.
+repeated rows get the same spans; an empty table gives an empty one; a very long text is one row as any other, whose parts are joined
+by stretches; spans that start together stand in the order of the kinds; columns other than doc_id and text are not read, and
+redact() passes them through, whatever they are named.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.common import keep
+from tesserae.llm.common import fresh, keep
 
 SCOPE = 200
 MASK = "[SECRET]"
@@ -146,12 +148,13 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     pieces = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("from", (F.col("start") - F.col("from")).alias("size")))).alias("pieces"))
     last = spans.groupBy("key").agg(F.max("stop").alias("last"))
     # adjacent spans give an empty piece, which would write two masks; that is one mask for each credential
-    cuts = pieces.join(last, "key").select(F.col("key").alias("__key"), F.col("pieces").alias("__pieces"), F.col("last").alias("__last"))
+    own, key, cut, end = fresh(docs, "own", "key", "cut", "end")
+    cuts = pieces.join(last, "key").select(F.col("key").alias(key), F.col("pieces").alias(cut), F.col("last").alias(end))
     text = F.col("text")
-    end = F.substring(text, F.col("__last") + 1, F.length(text))
-    new = F.concat(F.array_join(F.transform("__pieces", lambda p: F.substring(text, p["from"] + 1, p["size"])), mask), F.lit(mask), end)
-    rows = docs.withColumn("__key_", _key(docs)).join(cuts, F.col("__key_") == F.col("__key"), "left")
-    changed = F.col("__last").isNotNull()
+    tail = F.substring(text, F.col(end) + 1, F.length(text))
+    new = F.concat(F.array_join(F.transform(cut, lambda p: F.substring(text, p["from"] + 1, p["size"])), mask), F.lit(mask), tail)
+    rows = docs.withColumn(own, _key(docs)).join(cuts, F.col(own) == F.col(key), "left")
+    changed = F.col(end).isNotNull()
     out = rows.withColumn("text", F.when(changed, new).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

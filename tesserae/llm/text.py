@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batches, column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each have about max_bytes at most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
