@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by inner product: lists of an inverted file, scanned by an adaptive number of dimensions.
 
 Vectors get one more dimension, sqrt(M^2 - |x|^2) with M the largest norm (queries: 0), so that the largest inner product is the
-smallest distance, and are turned by a random rotation. Lists are cells of centres that are learned from at most `sample` vectors.
-A query probes the lists that it is nearest to. Within a list, candidates stand in column blocks: after each block
-of dimensions the partial distance, scaled up, is tested against a bound on the distance of the query's k-th best; a candidate
-that is farther by more than the test allows is abandoned. What is left gets its exact inner product on the original vectors.
-
-Spark deals lists out in blocks of at most BLOCK expected vectors, and queries likewise, so a list that a third of all vectors
-fall into is many groups, each of bounded size. A query brings along a bound on its k-th distance (from the sample), so that
-each group can abandon from its first candidate on. Each group gives k candidates for a query at most; the best k of all stay.
-
-Defined cases: vectors that are null, zero or hold null, NaN or infinite components take no part (as query or candidate); shorter
-vectors count as padded with zeros; equal vectors are candidates of each other; ties go to the smaller id; other columns are not read.
+smallest distance, and are turned by a random rotation. Lists are cells of centres (sqrt(n) of them, at most an eighth of the sample)
+that are learned from at most `sample` vectors. A query probes the lists that it is nearest to, so many of them as hold the share
+TARGET of the sample's true neighbours of ASKED sample vectors: few if the vectors have clusters, most if they have none. Within a
+list, candidates stand in column blocks: after each block of dimensions the partial distance, scaled up, is tested against a bound
+on the distance of the query's k-th best; a candidate that is farther by more than the test allows is abandoned. What is left gets
+its exact inner product on the original vectors. The bound is the distance of the k-th best among the sample's vectors in the lists
+that the query probes; it probes more lists until there are k. Queries that still end with too few (the tests may
+abandon near candidates) are searched again in all lists without bounds.
+
+Spark deals lists out in bundles of at most BLOCK vectors (a longer list is several bundles), and queries in blocks likewise, so a list
+that a third of all vectors fall into is many groups, each of bounded size. A query goes once to each bundle that holds a list it
+probes, with the numbers of these lists. Each group gives k candidates for a query at most; the best k of all stay.
+
+Defined cases: vectors that are null, zero or hold null, NaN or infinite components take no part (as query or candidate), nor do
+null ids; shorter vectors count as padded with zeros; a row is a candidate of every row but itself, also of rows with the same id
+or an equal vector, and each row with a query's id is a query of its own; ties go to the smaller id; an empty table gives an empty
+one; of more vectors than the sample holds those with the smallest hashes are in it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,65 +33,90 @@ from pyspark.sql.window import Window
 
 from tesserae.llm.common import keep
 
-SAMPLE, BLOCK, COLUMNS = 8192, 4096, 16
+SAMPLE, BLOCK, COLUMNS = 16_384, 4096, 16
 #: Standard deviations of the test that abandons a candidate.
 Z = 2.6
-#: Lists: one for so many vectors, but no more than MOST.
-PER_LIST, MOST = 256, 1024
-#: Share of the lists that a query probes.
-PROBED = 0.7
+#: Share of true neighbours that the probed lists are to hold, and sample vectors by which that is measured.
+TARGET, ASKED = 0.96, 1024
 
 
 @dataclass(frozen=True)
 class Index:
-    """dims: of the original vectors; top: the largest norm squared; turn: rotation; centres and sample: rotated; raw: the sample's originals."""
+    """dims: of the original vectors; top: the largest norm squared; turn: rotation; centres, sample: rotated; ids and cells of the sample; probes: lists for a query."""
 
     dims: int
     top: float
     turn: np.ndarray
     centres: np.ndarray
     sample: np.ndarray
-    sample_ids: np.ndarray
-    raw: np.ndarray
+    ids: np.ndarray
+    cells: np.ndarray
+    probes: int
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - np.einsum("ij,ij->i", x, x), 0))
         return (np.column_stack([x, more]) @ self.turn).astype(np.float32)
 
+    def nearest_lists(self, x: np.ndarray) -> np.ndarray:
+        """All lists for each row, nearest first."""
+        return ((self.centres**2).sum(1) / 2 - x @ self.centres.T).argsort(1, kind="stable")
+
 
 def _matrix(lists, dims: int) -> np.ndarray:
-    out = np.zeros((len(lists), dims))
-    for k, v in enumerate(lists):
-        out[k, : len(v)] = v
+    """Rows of an Arrow list column as doubles, padded with zeros."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    n = np.diff(np.asarray(lists.offsets))
+    out = np.zeros((len(n), dims))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
     return out
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id and v (doubles) of the vectors that take part."""
-    v = F.col(vector).cast("array<double>")
+    """id and v (as they are, if they are floats, else doubles) of the vectors that take part."""
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).where(fine)
+    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).where(fine)
+
+
+def _to_sample(ix: Index, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances to the sample's vectors, infinite to those with a query's own id."""
+    far = ((x**2).sum(1)[:, None] + (ix.sample**2).sum(1) - 2 * x @ ix.sample.T).astype(float)
+    far[ids[:, None] == ix.ids] = np.inf
+    return far
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, rounds: int = 12) -> Index | None:
+def fit(rows: DataFrame, k: int, sample: int = SAMPLE, rounds: int = 12) -> Index | None:
     """Centres from the vectors with the smallest hashes, at most `sample`; None if there are no vectors."""
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     dims, top, n = rows.agg(F.max(F.size("v")), F.max(norm), F.count("*")).first()
     if not n:
         return None
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample).toArrow()
     rng = np.random.default_rng(9)
     turn, _ = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))
-    index = Index(dims, top * (1 + 1e-9), turn, np.zeros((1, dims + 1), np.float32), np.zeros((0, dims + 1), np.float32), some.column("id").to_numpy(), _matrix(some.column("v").to_pylist(), dims))
-    x = index.lifted(index.raw)
-    lists = max(1, min(MOST, round(n / PER_LIST), len(x)))
+    none = np.zeros((0, dims + 1), np.float32)
+    index = Index(dims, top * (1 + 1e-9), turn, none, none, some.column("id").to_numpy(), np.zeros(0, int), 1)
+    raw = _matrix(some.column("v"), dims)
+    x = index.lifted(raw)
+    lists = max(1, min(round(math.sqrt(n)), len(x) // 8))
     centres = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
         own = _nearest(x, centres)
         for c in range(lists):
             if (own == c).any():
                 centres[c] = x[own == c].mean(0)
-    return replace(index, centres=centres, sample=x)
+    index = replace(index, centres=centres, sample=x, cells=_nearest(x, centres))
+    ranks = []
+    for a in range(0, min(ASKED, len(x)), 256):
+        q, ids = index.lifted(raw[a : a + 256], True), index.ids[a : a + 256]
+        far = _to_sample(index, q, ids)
+        near = np.argsort(far, 1)[:, :k]
+        place = np.argsort(index.nearest_lists(q), 1)  # of each list in the query's order
+        rank = np.take_along_axis(place, index.cells[near], 1)
+        ranks.append(rank[np.isfinite(np.take_along_axis(far, near, 1))])
+    ranks = np.concatenate(ranks)
+    return replace(index, probes=int(np.ceil(np.quantile(ranks, TARGET))) + 1 if len(ranks) else lists)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -94,54 +124,65 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[a : a + 4096] @ centres.T - half).argmax(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
-def _to_sample(ix: Index, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances to the sample's vectors, infinite to a query's own."""
-    far = ((x**2).sum(1)[:, None] + (ix.sample**2).sum(1) - 2 * x @ ix.sample.T).astype(float)
-    far[ids[:, None] == ix.sample_ids] = np.inf
-    return far
-
-
-def _seeds(queries: DataFrame, index, k: int) -> DataFrame:
-    """query_id, vec_id, score of the k best in the sample: what gives the bound stands in the result, whichever lists are probed."""
+def placed(rows: DataFrame, index) -> DataFrame:
+    """id, v, cell (the list that holds the vector) and row, a number of its own."""
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches):
         ix = index.value
         for b in batches:
-            ids, raw = b.column("id").to_numpy(), _matrix(b.column("v").to_pylist(), ix.dims)
-            x = ix.lifted(raw, True)
-            for a in range(0, len(ids), 1024):
-                far = _to_sample(ix, x[a : a + 1024], ids[a : a + 1024])
-                m = min(k, far.shape[1])
-                near = np.argpartition(far, m - 1, 1)[:, :m]
-                one, two = np.repeat(np.arange(len(far)), m), near.ravel()
-                ok = np.isfinite(far[one, two])
-                one, two = one[ok], two[ok]
-                score = np.einsum("ij,ij->i", ix.raw[two], raw[a + one])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + one]), pa.array(ix.sample_ids[two]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    return queries.mapInArrow(run, "query_id long, vec_id long, score double")
+            x = ix.lifted(_matrix(b.column("v"), ix.dims))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(_nearest(x, ix.centres).astype(np.int32))], ["id", "v", "cell"])
+
+    return keep(rows.mapInArrow(run, f"id long, v {kind}, cell int").withColumn("row", F.monotonically_increasing_id()))
+
+
+def _bundles(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Of each list its (first) bundle and how many it is dealt over: small lists share one, as far as BLOCK goes."""
+    out, n, room = {}, -1, 0
+    for cell, size in sorted(sizes.items()):
+        if size > BLOCK:
+            parts = math.ceil(size / BLOCK)
+            out[cell], n, room = (n + 1, parts), n + parts, 0
+            continue
+        if size > room:
+            n, room = n + 1, BLOCK
+        out[cell], room = (n, 1), room - size
+    return out
 
 
-def _placed(rows: DataFrame, index, query: bool, probes: int, k: int) -> DataFrame:
-    """id, v, cell and (of queries) bound: one row for each list that holds the candidate or is probed by the query."""
+def _asked(queries: DataFrame, index, bundles: dict[int, tuple[int, int]], k: int, whole: bool) -> DataFrame:
+    """bundle, cells (those of the bundle that the query probes), row, id, v, bound. whole: all lists, without bound."""
+    kind = queries.schema["v"].dataType.simpleString()
+    n = max((first + parts for first, parts in bundles.values()), default=0)
 
     def run(batches):
         ix = index.value
-        for b in batches:
-            ids, raw = b.column("id").to_numpy(), _matrix(b.column("v").to_pylist(), ix.dims)
-            x = ix.lifted(raw, query)
-            for a in range(0, len(ids), 1024):
-                part, own, vs = x[a : a + 1024], ids[a : a + 1024], b.column("v").slice(a, 1024)
-                if not query:
-                    yield pa.RecordBatch.from_arrays([pa.array(own), vs, pa.array(_nearest(part, ix.centres).astype(np.int32)), pa.nulls(len(own), pa.float64())], ["id", "v", "cell", "bound"])
-                    continue
-                near = (part @ ix.centres.T - (ix.centres**2).sum(1) / 2).argsort(1, kind="stable")[:, ::-1][:, :probes]
-                far = _to_sample(ix, part, own)
-                bound = np.sort(np.partition(far, k - 1, 1)[:, :k], 1)[:, -1] if far.shape[1] >= k else np.full(len(own), np.inf)
-                at = np.repeat(np.arange(len(own)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), vs.take(pa.array(at)), pa.array(near.ravel().astype(np.int32)), pa.array(bound[at])], ["id", "v", "cell", "bound"])
-
-    return rows.mapInArrow(run, "id long, v array<double>, cell int, bound double")
+        first = np.zeros((len(ix.centres), n), bool)  # which bundles hold a list
+        for cell, (a, parts) in bundles.items():
+            first[cell, a : a + parts] = True
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                ids, x = b.column("id").to_numpy(), ix.lifted(_matrix(b.column("v"), ix.dims), True)
+                order, bound, probes = ix.nearest_lists(x), np.full(len(ids), np.inf), np.full(len(ids), len(ix.centres))
+                if not whole:
+                    far = _to_sample(ix, x, ids)
+                    there = np.stack([np.bincount(ix.cells[np.isfinite(f)], minlength=len(ix.centres)) for f in far])
+                    enough = (np.cumsum(np.take_along_axis(there, order, 1), 1) < k).sum(1) + 1
+                    probes = np.minimum(np.maximum(ix.probes, enough), len(ix.centres))
+                place = np.argsort(order, 1)
+                probed = place < probes[:, None]
+                if not whole:
+                    far[~probed[:, ix.cells]] = np.inf
+                    bound = np.partition(far, k - 1, 1)[:, k - 1] if far.shape[1] >= k else bound
+                hit = probed.astype(np.float32) @ first.astype(np.float32) > 0
+                q, bundle = np.nonzero(hit)
+                cells = [np.flatnonzero(probed[i] & first[:, j]).astype(np.int32) for i, j in zip(q, bundle, strict=True)]
+                take = pa.array(q)
+                yield pa.RecordBatch.from_arrays([pa.array(bundle.astype(np.int32)), pa.array(cells, pa.list_(pa.int32())), b.column("row").take(take), b.column("id").take(take), b.column("v").take(take), pa.array(bound[q])], ["bundle", "cells", "row", "id", "v", "bound"])
+
+    return queries.select("row", "id", "v").mapInArrow(run, f"bundle int, cells array<int>, row long, id long, v {kind}, bound double")
 
 
 def allowance(done: int, dims: int, z: float = Z) -> float:
@@ -177,63 +218,84 @@ def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, n
     return *pairs, read
 
 
+FOUND = "row long, query_id long, vec_row long, vec_id long, score double"
+
+
 def _group(index, k: int):
-    def run(key, queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(queries) or not len(found):
-            return none
+    """The k best of one bundle for each query of one block, list by list."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def run(queries: pa.Table, found: pa.Table) -> pa.Table:
         ix = index.value
-        ids, raw = found["id"].to_numpy(), _matrix(found["v"].to_list(), ix.dims)
-        order = np.argsort(ids, kind="stable")
-        ids, raw = ids[order], raw[order]
-        x = np.ascontiguousarray(ix.lifted(raw).T)
-        qids, qraw, bounds = queries["id"].to_numpy(), _matrix(queries["v"].to_list(), ix.dims), queries["bound"].to_numpy() * (1 + 1e-5) + 1e-5
-        qx, out = ix.lifted(qraw, True), []
-        for a in range(0, len(qids), 256):
-            one, two, _ = scan(qx[a : a + 256], bounds[a : a + 256], x)
-            other = ids[two] != qids[a + one]
-            one, two = a + one[other], two[other]
-            score = np.concatenate([np.einsum("ij,ij->i", raw[two[c : c + 65536]], qraw[one[c : c + 65536]]) for c in range(0, len(one), 65536)] or [np.zeros(0)])
-            best = np.lexsort((ids[two], -score, one))
-            one, two, score = one[best], two[best], score[best]
-            nth = np.arange(len(one)) - np.searchsorted(one, one)
-            out.append(pd.DataFrame({"query_id": qids[one], "vec_id": ids[two], "score": score})[nth < k])
-        return pd.concat(out) if out else none
+        cells, ids, rows = (found.column(c).to_numpy() for c in ("cell", "id", "row"))
+        raw = _matrix(found.column("v"), ix.dims)
+        x = np.ascontiguousarray(ix.lifted(raw).T) if len(raw) else np.zeros((ix.dims + 1, 0), np.float32)
+        qids, qrows, qraw = queries.column("id").to_numpy(), queries.column("row").to_numpy(), _matrix(queries.column("v"), ix.dims)
+        bounds, qx = queries.column("bound").to_numpy() * (1 + 1e-5) + 1e-5, ix.lifted(qraw, True)
+        lists = queries.column("cells").combine_chunks()
+        probed, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(qids)), np.diff(np.asarray(lists.offsets)))
+        out = []
+        for cell in np.unique(cells):
+            own, askers = np.flatnonzero(cells == cell), asker[probed == cell]
+            part = np.ascontiguousarray(x[:, own])
+            for a in range(0, len(askers), 256):
+                some = askers[a : a + 256]
+                one, two, _ = scan(qx[some], bounds[some], part)
+                one, two = some[one], own[two]
+                other = rows[two] != qrows[one]
+                one, two = one[other], two[other]
+                score = np.concatenate([np.einsum("ij,ij->i", raw[two[c : c + 65536]], qraw[one[c : c + 65536]]) for c in range(0, len(one), 65536)] or [np.zeros(0)])
+                out.append((one, two, score))
+        one, two, score = (np.concatenate(y) for y in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best = np.lexsort((rows[two], ids[two], -score, one))
+        one, two, score = one[best], two[best], score[best]
+        first = np.arange(len(one)) - np.searchsorted(one, one) < k
+        one, two, score = one[first], two[first], score[first]
+        return pa.table([pa.array(y) for y in (qrows[one], qids[one], rows[two], ids[two], score)], names)
 
     return run
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 20, probed: float = PROBED) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query; both sides as usable() gives them."""
-    spark = candidates.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    index = fit(candidates)
-    if index is None:
-        best = spark.createDataFrame([], schema)
-    else:
-        shared = spark.sparkContext.broadcast(index)
-        probes = max(1, math.ceil(probed * len(index.centres)))
-        placed = keep(_placed(candidates, shared, False, probes, k))
-        asked = _placed(queries, shared, True, probes, k)
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).collect()  # at most MOST rows
-        parts = lambda: F.broadcast(spark.createDataFrame(sizes, "cell int, parts int"))
-        askers = queries.count() * probes / len(index.centres)
-        rows = max(1, math.ceil(askers / BLOCK))
-        split = lambda of, n: F.pmod(F.xxhash64("id", F.lit(of)), n).cast("int")
-        left = asked.join(parts(), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("row", split("q", F.lit(rows)))
-        right = placed.join(parts(), "cell").withColumn("part", split("c", F.col("parts"))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-        by = ["cell", "part", "row"]
-        best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_group(shared, k), schema)
-        best = best.union(_seeds(queries, shared, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return top(best, k)
-
-
-def top(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+def _scanned(queries: DataFrame, among: DataFrame, index, k: int, whole: bool = False) -> DataFrame:
+    """The k best of each bundle for each query (FOUND). queries: row, id, v; among: as placed() gives them."""
+    spark = among.sparkSession
+    sizes = {r["cell"]: r["n"] for r in among.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most an eighth of the sample
+    bundles = _bundles(sizes)
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    table = F.broadcast(spark.createDataFrame([(c, *x) for c, x in bundles.items()], "cell int, first int, parts int"))
+    left = _asked(queries, index, bundles, k, whole).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    right = among.join(table, "cell").select((F.col("first") + F.pmod(F.xxhash64("row"), "parts")).cast("int").alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "row", "id", "v", "cell")
+    return left.groupBy("bundle", "block").cogroup(right.groupBy("bundle", "block")).applyInArrow(_group(index, k), FOUND)
+
+
+def _search(queries: DataFrame, among: DataFrame, index, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score. queries: row (of among, if the query is one of them), id, v."""
+    found = keep(_scanned(queries, among, index, k))
+    want = F.least(F.lit(k), F.lit(among.count()) - (F.col("row") >= 0).cast("long"))
+    short = queries.join(found.groupBy("row").agg(F.count("*").alias("n")), "row", "left").where(F.coalesce("n", F.lit(0)) < want)
+    short = keep(short.select("row", "id", "v"))
+    if not short.isEmpty():
+        found = found.join(short.select("row"), "row", "left_anti").union(_scanned(short, among, index, k, True))
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id", "vec_row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, where: Column | None = None) -> DataFrame:
-    """The k nearest of each vector whose id is divisible by `every`, among all others."""
+def search(queries: DataFrame, candidates: DataFrame, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query, which is not one of the candidates; both sides as usable() gives them."""
+    index = fit(candidates, k, sample)
+    if index is None:
+        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = candidates.sparkSession.sparkContext.broadcast(index)
+    asked = keep(queries.select((-1 - F.monotonically_increasing_id()).alias("row"), "id", "v"))
+    return _search(asked, placed(candidates, shared), shared, k)
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, where: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`, among all others."""
     rows = usable(vectors)
-    return search(rows.where(where if where is not None else F.col("id") % every == 0), rows, k)
+    index = fit(rows, k, sample)
+    if index is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    among = placed(rows, shared)
+    return _search(among.where(where if where is not None else F.col("id") % every == 0), among, shared, k)

@@ -6,15 +6,23 @@ probability (c - d) / N_k, and a word not seen (all of them together, as in the
 training tokens and distinct words and d its absolute discount. So probabilities of known words and the unknown one add up to 1.
 
 Training: words are counted per task, then by word; the counts of all training texts are a table in the shared folder, and
-only the head comes to the driver. Texts are encoded once into symbols. Baum-Welch: each task runs forward and backward over
-windows of its texts (every token is in one), expected counts are added up by symbol in a shuffle, and the new tables of
-states x symbols go out as a broadcast. The start is a clustering of at most `seeds` texts.
+only the head comes to the driver. Texts are encoded once into symbols. The states start from counts of the whole corpus: every
+training text goes to the nearest of a few centres, and symbols are counted by centre. The centres come from at most SEEDS texts,
+those with the smallest hashes of key and text, of which only BUCKETS sums of symbols each are looked at. Baum-Welch: tasks run
+forward and backward over their texts, expected counts are added up by symbol in a shuffle, and the new tables of states x symbols go
+out as a broadcast, until the likelihood settles or for ROUNDS rounds. Nothing depends on how rows are dealt over partitions.
 
-Scoring: the scaled forward recursion over each whole text, many texts side by side, gives its exact likelihood; words outside
-the head get their part from a join with the counts by word.
+Long texts are cut into windows that are run side by side: each later window is first run from every state, which gives a matrix
+from its entry to its end; the product of the matrices gives the exact forward and backward values at all borders. So
+counts and likelihoods are those of whole texts.
+
+Scoring: the scaled forward recursion over each whole text gives its exact likelihood; words outside the head get their part
+from a join with the counts by word.
 
 Defined cases: a null text counts as empty and has just its end; a null key counts as held out; rows are told apart by
-themselves, so repeated keys and rows keep scores of their own; without training rows all words are unknown and N is 0.
+themselves, so repeated keys and rows keep scores of their own, and repeated rows are learned from as often as they occur; an empty
+table gives an empty one; a very long text is a slice of its own; words with equal counts are in the head together or not at all;
+of equally near centres the first counts; without training rows all words are unknown and N is 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +41,12 @@ from pyspark.sql import functions as F
 from tesserae.llm import text as T
 from tesserae.llm.common import fold, keep
 
-HEAD, CLASSES, STATES, WINDOW = 131_072, 64, 6, 256
+HEAD, CLASSES, STATES = 131_072, 64, 6
+#: Rounds of Baum-Welch at most, and the relative gain of the log-likelihood below which they end.
+ROUNDS, SETTLED = 6, 1e-3
+SEEDS, BUCKETS = 256, 256
+#: Tokens of a window, windows that are run side by side, and tokens of texts that are looked at together.
+WINDOW, GROUP, TOKENS = 512, 256, 1 << 18
 #: Count classes per doubling, by which the head is cut off.
 STEPS = 16
 
@@ -101,7 +114,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, held_out, row, n_head (tokens of the head), head_log10 (sum of log10(c + 1) over them), seq (symbols), tail (words outside the head)."""
+    """doc_id, held_out, h, row, n_head (tokens of the head), head_log10 (sum of log10(c + 1) over them), seq (symbols), tail (words outside the head)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -125,13 +138,13 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             offsets = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
             ended = end < len(v.counts)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), b.column("held_out"), pa.array(row + np.arange(b.num_rows)), pa.array(count - n_tail + ended),
+                b.column("doc_id"), b.column("held_out"), b.column("h"), pa.array(row + np.arange(b.num_rows)), pa.array(count - n_tail + ended),
                 pa.array(T.sums(value, count) + (logs[end] if ended else 0.0)),
                 pa.ListArray.from_arrays(offsets(count + 1), pa.array(seq.astype(np.int32))), pa.ListArray.from_arrays(offsets(n_tail), tails.cast(pa.string())),
-            ], ["doc_id", "held_out", "row", "n_head", "head_log10", "seq", "tail"])
+            ], ["doc_id", "held_out", "h", "row", "n_head", "head_log10", "seq", "tail"])
             row += b.num_rows
 
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_head long, head_log10 double, seq array<int>, tail array<string>")
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, h long, row long, n_head long, head_log10 double, seq array<int>, tail array<string>")
 
 
 @dataclass(frozen=True)
@@ -142,134 +155,224 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray
 
-    def steady(self) -> np.ndarray:
-        p = self.start
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
-
 
-def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), n
+def _ragged(lists: pa.Array):
+    """(first row, values, lengths) of slices of the lists with about TOKENS values; a longer list stands alone."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // TOKENS)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(size)], strict=True):
+        if b > a:
+            yield a, lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False), size[a:b]
+
+
+class _Windows:
+    """The windows of sequences (obs holds one after the other, n their lengths), by length from the longest on.
+
+    doc, nth, begin, length by window; entry: the state weights at the token before a later window; exit: the backward weights at its
+    last token; log: the natural log-likelihood of each sequence.
+    """
+
+    def __init__(self, model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW):
+        self.model, self.obs, self.docs = model, obs, len(n)
+        cuts = (n + window - 1) // window
+        doc = np.repeat(np.arange(len(n)), cuts)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        length = np.minimum(n[doc] - nth * window, window)
+        order = np.argsort(-length, kind="stable")
+        self.doc, self.nth, self.length = doc[order], nth[order], length[order]
+        self.begin = (np.cumsum(n) - n)[self.doc] + self.nth * window
+        states = len(model.start)
+        self.entry, self.exit = np.zeros((len(doc), states)), np.ones((len(doc), states))
+        self.log = np.zeros(len(n))
+
+    def groups(self, of: np.ndarray):
+        """Groups of GROUP of these windows: (indices, how many of them reach each token)."""
+        for g in range(0, len(of), GROUP):
+            own = of[g : g + GROUP]
+            size = self.length[own]
+            yield own, [int(np.searchsorted(-size, -t)) for t in range(int(size[0]))]
+
+    def run(self, backward: bool) -> None:
+        """Fills log and entry, and with `backward` exit."""
+        model, states = self.model, len(self.model.start)
+        first, later = np.flatnonzero(self.nth == 0), np.flatnonzero(self.nth > 0)
+        last = np.zeros((self.docs, states))
+        for own, active in self.groups(first):
+            alpha, log = np.broadcast_to(model.start, (len(own), states)).copy(), np.zeros(len(own))
+            for t, a in enumerate(active):
+                now = (alpha[:a] @ model.move if t else alpha[:a]) * model.emit[self.obs[self.begin[own[:a]] + t]]
+                scale = now.sum(1)
+                alpha[:a] = now / scale[:, None]
+                log[:a] += np.log(scale)
+            last[self.doc[own]], self.log[self.doc[own]] = alpha, log
+        if not len(later):
+            return
+        matrix, scales = np.empty((len(self.doc), states, states)), np.zeros(len(self.doc))
+        for own, active in self.groups(later):
+            m, log = np.broadcast_to(np.eye(states), (len(own), states, states)).copy(), np.zeros(len(own))
+            for t, a in enumerate(active):
+                now = (m[:a].reshape(-1, states) @ model.move).reshape(a, states, states) * model.emit[self.obs[self.begin[own[:a]] + t]][:, None, :]
+                scale = now.sum((1, 2))
+                m[:a] = now / scale[:, None, None]
+                log[:a] += np.log(scale)
+            matrix[own], scales[own] = m, log
+        by_nth = later[np.argsort(self.nth[later], kind="stable")]
+        steps = np.split(by_nth, np.flatnonzero(np.diff(self.nth[by_nth])) + 1)
+        for own in steps:
+            d = self.doc[own]
+            self.entry[own] = last[d]
+            now = np.einsum("ij,ijk->ik", last[d], matrix[own])
+            scale = now.sum(1)
+            last[d] = now / scale[:, None]
+            self.log[d] += np.log(scale) + scales[own]
+        if backward:
+            behind = np.ones((self.docs, states))
+            for own in reversed(steps):
+                d = self.doc[own]
+                self.exit[own] = behind[d]
+                now = np.einsum("ijk,ik->ij", matrix[own], behind[d])
+                behind[d] = now / now.sum(1, keepdims=True)
+            self.exit[first] = behind[self.doc[first]]
+
+
+def log10_likelihood(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of each sequence (obs holds one after the other, n their lengths), by the scaled forward recursion."""
+    w = _Windows(model, obs, n, window)
+    w.run(False)
+    return w.log / math.log(10)
 
 
-def log10_likelihood(model: Hmm, obs: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each sequence (obs holds one after the other, n their lengths), by the scaled forward recursion."""
-    order = np.argsort(-n, kind="stable")
-    length, begin = n[order], (np.cumsum(n) - n)[order]
-    emit, move, total = model.emit, model.move, np.zeros(len(n))
-    alpha = np.broadcast_to(model.start, (len(n), len(model.start)))
-    for t in range(int(n.max(initial=0))):
-        a = int(np.searchsorted(-length, -t))
-        now = (alpha[:a] @ move if t else alpha[:a]) * emit[obs[begin[:a] + t]]
-        scale = now @ np.ones(now.shape[1])
-        alpha = now / scale[:, None]
-        total[:a] += np.log10(scale)
-    out = np.empty(len(n))
-    out[order] = total
-    return out
-
-
-def expected(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW, group: int = 2048):
-    """Expected starts, moves, and emissions (symbol x state) of sequences, by forward and backward over windows."""
+def expected(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """Expected starts, moves and emissions (symbol x state) of whole sequences, and their log-likelihood."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-    cuts = (n + window - 1) // window
-    doc = np.repeat(np.arange(len(n)), cuts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = (np.cumsum(n) - n)[doc] + nth * window
-    length = np.minimum(n[doc] - nth * window, window)
-    order = np.argsort(-length, kind="stable")
-    begin, length, first = begin[order], length[order], nth[order] == 0
-    steady, ones = model.steady(), np.ones(states, np.float32)
-    e32, m32 = model.emit.astype(np.float32), model.move.astype(np.float32)
-    for g in range(0, len(begin), group):
-        at, size, head = begin[g : g + group], length[g : g + group], first[g : g + group]
-        active = [int(np.searchsorted(-size, -t)) for t in range(int(size[0]))]
+    w = _Windows(model, obs, n, window)
+    w.run(True)
+    for own, active in w.groups(np.arange(len(w.doc))):
+        at, head, entry = w.begin[own], w.nth[own] == 0, w.entry[own]
         alphas, emits, scales, seen = [], [], [], []
-        alpha = np.where(head[:, None], model.start, steady).astype(np.float32)
+        alpha = np.where(head[:, None], model.start, entry @ model.move)
+        ended = np.empty((len(own), states))
         for t, a in enumerate(active):
             seen.append(obs[at[:a] + t])
-            emits.append(e32[seen[-1]])
-            now = (alpha[:a] @ m32 if t else alpha[:a]) * emits[-1]
-            scales.append(now @ ones)
+            emits.append(model.emit[seen[-1]])
+            now = (alpha[:a] @ model.move if t else alpha) * emits[-1]
+            scales.append(now.sum(1))
             alpha = now / scales[-1][:, None]
             alphas.append(alpha)
-        beta = np.ones((len(at), states), np.float32)
+            ended[:a] = alpha
+        beta = w.exit[own]
+        beta = beta / (ended * beta).sum(1, keepdims=True)
         gammas = []
         for t in range(len(active) - 1, -1, -1):
             a = active[t]
             gammas.append(alphas[t] * beta[:a])
+            back = emits[t] * beta[:a] / scales[t][:, None]
             if t:
-                back = emits[t] * beta[:a] / scales[t][:, None]
-                move += (alphas[t - 1][:a].T @ back) * m32
-                beta[:a] = back @ m32.T
-        start += gammas[-1][head[: active[0]]].sum(0)
+                move += (alphas[t - 1][:a].T @ back) * model.move
+                beta[:a] = back @ model.move.T
+            else:
+                move += (entry[~head].T @ back[~head]) * model.move
+        start += gammas[-1][head].sum(0)
         symbol, gamma = np.concatenate(seen[::-1]), np.concatenate(gammas)
         for s in range(states):
             emit[:, s] += np.bincount(symbol, gamma[:, s], len(emit))
-    return start, move, emit
-
-
-def start_model(rows: DataFrame, vocab: Vocabulary, states: int = STATES, seeds: int = 256, tokens: int = 1000) -> Hmm:
-    """States that emit as clusters of at most `seeds` texts (those with the smallest hashes; `tokens` of each) do."""
-    some = rows.select(F.slice("seq", 1, tokens).alias("seq"), F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(seeds).select("seq").toArrow()
-    lists, shares = some.column("seq").combine_chunks(), vocab.shares()
-    obs, n = _ragged(lists) if len(lists) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    kinds, which = np.unique(obs, return_inverse=True)
-    x = np.zeros((len(n), len(kinds)), np.float32)
-    np.add.at(x, (np.repeat(np.arange(len(n)), n), which), 1)
-    unit = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
-    emit = np.repeat(shares[:, None], states, axis=1)
-    if len(n):
-        chosen = [int(n.argmax())]
-        for _ in range(states - 1):
-            chosen.append(int((unit @ unit[chosen].T).max(1).argmin()))
-        centre = unit[chosen]
-        for _ in range(8):
-            own = (unit @ centre.T).argmax(1)
-            centre = np.stack([unit[own == s].sum(0) if (own == s).any() else centre[s] for s in range(states)])
-            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-        emit = emit * 500.0
-        for s in range(states):
-            emit[kinds, s] += x[own == s].sum(0)
-        emit /= emit.sum(0)
-    return Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit)
+    return [start, move, emit, np.array([w.log.sum()])]
 
 
-def baum_welch(rows: DataFrame, vocab: Vocabulary, model: Hmm, rounds: int = 3, prior: float = 5.0) -> Hmm:
-    """Counts of each round are summed over all rows; the prior adds so many tokens with the corpus's shares to each state."""
-    states, spark = len(model.start), rows.sparkSession
+def _bags(obs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of BUCKETS groups of symbols in each sequence."""
+    bucket = (T.mix(obs.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS)
+    return np.sqrt(counts / np.maximum(n, 1)[:, None])
+
+
+def _centres(bags: np.ndarray, states: int) -> np.ndarray:
+    """Each next one farthest from those before, then moved to the mean of what is near."""
+    near = lambda x, y: np.round(x @ y.T, 9)
+    chosen = [0]
+    for _ in range(states - 1):
+        chosen.append(int(near(bags, bags[chosen]).max(1).argmin()))
+    centre = bags[chosen]
+    for _ in range(8):
+        own = near(bags, centre).argmax(1)
+        centre = np.stack([bags[own == s].sum(0) if (own == s).any() else centre[s] for s in range(states)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return centre
+
+
+def _summed(rows: DataFrame, each, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, values by state) of what `each` gives for slices (obs, n): symbol-by-state counts, and more rows with symbols below 0.
+
+    Tasks are merged to a few for each core before, as each of them sends a row for every symbol that it has seen.
+    """
     names = [f"s{s}" for s in range(states)]
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
 
-        def run(batches, shared=shared):
-            model, total = shared.value, None
-            for b in batches:
-                now = expected(model, *_ragged(b.column("seq")))
+    def run(batches):
+        total = None
+        for b in batches:
+            for _, obs, n in _ragged(b.column("seq")):
+                now = each(obs, n)
                 total = now if total is None else [x + y for x, y in zip(total, now, strict=True)]
-            if total is not None:
-                start, move, emit = total
-                used = np.flatnonzero(emit.any(1))
-                symbol = np.concatenate([used, -1 - np.arange(states), [-1 - states]])
-                values = np.concatenate([emit[used], move, start[None]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(symbol.astype(np.int32)), *(pa.array(values[:, s]) for s in range(states))], ["symbol", *names])
-
-        sums = rows.select("seq").mapInArrow(run, "symbol int, " + ", ".join(f"{x} float" for x in names))
-        got = sums.groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-        symbol = got.column("symbol").to_numpy()
-        values = np.stack([got.column(x).to_numpy() for x in names], axis=1) if len(symbol) else np.zeros((0, states))
+        if total is not None:
+            emit, *rest = total
+            used = np.flatnonzero(emit.any(1))
+            below = np.concatenate([np.atleast_2d(x) if x.shape[-1] == states else np.full((1, states), x[0] / states) for x in rest]) if rest else np.zeros((0, states))
+            symbol, values = np.concatenate([used, -1 - np.arange(len(below))]), np.concatenate([emit[used], below])
+            yield pa.RecordBatch.from_arrays([pa.array(symbol.astype(np.int32)), *(pa.array(values[:, s]) for s in range(states))], ["symbol", *names])
+
+    some = rows.select("seq").coalesce(3 * rows.sparkSession.sparkContext.defaultParallelism)
+    sums = some.mapInArrow(run, "symbol int, " + ", ".join(f"{x} double" for x in names))
+    got = sums.groupBy("symbol").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    values = np.stack([got.column(x).to_numpy() for x in names], axis=1) if got.num_rows else np.zeros((0, states))
+    return got.column("symbol").to_numpy(), values
+
+
+def start_model(rows: DataFrame, vocab: Vocabulary, states: int = STATES, seeds: int = SEEDS, prior: float = 500.0) -> Hmm:
+    """States that emit what the texts nearest to a centre hold; the prior adds so many tokens with the corpus's shares to each."""
+    emit = prior * np.repeat(vocab.shares()[:, None], states, axis=1)
+
+    def bag(batches):
+        for b in batches:
+            for a, obs, n in _ragged(b.column("seq")):
+                x = _bags(obs, n)
+                yield pa.RecordBatch.from_arrays([b.column("h").slice(a, len(n)), pa.array(list(x), pa.list_(pa.float64()))], ["h", "bag"])
+
+    last = rows.select("h").distinct().orderBy("h").limit(seeds).agg(F.max("h")).first()[0]
+    if last is not None:
+        # rows with equal hashes are equal, so that there are at most `seeds` bags
+        bags = rows.where(F.col("h") <= last).select("h", "seq").mapInArrow(bag, "h long, bag array<double>").groupBy("h").agg(F.first("bag").alias("bag")).toArrow().sort_by("h")
+        shared = rows.sparkSession.sparkContext.broadcast(_centres(np.stack(bags.column("bag").to_numpy()), states))
+
+        def each(obs, n):
+            own = np.round(_bags(obs, n) @ shared.value.T, 9).argmax(1)
+            return [np.bincount(obs.astype(np.int64) * states + np.repeat(own, n), minlength=emit.size).reshape(emit.shape).astype(float)]
+
+        symbol, values = _summed(rows, each, states)
+        emit[symbol] += values
+    return Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
+
+
+def baum_welch(rows: DataFrame, vocab: Vocabulary, model: Hmm, rounds: int = ROUNDS, settled: float = SETTLED, prior: float = 5.0) -> Hmm:
+    """Counts of each round are summed over all rows; the prior adds so many tokens with the corpus's shares to each state."""
+    states, before = len(model.start), None
+    for _ in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def each(obs, n, shared=shared):
+            start, move, emit, log = expected(shared.value, obs, n)
+            return [emit, move, start, log]
+
+        symbol, values = _summed(rows, each, states)
         emit = prior * np.repeat(vocab.shares()[:, None], states, axis=1)
         emit[symbol[symbol >= 0]] += values[symbol >= 0]
-        move, start = np.full((states, states), 1.0), np.full(states, 1.0)
-        for k in np.flatnonzero(symbol < 0):
-            if symbol[k] >= -states:
-                move[-1 - symbol[k]] += values[k]
-            else:
-                start += values[k]
+        more = np.zeros((states + 2, states))
+        more[-1 - symbol[symbol < 0]] = values[symbol < 0]
+        move, start, now = 1.0 + more[:states], 1.0 + more[states], more[states + 1].sum()
         model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        if before is not None and now - before <= settled * abs(before):
+            break
+        before = now
     return model
 
 
@@ -297,15 +400,16 @@ def forward(rows: DataFrame, model: Hmm) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            obs, n = _ragged(b.column("seq"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n), pa.array(log10_likelihood(shared.value, obs, n))], [*names, "n_seq", "forward_log10"])
+            for a, obs, n in _ragged(b.column("seq")):
+                some = [b.column(c).slice(a, len(n)) for c in names]
+                yield pa.RecordBatch.from_arrays([*some, pa.array(n), pa.array(log10_likelihood(shared.value, obs, n))], [*names, "n_seq", "forward_log10"])
 
     return rows.select(*names, "seq").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, folds: int = 7, held: int = 2, head: int = HEAD, states: int = STATES, rounds: int = 3) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held: int = 2, head: int = HEAD, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    rows = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(True)).alias("held_out"), F.col("text").alias("text"))
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(True)).alias("held_out"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), F.col("text").alias("text"))
     counts = keep(word_counts(rows.where(~F.col("held_out")).select("text")))
     vocab = vocabulary(counts, head)
     encoded = keep(encode(rows, vocab))

@@ -8,7 +8,7 @@ features whose joint table explains most of what is left. Scoring looks bins up
 The tables are fitted on the driver from the features of at most `sample` labelled documents (those with the smallest
 hash of the key): 20 numbers a row, 8 MB at the default bound. Features and scores of all documents are computed in tasks.
 
-Defined cases: a null text counts as empty; an empty text has all features 0 and is scored like any other; repeated rows are scored
+Defined cases: a null text counts as empty; an empty text (one empty line without words) is scored like any other; repeated rows are scored
 alike, and each counts in training; an empty table gives an empty one; a very long text is a slice of its own; of labelled rows with
 equal hashes the smaller key, then the smaller label goes first; a document with several labels counts once for each; null labels
 are left out; without labels of both kinds every score is the share of label 1 (0.5 if there are none); a null key counts as held
@@ -75,9 +75,11 @@ def features(texts: pa.Array) -> np.ndarray:
     f["repeat_next"] = np.bincount(doc[1:][again], minlength=n)[:n] / some
     space = kind == _CLASSES.index("space")
     first = np.append(True, space[:-1]) if len(space) else space
+    first[at[:-1][size > 0]] = True
     upper_first = np.flatnonzero((kind == _CLASSES.index("upper")) & first)
     f["upper_words"] = np.diff(np.searchsorted(upper_first, at)) / some
     last = np.append(space[1:], True) if len(space) else space
+    last[at[1:][size > 0] - 1] = True
     mark_last = np.flatnonzero(((kind == _CLASSES.index("symbol")) | (kind == _CLASSES.index("exclaim"))) & last)
     f["mark_ends"] = np.diff(np.searchsorted(mark_last, at)) / some
     lines = pc.split_pattern(texts, "\n")
@@ -247,8 +249,11 @@ def accept(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float
     rows = with_features(own.join(F.broadcast(some), "key"), "key")
     shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample=sample))
 
+    plain, text = [f"c{k}" for k in range(len(docs.columns))], f"c{docs.columns.index('text')}"  # whatever the columns' names are
+
     def run(batches):
-        for b in T.slices(batches, "text", SLICE):
-            yield b.filter(pa.array(shared.value.score(features(b.column("text"))) >= threshold))
+        for b in T.slices(batches, text, SLICE):
+            yield b.filter(pa.array(shared.value.score(features(b.column(text))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*plain)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

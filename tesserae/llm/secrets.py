@@ -158,4 +158,4 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     out = rows.withColumn("text", F.when(changed, new).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop(own, key, cut, end)

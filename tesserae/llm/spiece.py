@@ -344,38 +344,44 @@ class Segmenter:
         return out
 
 
+def _plain(df: DataFrame, used: str, out: str, kind: str) -> tuple[DataFrame, list[str], str, list[str]]:
+    """The columns but `out` under names of our own, as they may have any; these names, the schema with `out` of this kind, and the names to give back."""
+    rest = [c for c in df.columns if c != out]
+    named = [f"c{k}" for k in range(len(rest))]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(rest, named, strict=True)), F.col(f"`{used}`").alias("used"))
+    return rows, named, "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in named) + f"out {kind}", [*rest, out]
+
+
 def encode(docs: DataFrame, model: Segmenter, text: str = "text", out: str = "ids") -> DataFrame:
     """The rows of docs, with the array of ids of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != out]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` array<int>"
+    rows, named, schema, names = _plain(docs, text, out, "array<int>")
 
     def run(batches):
-        for b in T.slices(batches, text, SLICE):
-            ids, n = shared.value.encode(b.column(text))
+        for b in T.slices(batches, "used", SLICE):
+            ids, n = shared.value.encode(b.column("used"))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), lists], [*names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in named), lists], [*named, "out"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def decode(rows: DataFrame, model: Segmenter, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows, with the text that the ids stand for."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in rows.columns if c != out]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` string"
+    rows, named, schema, names = _plain(rows, ids, out, "string")
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                b = batch.slice(k, 2000)
-                lists = b.column(ids)
-                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = shared.value.decode(flat, n)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, out])
-
-    return rows.select(*names).mapInArrow(run, schema)
+            size = pc.fill_null(pc.list_value_length(batch.column("used")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // (SLICE // 4))) + 1  # ids that stand for about SLICE bytes
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                b = batch.slice(x, y - x)
+                flat = pc.fill_null(b.column("used").flatten(), -1).to_numpy(zero_copy_only=False)
+                texts = shared.value.decode(flat.astype(np.int64), size[x:y])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in named), pa.array(texts, pa.string())], [*named, "out"])
+
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def digest(docs: DataFrame, model: Segmenter) -> DataFrame:

@@ -77,6 +77,52 @@ def test_quality_scores_are_sums_of_tables():
     assert ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
+def plain_features(text):
+    raw = (text or "").encode()
+    words = bytes(c + 32 if 65 <= c <= 90 else c for c in raw).split()
+    n, w, lines = max(len(raw), 1), max(len(words), 1), (text or "").split("\n")
+    spaces, f = b" \t\n\r\x0b\x0c", {}
+    kinds = {"upper": bytes(range(65, 91)), "digit": b"0123456789", "symbol": b"#$%&*@^~_=+<>{}[]\\/", "exclaim": b"!?", "pipe": b"|", "stop_comma": b".,;:", "high": bytes(range(128, 256)), "space": spaces}
+    for name, chars in kinds.items():
+        f[name] = sum(c in chars for c in raw) / n
+    f["log_bytes"], f["log_words"], f["log_lines"] = math.log1p(len(raw)), math.log1p(len(words)), math.log1p(len(lines))
+    f["word_bytes"], f["short_words"] = sum(map(len, words)) / w, sum(len(x) <= 3 for x in words) / w
+    f["longest_word"] = math.log1p(max(map(len, words), default=0))
+    f["distinct_words"], f["repeat_next"] = len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
+    f["line_words"], f["distinct_lines"] = math.log1p(len(words) / len(lines)), len(set(lines)) / len(lines)
+    f["upper_words"] = sum(c in kinds["upper"] and (k == 0 or raw[k - 1] in spaces) for k, c in enumerate(raw)) / w
+    f["mark_ends"] = sum(c in kinds["symbol"] + b"!?" and (k + 1 == len(raw) or raw[k + 1] in spaces) for k, c in enumerate(raw)) / w
+    return [f[x] for x in quality.FEATURES]
+
+
+def test_quality_features_are_those_of_each_text_alone(spark, docs):
+    odd = ["Abc Abc! x", "Upper", "$", None, "", "a\n\na\nB|", "é È 日本 !?\t#", "X" * 500, "  lead", "two\r\nlines\x0b."]
+    got = quality.features(pa.array(odd, pa.string()))
+    assert np.allclose(got, [plain_features(t) for t in odd], rtol=1e-5)
+    rows = {r.key: r.x for r in quality.with_features(docs.where("doc_id between 0 and 9")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(np.allclose(x, plain_features(texts[k]), rtol=1e-5) for k, x in rows.items())
+
+
+def test_quality_scores_are_those_of_a_plain_version(spark):
+    """classify() against features, sample and sums of tables made one row at a time."""
+    texts = {k: prose(k, 30) if k % 2 else prose(k, 30).replace(" ", "$$ ").upper() for k in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = {k: int(k % 2 or k % 10 == 0) for k in texts if k % 3}
+    labels = spark.createDataFrame([(k, q, 0) for k, q in marks.items()], "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    learned = [k for k in order if k in marks and crc(k, 5) != 0]
+    x = {k: np.array(plain_features(t), np.float32) for k, t in texts.items()}
+    model = quality.fit(np.stack([x[k] for k in learned]), np.array([float(marks[k]) for k in learned]))
+    for r in quality.classify(df, labels).collect():
+        b = [int((np.sort(e) <= v).sum()) for e, v in zip(model.edges, x[r.doc_id], strict=True)]
+        z = model.intercept + sum(t[b[f]] for f, t in enumerate(model.tables))
+        z += sum(t[int((ef <= b[f]).sum()), int((eg <= b[g]).sum())] for f, g, ef, eg, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6) and r.predicted == int(r.score >= 0.3)
+    kept = {r.doc_id for r in quality.accept(df, labels).collect()}
+    assert kept == {r.doc_id for r in quality.classify(df, labels).collect() if r.predicted}
+
+
 # 2
 
 
@@ -111,8 +157,68 @@ def test_hmm_forward_is_the_sum_over_paths():
                 p *= model.move[a, b] * model.emit[o, b]
             total += p
         assert value == pytest.approx(math.log10(total))
-    start, move, emit = hmm.expected(model, np.concatenate(seqs), np.array([len(s) for s in seqs]))
-    assert start.sum() == pytest.approx(4, rel=1e-4) and emit.sum() == pytest.approx(12, rel=1e-4) and move.sum() == pytest.approx(8, rel=1e-4)
+    # windows of two or four tokens, or none: the counts and likelihoods of whole sequences
+    want = [sum(x) for x in zip(*(plain_expected(model, s) for s in seqs), strict=True)]
+    for window in (2, 4, 512):
+        counts = hmm.expected(model, np.concatenate(seqs), np.array([len(s) for s in seqs]), window)
+        assert all(np.allclose(a, b) for a, b in zip(counts, want, strict=True))
+        assert np.allclose(hmm.log10_likelihood(model, np.concatenate(seqs), np.array([len(s) for s in seqs]), window), got)
+
+
+def plain_expected(model, seq):
+    """Starts, moves, emissions and log-likelihood of one sequence, by probabilities that are not scaled."""
+    alpha, beta = [model.start * model.emit[seq[0]]], [np.ones(len(model.start))]
+    for o in seq[1:]:
+        alpha.append((alpha[-1] @ model.move) * model.emit[o])
+    for o in seq[:0:-1]:
+        beta.insert(0, model.move @ (model.emit[o] * beta[0]))
+    total = alpha[-1].sum()
+    move, emit = np.zeros_like(model.move), np.zeros_like(model.emit)
+    for t, o in enumerate(seq):
+        emit[o] += alpha[t] * beta[t] / total
+        if t:
+            move += np.outer(alpha[t - 1], model.emit[o] * beta[t]) * model.move / total
+    return alpha[0] * beta[0] / total, move, emit, math.log(total)
+
+
+def hmm_texts(spark):
+    halves = WORDS[:12], WORDS[12:]
+    lines = [" ".join(random.Random(k).choice(halves[k % 2]) for _ in range(3 + k % 5)) + f" once{k}" for k in range(60)]
+    return spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+
+
+def test_hmm_scores_are_those_of_a_plain_version(spark):
+    """Two states: Baum-Welch and forward with plain probabilities, words outside the head by their shares of their classes."""
+    df, rounds = hmm_texts(spark), 3
+    rows = df.select("doc_id", (F.col("doc_id") < 0).alias("held_out"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    train = {r.doc_id: r.text.split() + [""] for r in df.collect() if crc(r.doc_id, 7) != 2}
+    vocab = hmm.vocabulary(hmm.word_counts(df.where(F.col("doc_id").isin(*train)).select("text")), 16)
+    counted, words = Counter(w for ws in train.values() for w in ws), vocab.words.to_pylist()
+    symbol = lambda w: words.index(w) if w in words else len(words) + hmm._spelling(w.encode())
+    seqs = {r.doc_id: [symbol(w) for w in [*r.text.split(), ""]] for r in df.collect()}
+    model = hmm.start_model(hmm.encode(rows.where(F.col("doc_id").isin(*train)), vocab), vocab, 2)
+    for _ in range(rounds):
+        start, move, emit, _ = (sum(x) for x in zip(*(plain_expected(model, seqs[k]) for k in train), strict=True))
+        start, move, emit = start + 1, move + 1, emit + 5 * vocab.shares()[:, None]
+        model = hmm.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+    def share(w):
+        k = hmm._spelling(w.encode())
+        if w in words or not vocab.tokens[k]:
+            return 0.0
+        return math.log10((counted[w] - vocab.discount[k] if counted[w] else vocab.discount[k] * vocab.distinct[k]) / vocab.tokens[k])
+
+    for r in hmm.score(df, head=16, states=2, rounds=rounds).collect():
+        text = [*next(x.text for x in df.where(F.col("doc_id") == r.doc_id).collect()).split(), ""] if r.doc_id in (0, 7, 31) else None
+        if text:
+            want = plain_expected(model, seqs[r.doc_id])[3] / math.log(10) + sum(map(share, text))
+            assert r.score == pytest.approx(want, rel=1e-6)
+
+
+def test_hmm_does_not_depend_on_partitions(spark, docs):
+    df = hmm_texts(spark).union(docs.select("doc_id", "text"))
+    one, seven = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in hmm.score(df.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys() and all(one[k] == pytest.approx(seven[k], abs=1e-6) for k in one)
 
 
 def test_hmm_probabilities_add_up(spark):
@@ -366,6 +472,36 @@ def plain_nearest(vectors, every, k):
     return set(out)
 
 
+def test_neighbours_in_many_lists(spark, monkeypatch):
+    """A sample far below the table, many lists, hot ones in several bundles: what is found comes from the lists alone."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 24))
+    x = np.concatenate([centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 24)) * 0.6, rng.normal(size=(1000, 24))]).astype(np.float32)
+    x = np.concatenate([x, centres[3] + rng.normal(size=(1200, 24)).astype(np.float32) * 0.05])
+    df = spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    index = ann.fit(ann.usable(df), 20, sample=640)
+    assert len(index.centres) > 50 and len(index.sample) == 640 and index.probes < len(index.centres) * 0.7
+    got = defaultdict(list)
+    for r in ann.nearest(df, 20, 20, sample=640).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x64, hit = x.astype(np.float32).astype(float), 0
+    assert set(got) == set(range(0, len(x), 20))
+    for q, found in got.items():
+        score = x64 @ x64[q]
+        score[q] = -np.inf
+        hit += len({v for v, _ in found} & set(np.lexsort((np.arange(len(x)), -score))[:20].tolist()))
+        assert len(found) == 20 and all(s == pytest.approx(score[v], rel=1e-12) for v, s in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_every_row_is_a_candidate(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
+    assert got == sorted([(0, 1, 0, 1.0), (0, 2, 0, 0.5), (0, 3, 1, 0.0)] * 2 + [(0, 1, 0, 0.5), (0, 2, 0, 0.5), (0, 3, 1, 0.5)])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), rng.normal(size=8).round(2).tolist()) for i in range(200)]
@@ -431,6 +567,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_pairs_are_those_of_all_alignments(spark):
+    """All documents against all items by plain Smith-Waterman; items share words, one occurs again and again in a text."""
+    items = {k: prose(100 + k % 3, 12 + 5 * k) for k in range(6)} | {6: "mu nu xi", 7: " ".join(["pi rho"] * 10)}
+    docs, rng = {}, random.Random(2)
+    for k in range(60):
+        body = items[k % 8].split()
+        for _ in range(rng.randrange(0, 1 + len(body) // 2)):
+            body[rng.randrange(len(body))] = rng.choice(WORDS)
+        docs[k] = " ".join(prose(200 + k, 20).split() + body + prose(300 + k, 15).split())
+    docs[60] = " ".join(["pi rho"] * 400)
+    want = {(d, k): s for d, t in docs.items() for k, i in items.items() if (s := plain_align(i.split(), t.split())) >= len(i.split())}
+    got = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.sw_score for r in got} == want and len(got) == len(want)
+
+
+def test_hits_of_one_text_are_gone_through_by_items(monkeypatch):
+    lines = [" ".join(["pi rho"] * n) + f" end{n}" for n in range(3, 20)]
+    items = decontam._items(pa.array(range(len(lines))), pa.array(lines))
+    h, n = decontam.T.word_hashes(pa.array([" ".join(["pi rho"] * 300), "pi rho " * 20]), decontam.TABLE)
+    all_ = sorted(zip(*(x.tolist() for x in decontam.found(items, h, n)), strict=True))
+    monkeypatch.setattr(decontam, "_HITS", 50)
+    assert sorted(zip(*(x.tolist() for x in decontam.found(items, h, n)), strict=True)) == all_ and len(all_) == 2 * len(lines)
+
+
 def test_every_run_of_six_words_holds_a_seed():
     item = prose(80, 40)
     items = decontam._items(pa.array([1]), pa.array([item]))
@@ -460,3 +620,57 @@ def test_edited_copies_without_long_runs():
     for freq in (np.zeros(len(items.grams)), np.arange(len(items.grams)), np.arange(len(items.grams))[::-1]):
         d, k, score, _, _ = decontam.found(decontam.seeds(items, freq.astype(np.int64)), h, n)
         assert {(a, b): s for a, b, s in zip(d.tolist(), k.tolist(), score.tolist(), strict=True) if s >= len(lines[b])} == want
+
+
+# odd rows in stages
+
+
+STAGES = {
+    "quality": lambda df, b, q: quality.accept(df, q), "neardup": lambda df, b, q: neardup.deduplicate(df),
+    "decontam": lambda df, b, q: decontam.decontaminate(df, b), "secrets": lambda df, b, q: secrets.redact(df),
+    "sentencepiece": lambda df, b, q: spiece.encode(df, spiece.Segmenter(spiece.load(PIECES)), out="text_ids").drop("text_ids"),
+}
+CLASHING = ("id", "ID", "hash", "Key", "own", "cut", "END", "stays", "n", "node", "halves", "row", "label", "group", "h", "x", "score", "key_", "a.b", "__id", "__hash", "__key_", "salt", "parts")
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_columns_of_any_name_pass_through_stages(spark, stage):
+    texts = [prose(1, 40), prose(1, 40), prose(2, 40) + " token=abcdefgh12345", prose(3, 40), None, "", "  "]
+    data = [(k, t, *(f"{c}{k}" for c in CLASHING)) for k, t in enumerate(texts)]
+    sql = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    conf = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")  # so that the test's own names may differ by case alone
+    try:
+        df = spark.createDataFrame(data + [data[0]], sql)
+        bench = spark.createDataFrame([(1, prose(3, 40))], "item_id long, text string")
+        labels = spark.createDataFrame([(k, 1, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+        out = STAGES[stage](df, bench, labels)
+        assert out.columns == df.columns
+        rows = {tuple(r)[2:]: r.text for r in out.collect()}
+        assert set(rows) <= {d[2:] for d in data}
+        gone = {"neardup": {1}, "decontam": {3}}.get(stage, set())
+        assert set(rows) == {d[2:] for d in data if d[0] not in gone}
+        if stage == "neardup":
+            assert out.where("doc_id = 0").count() == 1
+        if stage == "secrets":
+            assert rows[data[2][2:]].endswith(" [SECRET]")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", conf)
+
+
+def test_texts_of_megabytes(spark):
+    long = prose(5, 400_000) + ' token = "0123456789abcdef" ' + "z" * 1_000_000 + "\n" + prose(6, 40)
+    df = spark.createDataFrame([(1, long), (2, prose(7, 50)), (3, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert len(long) > 3_000_000
+    assert quality.classify(df, labels).count() == 3
+    scores = {r.doc_id: r for r in hmm.score(df, states=2, rounds=2).collect()}
+    assert scores[1].score == pytest.approx(scores[3].score) and math.isfinite(scores[1].score)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+    got = {r.doc_id for r in decontam.contaminated(df, spark.createDataFrame([(1, prose(6, 40))], "item_id long, text string")).collect()}
+    assert got == {1, 3}
+    assert "[SECRET]" in secrets.redact(df).where("doc_id = 1").first().text
+    assert langid.identify_all(df.withColumn("lang", F.lit("en"))).count() == 3
+    pieces = spiece.Segmenter(spiece.load(PIECES))
+    assert all(r.same for r in spiece.digest(df, pieces).collect())
+    assert wordpiece.token_counts(df, wordpiece.load(PIECES)).count() == 3 and sharding.assign_shards(df, [1.0] * 3).count() == 3
