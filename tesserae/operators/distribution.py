@@ -39,3 +39,8 @@ def target_counts(sizes: DataFrame) -> DataFrame:
     one = sizes.where("n > 0").agg(F.min("n").cast("double").alias("min"), F.max("n").cast("double").alias("max"), F.avg("n").alias("mean"), F.median("n").alias("median"))
     long = one.select(F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).alias("x")) for t in TARGETS))).alias("t"))
     return long.select("t.target", half_even(F.col("t.x")).alias("rounded"), F.col("t.x").cast("long").alias("truncated"))
+
+
+def by_size(sizes: DataFrame) -> DataFrame:
+    """label, n, place: the largest class first, equal ones by label. One row for each class."""
+    return sizes.select("label", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "label")).alias("place"))

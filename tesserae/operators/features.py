@@ -43,6 +43,16 @@ def extract(images: DataFrame, blocks: tuple[Block, ...] = DEFAULT, side: int =
     return images.mapInArrow(run, schema)
 
 
+# Means and deviations of red, green and blue.
+CHANNEL_MEANS, CHANNEL_DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def imagenet_normalised(rgb: Column) -> Column:
+    """Numbers 0 to 255 in row order, red, green, blue: divided by 255, less the channel's mean, over its deviation."""
+    of = lambda values, k: F.element_at(F.array(*(F.lit(x) for x in values)), (k % 3 + 1).cast("int"))
+    return F.transform(rgb, lambda x, k: (x / 255.0 - of(CHANNEL_MEANS, k)) / of(CHANNEL_DEVIATIONS, k))
+
+
 def dimensions(blocks: tuple[Block, ...] = DEFAULT) -> int:
     return sum(n for _, _, n in layout(blocks))
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.sources.scratch import keep
+
 #: Rows of a block of training vectors and of a block of queries.
 BLOCK = 4096
 EPSILON = 1e-10
@@ -42,8 +44,9 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "id", la
     """query_id, rank, neighbour_id, label, distance: the k nearest training rows of each query; ties go to the smaller id.
 
     Both sides are dealt out in blocks of about BLOCK rows; each pair of blocks gives k candidates for a query, and the best k
-    of those stay. No task holds more than two blocks, whatever the sizes.
+    of those stay. No task holds more than two blocks, whatever the sizes. Both sides are written once, however long they took to make.
     """
+    queries, train = keep(queries.select(key, vector)), keep(train.select(key, label, vector))
     parts, rows = (max(1, math.ceil(x.count() / BLOCK)) for x in (train, queries))
     kinds = {f.name: f.dataType.simpleString() for f in train.schema}
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -76,6 +79,11 @@ def probabilities(near: DataFrame, classes: DataFrame | None = None) -> DataFram
     return grid.join(shares, ["query_id", "label"], "left").fillna(0.0, ["probability"])
 
 
+def ranked(shares: DataFrame) -> DataFrame:
+    """query_id, label, probability, place: from the largest on, equal ones by label."""
+    return shares.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("probability").desc(), "label")))
+
+
 def sweep(near: DataFrame, weights: DataFrame, actual: DataFrame, ks: tuple[int, ...] = SWEEP) -> DataFrame:
     """k, accuracy, accuracy_percent for each k, all from one table of the max(ks) nearest. actual: query_id, actual."""
     each = near.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where(F.col("rank") <= F.col("k"))

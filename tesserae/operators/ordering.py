@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.sources.scratch import keep
 
-def numbered(df: DataFrame, key: str, parts: int = 512) -> DataFrame:
-    """Adds `nth` from 0 in the order of a numeric key; equal keys in any order.
+#: Rows of a stretch, about.
+STRETCH = 1 << 20
 
-    Rows are numbered within equal stretches of the key's range; a stretch starts behind those before it. Even keys give even
-    stretches; where keys crowd, more parts narrow them.
+
+def numbered(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Adds `nth` from 0 in the order of a key; equal keys in any order, null ones first.
+
+    Rows are dealt into stretches that part where the key's quantiles are, so that a stretch has about STRETCH rows wherever keys crowd; each
+    starts behind those before it. A stretch of one key alone (equal keys never part) is dealt on, as its rows may stand in any order.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn("nth", F.lit(0).cast("long")).limit(0)
-    part = F.least(F.floor((F.col(key) - low) * F.lit(float(parts)) / F.lit(float(high - low + 1))), F.lit(parts - 1)).cast("int")
-    cut = df.withColumn("__part", part)
-    sizes = cut.groupBy("__part").agg(F.count("*").alias("__c"))
-    starts = sizes.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__start"))  # one row for each part
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return cut.withColumn("__l", local).join(F.broadcast(starts), "__part").withColumn("nth", F.col("__start") + F.col("__l")).drop("__part", "__l", "__start")
+    part, deal, place, start, own = "__part", "__deal", "__place", "__start", "__own"
+    n = parts or max(1, round(df.count() / STRETCH))
+    ranged = keep(df.repartitionByRange(n, F.col(key).asc_nulls_first()).withColumns({part: F.spark_partition_id(), own: F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("c"), (F.count_distinct(key) + F.count_if(F.col(key).isNull()).cast("boolean").cast("int") == 1).alias("one"))
+    dealt = F.broadcast(sizes.where("one").select(part, F.ceil(F.col("c") / STRETCH).cast("int").alias(deal)))  # at most n rows
+    ranged = ranged.join(dealt, part, "left").withColumn(deal, F.pmod(F.col(own), F.coalesce(deal, F.lit(1))))
+    starts = ranged.groupBy(part, deal).agg(F.count("*").alias("c"))
+    starts = starts.select(part, deal, (F.sum("c").over(Window.orderBy(part, deal)) - F.col("c")).alias(start))  # a row for each stretch
+    local = F.row_number().over(Window.partitionBy(part, deal).orderBy(F.col(key).asc_nulls_first(), own)) - 1
+    return ranged.withColumn(place, local).join(F.broadcast(starts), [part, deal]).withColumn("nth", F.col(start) + F.col(place)).select(*df.columns, "nth")

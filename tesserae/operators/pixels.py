@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ANGLES = (0.0, math.pi / 4, math.pi / 2, 3 * math.pi / 4)
 #: Pixel offsets (row, column) of the four angles at distance 1; at distance 2 the diagonals round to the same, as sin and cos do.
-PROPERTIES = ("contrast", "dissimilarity", "homogeneity", "energy")
+PROPERTIES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
 
 
 def offset(distance: int, angle: float) -> tuple[int, int]:
@@ -93,9 +93,14 @@ def cooccurrence(images: DataFrame, distances: Sequence[int] = (1, 2), angles: S
     turned = counted.unionByName(counted.select("id", "distance", "angle", F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("id", "distance", "angle", "a", "b").agg(F.sum("n").alias("n"))
     d = F.col("a") - F.col("b")
     n, total = F.col("n"), F.sum("n")
+    # the matrix is symmetric, so both sides have one mean and one variance
+    mean = F.sum(n * F.col("a")) / total
+    var = F.sum(n * F.col("a") * F.col("a")) / total - mean * mean
+    both_sides = F.sum(n * F.col("a") * F.col("b")) / total - mean * mean
     return turned.groupBy("id", "distance", "angle").agg(
         (F.sum(n * d * d) / total).alias("contrast"), (F.sum(n * F.abs(d)) / total).alias("dissimilarity"),
         (F.sum(n / (1 + d * d)) / total).alias("homogeneity"), (F.sqrt(F.sum((n * n).cast("double"))) / total).alias("energy"),
+        F.when(var < 1e-12, F.lit(1.0)).otherwise(both_sides / var).alias("correlation"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,8 @@ _OFFSETS = ", ".join(f"({d}, {k}, {pixels.offset(d, a)[0]}, {pixels.offset(d, a)
 
 @query(f"""WITH {_PX}, o AS (SELECT p.id, k.distance, k.angle, p.x * 8 // 256 AS a, n.x * 8 // 256 AS b FROM px p, (VALUES {_OFFSETS}) k(distance, angle, dr, dc), px n WHERE n.id = p.id AND n.r = p.r + k.dr AND n.c = p.c + k.dc),
 s AS (SELECT * FROM o UNION ALL SELECT id, distance, angle, b, a FROM o), g AS (SELECT id, distance, angle, a, b, count(*)::DOUBLE AS n FROM s GROUP BY ALL), t AS (SELECT id, distance, angle, sum(n) AS t FROM g GROUP BY ALL)
-SELECT id, distance, angle, round(sum(n / t * (a - b) ** 2), 9) AS contrast, round(sum(n / t * abs(a - b)), 9) AS dissimilarity, round(sum(n / t / (1 + (a - b) ** 2)), 9) AS homogeneity, round(sqrt(sum((n / t) ** 2)), 9) AS energy
+SELECT id, distance, angle, round(sum(n / t * (a - b) ** 2), 9) AS contrast, round(sum(n / t * abs(a - b)), 9) AS dissimilarity, round(sum(n / t / (1 + (a - b) ** 2)), 9) AS homogeneity, round(sqrt(sum((n / t) ** 2)), 9) AS energy,
+round(CASE WHEN sum(n / t * a * a) - sum(n / t * a) ** 2 < 1e-12 THEN 1 ELSE (sum(n / t * a * b) - sum(n / t * a) ** 2) / (sum(n / t * a * a) - sum(n / t * a) ** 2) END, 9) AS correlation
 FROM g JOIN t USING (id, distance, angle) GROUP BY ALL""")
 def glcm_props(spark, sf_dir):
     out = pixels.cooccurrence(_images(spark, sf_dir))
@@ -85,6 +88,24 @@ def lbp_hist(spark, sf_dir):
     return pixels.pattern_histogram(_images(spark, sf_dir), 1, 4, 6).withColumn("share", F.round("share", 9))
 
 
+def _corners(points: int = 8, radius: int = 1) -> str:
+    """(point, row offset, column offset, weight) of the pixels between which each point of the circle lies."""
+    out = []
+    for k in range(points):
+        dr, dc = round(-radius * math.sin(2 * math.pi * k / points), 5), round(radius * math.cos(2 * math.pi * k / points), 5)
+        r, c = math.floor(dr), math.floor(dc)
+        out += [f"({k}, {r + a}, {c + b}, {abs(1 - a - dr + r) * abs(1 - b - dc + c)!r}::DOUBLE)" for a in (0, 1) for b in (0, 1)]
+    return ", ".join(out)
+
+
+@query(f"""WITH {_PX}, w AS (SELECT p.id, p.r, p.c, k.j, any_value(p.x) AS x, sum(coalesce(n.x, 0) * k.w) AS v FROM px p CROSS JOIN (VALUES {_corners()}) k(j, dr, dc, w) LEFT JOIN px n ON n.id = p.id AND n.r = p.r + k.dr AND n.c = p.c + k.dc GROUP BY p.id, p.r, p.c, k.j),
+b AS (SELECT id, r, c, list((v + 1e-9 >= x)::INTEGER ORDER BY j) AS bits FROM w GROUP BY 1, 2, 3),
+{_shares("SELECT id, CASE WHEN list_sum(list_transform(range(1, 9), lambda i: abs(bits[i] - bits[i % 8 + 1]))) <= 2 THEN list_sum(bits) ELSE 9 END AS x FROM b", 59, 0, 59)}""")
+def lbp_hist_8(spark, sf_dir):
+    """With the eight neighbours and 59 bins of production, which lie between pixels."""
+    return pixels.pattern_histogram(_images(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
 @query(f"""WITH {_PX}, k AS (SELECT u.v AS u, x.v AS x, CASE WHEN u.v = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END * cos(pi() * (2 * x.v + 1) * u.v / 16) AS w FROM (SELECT unnest(range(8)) AS v) u, (SELECT unnest(range(8)) AS v) x),
 d AS (SELECT p.id, a.u, b.u AS v, sum(p.x / 255.0::DOUBLE * a.w * b.w) ** 2 AS e FROM px p JOIN k a ON a.x = p.r JOIN k b ON b.x = p.c GROUP BY ALL),
 s AS (SELECT id, sum(CASE WHEN u < 1 AND v < 1 THEN e ELSE 0 END) AS low, sum(CASE WHEN u BETWEEN 1 AND 2 AND v BETWEEN 1 AND 2 THEN e ELSE 0 END) AS mid, sum(CASE WHEN u >= 3 AND v >= 3 THEN e ELSE 0 END) AS high FROM d GROUP BY 1)
@@ -143,6 +164,6 @@ def svm_linear_predict(spark, sf_dir):
 @query()
 def svm_rbf_predict(spark, sf_dir):
     train, val = tabular._scaled(spark, sf_dir)
-    mapped = svm.feature_map("rbf", svm.gamma_of("scale", train), 64, size=64)
+    mapped = svm.feature_map("rbf", svm.gamma_of("scale", train), 64)
     as_map = lambda df: df.withColumn("features", mapped(F.col("features")))
     return svm.predict(svm.train(as_map(train), weights(counts(train)), cost=10.0), as_map(val)).select("id", "predicted")

@@ -11,6 +11,10 @@ from tesserae.functions.blocks import DEFAULT, Block
 from tesserae.functions.labels import CODES, code_of
 from tesserae.operators import augment, balance, distribution, features, knn, metrics, policy, scaling
 from tesserae.sources import images as image_source
+from tesserae.sources.scratch import keep
+
+#: Rows of paths that are broadcast at most.
+CHOSEN = 200_000
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,11 @@ class Build:
 
 
 def build(spark: SparkSession, root: str, settings: Build = Build()) -> DataFrame:  # noqa: B008
-    """path, label, split, is_augmented, features. Pixels are read only for the rows chosen; the validation part is neither balanced nor augmented."""
+    """path, label, split, is_augmented, features. The validation part is neither balanced nor augmented.
+
+    Spark's image source decodes whole folders, so images that balancing leaves out are decoded as well; their pixels are dropped before
+    any shuffle as long as the chosen rows can be broadcast (CHOSEN at most).
+    """
     listed = image_source.listing(spark, root).select("path", "label")
     small = [r["label"] for r in balance.small_classes(distribution.counts(listed), settings.share).collect()]  # one row for each class
     if small:
@@ -40,7 +48,9 @@ def build(spark: SparkSession, root: str, settings: Build = Build()) -> DataFram
     pixels = image_source.images(spark, root).drop("label")
     plain = val.select("path", "label", "split").union(chosen.select("path", "label", "split")).withColumn("slot", F.lit(None).cast("long"))
     wanted = plain.union(slots.select("path", "label", F.lit("train"), "slot"))
-    rows = augment.apply(wanted.join(pixels, "path"), settings.keys, settings.seed)
+    wanted = keep(wanted)
+    small = wanted.count() <= CHOSEN
+    rows = augment.apply(pixels.join(F.broadcast(wanted) if small else wanted, "path"), settings.keys, settings.seed)
     out = features.extract(rows, settings.blocks, settings.side)
     return out.select("path", "label", "split", F.col("slot").isNotNull().alias("is_augmented"), "features", "error")
 

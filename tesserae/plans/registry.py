@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import images, tabular
+from tesserae.plans import images, serving, tabular
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return tabular.QUERIES | images.QUERIES
+    return tabular.QUERIES | images.QUERIES | serving.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tabular.SQL | images.SQL
+    return tabular.SQL | images.SQL | serving.SQL

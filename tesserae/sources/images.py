@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.labels import is_image, label_of, suffix_of, unescaped
+from tesserae.sources.scratch import keep
 
 
 def _plain_path(path):
@@ -13,19 +15,35 @@ def _plain_path(path):
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def _entries(batches):
+    """path, length and folder (whether it is one) of what is in each directory, empty files too."""
+    from pyarrow import fs
+
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            files, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            head = "file:" if path.startswith(("file:", "/")) else path[: len(path) - len(inner)] if path.endswith(inner) else path.split(inner)[0]
+            found = [(head + x.path, x.size or 0, x.type == fs.FileType.Directory) for x in files.get_file_info(fs.FileSelector(inner, recursive=False))]
+            for k in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found[k : k + 10_000], strict=True)], ["path", "length", "folder"])
+
+
 def listing(spark: SparkSession, root: str, suffixes: bool = True) -> DataFrame:
     """path, length, label, suffix of all files below root, empty ones too (the binaryFile source leaves those out).
 
-    Names and sizes come from the file system's own listing, an entry at a time; file contents are not read.
+    Tasks list directories, level by level; the driver sees neither names nor contents of files. root: a local path, or an address that
+    Arrow's file systems know.
     """
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
-    rows = []
-    while files.hasNext():
-        f = files.next()
-        rows.append((f.getPath().toString(), f.getLen()))
-    df = spark.createDataFrame(rows, "path string, length long").withColumn("path", _plain_path(F.col("path")))
+    todo, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while True:
+        level = keep(todo.mapInArrow(_entries, "path string, length long, folder boolean"))
+        files = level.where("not folder").select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        todo = level.where("folder").select("path")
+        if todo.isEmpty():
+            break
+        todo = todo.repartition(spark.sparkContext.defaultParallelism)
+    df = found.withColumn("path", _plain_path(F.col("path")))
     df = df.withColumns({"label": label_of(F.col("path"), escaped=False), "suffix": suffix_of(F.col("path"))})
     return df.where(is_image(F.col("path"))) if suffixes else df
 

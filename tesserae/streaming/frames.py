@@ -125,11 +125,18 @@ def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa
     yield from rest
 
 
-def throttle_stream(frames: DataFrame, device: str, ms: str, key: str, interval: int = INTERVAL_MS) -> DataFrame:
-    """The same for a stream: the state of a device is the time of its last kept frame. Frames of a micro-batch go in order of time."""
+def throttle_stream(frames: DataFrame, device: str, ms: str, key: str, interval: int = INTERVAL_MS, forget_ms: int | None = None) -> DataFrame:
+    """The same for a stream: the state of a device is the time of its last kept frame. Frames of a micro-batch go in order of time.
+
+    With forget_ms the state of a device that sends nothing for so long is dropped, and its next frame is kept as its first one. Such a
+    stream has to look for silent devices all the time, so it does not end by itself when its input does.
+    """
     kinds = {c: frames.schema[c].dataType.simpleString() for c in (device, ms, key)}
 
     def run(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows, kept = pd.concat(list(parts)).sort_values([ms, key]), []
         for t, k in zip(rows[ms], rows[key], strict=True):
@@ -138,23 +145,29 @@ def throttle_stream(frames: DataFrame, device: str, ms: str, key: str, interval:
                 kept.append((of[0], t, k))
         if last is not None:
             state.update((last,))
+            if forget_ms is not None:
+                state.setTimeoutDuration(max(forget_ms, interval, 1))
         yield pd.DataFrame(kept, columns=[device, ms, key])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (device, ms, key))
-    return frames.groupBy(device).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy(device).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def latest(frames: DataFrame, device: str, ms: str) -> DataFrame:
-    """Of each device the newest frame alone."""
+def latest(frames: DataFrame, device: str, ms: str, key: str | None = None) -> DataFrame:
+    """Of each device the newest frame alone; of frames of the same time the one with the largest key."""
     rest = [c for c in frames.columns if c != device]
-    return frames.groupBy(device).agg(F.max_by(F.struct(*rest), ms).alias("f")).select(device, "f.*")
+    order = F.struct(ms, key) if key else F.col(ms)
+    return frames.groupBy(device).agg(F.max_by(F.struct(*rest), order).alias("f")).select(device, "f.*")
 
 
 def classify_stream(frames: DataFrame, classify: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, device: str = "device", ms: str = "ms", newest_only: bool = True):
-    """Each micro-batch: the newest frame of each device (others are dropped), classified, appended to a Parquet folder. Returns the query."""
+    """Each micro-batch: the newest frame of each device (others are dropped), classified, to a folder of its own below `out`. Returns the query.
+
+    A batch that is run again after a failure writes its folder anew, so it is there once; batch_id is the partition column of `out`.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = latest(batch, device, ms) if newest_only else batch
-        classify(rows).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        classify(rows).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
     return frames.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
