@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import clear, keep, shared_dir
+
+__all__ = ["clear", "fold", "fresh", "join_spread", "keep", "shared_dir", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,51 +35,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="tesserae-")
-        spark.sparkContext.setCheckpointDir(top)
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/tesserae/{spark.sparkContext.applicationId}"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one key that join_spread() gives to one task, and keys at most that have more.
+MOST, HOT = 1 << 16, 100_000
 
 
-#: Rows of one key that a join gives to one task, and keys at most that have more.
-MOST, HOT = 4096, 100_000
+def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None, most: int = MOST, total: int | None = None) -> DataFrame:
+    """many joined with one (a row for each key), where no task gets the rows of a hot key whole.
 
-
-def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None, most: int = MOST) -> DataFrame:
-    """many joined with one (a row for each key), where no task gets the rows of a hot key whole. counts: key, and n rows of `many` (None: one has n).
-
-    Rows of a hot key are dealt over as many tasks as it needs, and its row of `one` is repeated for each. What is broadcast are the
-    hot keys: a key is hot with more than `most` rows, and with more than a HOT-th of all rows, so there are fewer than HOT.
+    counts: key, and n rows of `many` (None: one has n); total: of rows of `many`, at least (None: counted). Rows of a hot key are dealt
+    over as many tasks as it needs, and its row of `one` is repeated for each. What is broadcast are the hot keys: a key is hot with
+    more than `most` rows, and with more than a HOT-th of all rows, so there are fewer than HOT.
     """
-    counts = keep(one if counts is None else counts.select(key, "n"))
-    one = counts if "n" in one.columns else one
-    top, total = counts.agg(F.max("n"), F.sum("n")).first()
-    most = max(most, math.ceil((total or 0) / HOT))
-    if (top or 0) <= most:
+    total = many.count() if total is None else total
+    most = max(most, math.ceil(total / HOT))
+    counts = one if counts is None else counts
+    if total <= most or (counts.agg(F.max("n")).first()[0] or 0) <= most:
         return many.join(one, key)
     parts, salt = fresh(many.join(one, key), "parts", "salt")
-    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias(parts)))
+    hot = F.broadcast(keep(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias(parts))))
     rest = [F.col(c) for c in many.columns if c != key]
     left = many.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*rest), F.coalesce(parts, F.lit(1))).cast("int"))
     right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
     return left.drop(parts).join(right.drop(parts), [key, salt]).drop(salt)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that keep() has written in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -47,6 +47,8 @@ _SALT = _RANDOM.integers(0, 1 << 63, HALVES, dtype=np.uint64)
 WORDS, FAR = 16, 181
 #: Classes of a bucket that meet in one group of a join.
 BLOCK = 256
+#: Pairs of one class whose text goes to one task.
+MOST_TEXTS = 256
 _BITS = _RANDOM.integers(0, 1 << 32, (2, WORDS * 64), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _POWERS = [pow(0x9E3779B97F4A7C15, SIZE - 1 - k, 1 << 64) for k in range(SIZE)]
 
@@ -145,7 +147,7 @@ def _tables(classes: DataFrame) -> DataFrame:
     """key, node, weight: buckets with more than one class. weight: how many classes share the node's half-keys."""
     counted = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     halves = classes.select("node", F.explode("halves").alias("half"))
-    own = join_spread(halves, counted(halves, "half"), "half").groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
+    own = join_spread(halves, counted(halves, "half"), "half", total=HALVES * classes.count()).groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
     pairs = own.select("node", "weight", "halves", F.posexplode("halves").alias("k", "a"))
     keys = keep(pairs.select("node", "weight", "a", F.explode(F.slice("halves", F.col("k") + 2, F.size("halves"))).alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight"))
     return keep(join_spread(keys, counted(keys, "key"), "key").select("key", "node", "weight"))
@@ -213,7 +215,7 @@ def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: Dat
     bounds = _shared(left.select("node", "label").distinct(), texts).join(classes.select("node", "n_shingles", F.sort_array("halves").alias("halves")), "node")
     alone = SHARE * F.col("shared") >= PART * F.col("n_shingles")  # else no partner of any size is similar enough
     bounds = keep(bounds.where(alone))
-    left = left.join(bounds.select("node"), "node", "left_semi")
+    left = keep(left.join(bounds.select("node"), "node", "left_semi"))
     sizes = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     left = keep(join_spread(left, sizes, "key").join(bounds.join(_sketched(bounds, texts), "node"), "node"))
     # a bucket is cut into blocks; each pair of blocks is joined by itself
@@ -232,7 +234,7 @@ def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: Dat
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: node, text."""
+    """The pairs (a, b), a kept table, whose full sets are similar enough. texts: node, text."""
 
     def run(batches):
         for batch in batches:
@@ -246,28 +248,28 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = (SHARE * same >= PART * (n + m - same)) & (same > 0)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    both = pairs
+    both, total = pairs, pairs.count()
     for side, text in (("a", "text"), ("b", "text_b")):
         own = texts.select(F.col("node").alias(side), F.col("text").alias(text))
-        both = join_spread(both, own, side, pairs.groupBy(side).agg(F.count("*").alias("n")))
+        both = join_spread(both, own, side, pairs.groupBy(side).agg(F.count("*").alias("n")), MOST_TEXTS, total)
     return both.select("a", "b", "text", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, label (the smallest node of its component) for every node that has a link."""
     edges = keep(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    before, total = None, edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = keep(join_spread(both, least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        large = keep(join_spread(both, least, "a", total=2 * total).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = join_spread(large, least, "b")
+        small = join_spread(large, least, "b", total=2 * total)
         edges = keep(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
