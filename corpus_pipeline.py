@@ -5,9 +5,9 @@ gives doc_id, n_tokens and ids. Models are learned here, from labels, and never
 
 Defined cases: a null or empty text passes all stages but the first, which scores it like any other, and has no ids; a very long
 text is worked on whole; of repeated rows and other copies one stays (documents without words are no copies of each other); of
-equally good copies the one with the smallest id, then with the smallest hash of its text stays; empty tables give empty ones, and
-without labels of both kinds or without benchmark items the first and the third stage keep all (with no labels at all the score is
-0.5); columns with any other names pass through all stages but the last, which drops them.
+equally good copies the one with the smallest id, then with the smallest hash of its text stays; empty tables give empty ones;
+without labels of both kinds all documents have one score, the share of label 1 (0.5 without any label); without benchmark items the
+third stage keeps all; columns with any other names pass through all stages but the last, which drops them.
 """
 
 from __future__ import annotations
