@@ -127,12 +127,12 @@ def _gabor_bank(shape: tuple[int, int], orientations: int, sigmas: tuple, lambda
             for theta in np.arange(orientations) * np.pi / orientations:
                 u, v = x * np.cos(theta) + y * np.sin(theta), -x * np.sin(theta) + y * np.cos(theta)
                 kernel = np.exp(-0.5 * (u * u + gamma**2 * v * v) / sigma**2) * np.cos(2 * np.pi * u / lam + psi)
-                out.append(np.fft.rfft2(kernel, shape))
+                out.append(np.fft.rfft2(kernel[::-1, ::-1], shape))  # turned, so that the product is a correlation
     return np.array(out)
 
 
 def gabor(s: Sample, orientations=4, sigmas=(2.0, 4.0), lambdas=(6.0, 10.0), gamma=0.5, psi=0.0, ksize=31) -> np.ndarray:
-    """Mean and deviation of the responses; correlation by FFT over the mirrored image (the kernels are symmetric about their centre)."""
+    """Mean and deviation of the responses; correlation by FFT over the mirrored image."""
     g = np.pad(s.gray.astype(float), ksize // 2, mode="reflect")
     bank = _gabor_bank(g.shape, orientations, tuple(sigmas), tuple(lambdas), gamma, psi, ksize)
     full = np.fft.irfft2(np.fft.rfft2(g) * bank, g.shape)[:, ksize - 1 :, ksize - 1 :]

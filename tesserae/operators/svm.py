@@ -65,11 +65,11 @@ def feature_map(kernel: str, gamma: float, dims: int, size: int = 256, seed: int
     def run(vectors):
         import pandas as pd
 
-        some = vectors.notna()
-        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
-        if some.any():
-            out[some] = list(project(np.stack(vectors[some].to_list()).astype(float)))
-        return out
+        out, some = [None] * len(vectors), np.flatnonzero(vectors.notna())
+        if len(some):
+            for k, z in zip(some.tolist(), project(np.stack(vectors.iloc[some].to_list()).astype(float)), strict=True):
+                out[k] = z
+        return pd.Series(out, index=vectors.index, dtype=object)
 
     return run
 
@@ -136,11 +136,12 @@ def _added(rows: DataFrame, each, spark: SparkSession) -> dict[int, np.ndarray]:
     return {k: np.array(v) for k, v in zip(got.column("k").to_pylist(), got.column("v").to_pylist(), strict=True)}
 
 
-def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], costs: list[float], classes: list[int], iterations: int = 60) -> list[np.ndarray]:
+def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], costs: list[float], classes: list[int], iterations: int = 40) -> list[np.ndarray]:
     """For each map the weights (dims + 1, costs, classes) of its machines: those with the least |w|^2 / 2 + cost * sum of weighted squared hinges.
 
-    rows: y (a class), weight, x. Accelerated gradient steps on the means over rows; their length follows from the largest eigenvalue of
-    each map's second moments. The driver holds weights and gradients alone, whose number does not depend on the rows.
+    rows: y (a class), weight, x. Accelerated steps on the means over rows, each to the minimum of a bound on the loss: its curvature
+    is at most that of all rows together, which each map's second moments give. The driver holds weights, gradients and second moments
+    alone, whose number does not depend on the rows.
     """
     spark, n = rows.sparkSession, rows.count()
     lifted = lambda project, b: np.column_stack([project(_matrix(b.column("x"))), np.ones(b.num_rows)])
@@ -149,7 +150,8 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
         return [np.zeros((1, len(costs), len(classes))) for _ in maps]
     sides = [math.isqrt(len(moments[k])) for k in range(len(maps))]
     pull = 1 / (np.array(costs) * n)
-    steps = [1 / (2 * np.linalg.eigvalsh(moments[k].reshape(d, d) / n)[-1] * 1.0001 + pull) for k, d in enumerate(sides)]
+    shrink = [np.append(np.ones(d - 1), 0.0)[:, None, None] * pull[:, None] for d in sides]  # the offset is free
+    bound = [[np.linalg.inv(2 * moments[k].reshape(d, d) / n + np.diag(shrink[k][:, c, 0] + 1e-9)) for c in range(len(costs))] for k, d in enumerate(sides)]
     w = [np.zeros((d, len(costs), len(classes))) for d in sides]
     ahead, t = [x.copy() for x in w], 1.0
     for _ in range(iterations):
@@ -165,14 +167,14 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
             return out
 
         grads, before, t_before = _added(rows, each, spark), w, t
-        shrink = [np.append(np.ones(d - 1), 0.0)[:, None, None] * pull[:, None] for d in sides]  # the offset is free
-        w = [ahead[k] - steps[k][:, None] * (grads[k].reshape(ahead[k].shape) / n + shrink[k] * ahead[k]) for k in range(len(maps))]
+        grads = [grads[k].reshape(ahead[k].shape) / n + shrink[k] * ahead[k] for k in range(len(maps))]
+        w = [np.stack([ahead[k][:, c] - bound[k][c] @ grads[k][:, c] for c in range(len(costs))], axis=1) for k in range(len(maps))]
         t = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead = [w[k] + (t_before - 1) / t * (w[k] - before[k]) for k in range(len(maps))]
     return w
 
 
-def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: DataFrame | None = None, label: str = "label", vector: str = "features", size: int = 256, iterations: int = 60) -> DataFrame:
+def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: DataFrame | None = None, label: str = "label", vector: str = "features", size: int = 256, iterations: int = 40) -> DataFrame:
     """combo, c, gamma, kernel, accuracy, balanced_accuracy, f1_macro of every point (combo, c, gamma, kernel) on held-out rows.
 
     Labels are integers; `weights` (label, weight) weighs rows by class. Points that differ in their cost alone share a map.

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.blocks import DEFAULT
-from tesserae.functions.labels import code_of
 from tesserae.operators import distribution, features, knn, metrics, policy, svm
 from tesserae.plans import images as image_plans
 from tesserae.plans import pipeline, tabular
 from tesserae.sources import images, store
-from tesserae.sources.scratch import shared_dir
+from tesserae.sources.scratch import keep, shared_dir
 from tesserae.streaming import frames
 
 QUERIES, SQL = {}, {}
@@ -88,9 +87,7 @@ def _spool(folder: str):
     """Writes content to files named by md5, in tasks; gives key and path."""
 
     def run(batches):
-        from pyarrow import fs
-
-        files, top = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        files, top, _ = images.opened(folder)
         files.create_dir(top, recursive=True)
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
@@ -101,11 +98,11 @@ def _spool(folder: str):
     return run
 
 
-def answer(asked: DataFrame, model: dict[str, DataFrame], key: str = "id", side: int = 256, k: int = 1) -> DataFrame:
-    """JSON requests (key, value) with encoded images to key, className, confidence, error.
+def answer(asked: DataFrame, model: dict[str, DataFrame], machines: pipeline.Machines | None = None, key: str = "id", side: int = 256, k: int = 1, certainty: float = policy.CERTAINTY) -> DataFrame:
+    """JSON requests (key, value) with encoded images to key, className, confidence, error, each by the classifier that it names.
 
     Contents are spooled by their digests (equal images once) into the shared folder, decoded by Spark's image source, turned into
-    features, and classified as predict() does. A request that fails keeps its place with null and the reason.
+    features, and classified as predict() or predict_svm() does. A request that fails keeps its place with null and the reason.
     """
     spark = asked.sparkSession
     folder = _new(spark, "spool")
@@ -115,8 +112,10 @@ def answer(asked: DataFrame, model: dict[str, DataFrame], key: str = "id", side:
     if not written:
         return parsed.select(key, F.lit(None).cast("string").alias("className"), F.lit(None).cast("double").alias("confidence"), "error")
     pixels = images.images(spark, folder, keep_invalid=True).select(F.element_at(F.split("path", "/"), -1).alias("id"), "height", "width", "rgb")
-    said = pipeline.predict(features.extract(pixels, DEFAULT, side), model, k).select(F.col("id").alias("name"), "label", F.col("confidence").alias("sure"), F.col("error").alias("failed"))
-    out = parsed.join(said, "name", "left")
+    seen = keep(features.extract(pixels, DEFAULT, side))
+    by = {"knn": pipeline.predict(seen, model, k, certainty), "svm": pipeline.predict_svm(seen, machines, certainty) if machines else seen.select("id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit("no svm model").alias("error"))}
+    said = [df.select(F.lit(kind).alias("classifier"), F.col("id").alias("name"), "label", F.col("confidence").alias("sure"), F.col("error").alias("failed")) for kind, df in by.items()]
+    out = parsed.join(said[0].union(said[1]), ["name", "classifier"], "left")
     return out.select(key, F.when(F.col("error").isNull(), F.col("label")).alias("className"), F.when(F.col("error").isNull(), F.col("sure")).alias("confidence"), F.coalesce("error", "failed").alias("error"))
 
 
@@ -255,16 +254,8 @@ def svm_best(spark, sf_dir):
 
 @query()
 def svm_proba(spark, sf_dir):
-    """id, predicted, confidence (calibrated on a fifth of the training rows) and label or `unknown`, by the machine with random Fourier features."""
-    train, val = tabular._scaled(spark, sf_dir)
-    mapped = svm.feature_map("rbf", svm.gamma_of("scale", train), 64)
-    as_map = lambda df: df.withColumn("features", mapped(F.col("features")))
-    aside = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    model = svm.train(as_map(train.where(~aside)), distribution.weights(distribution.counts(train)), cost=10.0)
-    seen = svm.predict(model, as_map(train.where(aside))).join(train.select("id", "label"), "id")
-    each = seen.select(F.posexplode("scores").alias("c", "score"), "label").select("score", (F.col("c") == F.col("label")).alias("hit"))
-    a, b = svm.calibrate(each)
-    out = svm.predict(model, as_map(val)).withColumn("p", svm.probabilities(F.col("scores"), a, b))
-    top = F.get("p", F.col("predicted"))
-    label, sure = policy.by_probability(F.col("predicted"), top, 0.2)
-    return out.select("id", "predicted", top.alias("probability"), label.alias("label"), sure.alias("confidence"), code_of(label).alias("code"))
+    """id, label or `unknown`, code, confidence (calibrated on a fifth of the training rows) by machines on random Fourier features."""
+    name = F.element_at(F.array(*(F.lit(x) for x in tabular._NAMES)), F.col("label") % 8 + 1)
+    rows = tabular._vectors(spark, sf_dir).withColumn("label", name)
+    held = rows.where("split = 'val'").select("id", "features", F.lit(None).cast("string").alias("error"))
+    return pipeline.predict_svm(held, pipeline.train_svm(rows, cost=10.0), 0.2)

@@ -15,14 +15,23 @@ def _plain_path(path):
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def opened(path: str):
+    """(Arrow file system, path in it, what to put before its paths) of a local path or an address."""
+    from pyarrow import fs
+
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"), "file:"
+    files, inner = fs.FileSystem.from_uri(path)
+    return files, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
+
+
 def _entries(batches):
     """path, length and folder (whether it is one) of what is in each directory, empty files too."""
     from pyarrow import fs
 
     for b in batches:
         for path in b.column("path").to_pylist():
-            files, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-            head = "file:" if path.startswith(("file:", "/")) else path[: len(path) - len(inner)] if path.endswith(inner) else path.split(inner)[0]
+            files, inner, head = opened(path)
             found = [(head + x.path, x.size or 0, x.type == fs.FileType.Directory) for x in files.get_file_info(fs.FileSelector(inner, recursive=False))]
             for k in range(0, len(found), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found[k : k + 10_000], strict=True)], ["path", "length", "folder"])

@@ -79,6 +79,15 @@ def test_numbers_are_gapless(spark):
     assert ordering.numbered(df.limit(0), "k").count() == 0
 
 
+def test_numbers_of_a_hot_key_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "STRETCH", 40)
+    keys = [7] * 500 + list(range(300)) + [None] * 90 + [10**15]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(6)
+    got = sorted((r.nth, r.k) for r in ordering.numbered(df, "k").collect())
+    assert [n for n, _ in got] == list(range(len(keys)))
+    assert [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
 def test_scaler_keeps_constant_columns(spark):
     train = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "features array<double>")
     scaler = scaling.fit(train)

@@ -3,17 +3,19 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
+from tesserae.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SQL = __spark_entry__.oracle_sql()
+SQL = registry.oracle_sql()
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    cell = lambda v: round(float(v), 5) + 0.0 if isinstance(v, float) else v
+    cell = lambda v: None if pd.isna(v) else round(float(v), 5) + 0.0 if isinstance(v, float) else v
     return sorted(repr([cell(v.item() if hasattr(v, "item") else v) for v in r]) for r in df.itertuples(index=False))
 
 
@@ -23,7 +25,7 @@ def test_same_rows(spark, name):
     db = duckdb.connect()
     for f in os.listdir(SF):
         db.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
-    got, want = __spark_entry__.queries()[name](spark, SF).toPandas(), db.execute(SQL[name]).df()
+    got, want = registry.queries()[name](spark, SF).toPandas(), db.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.plans import pipeline
+from tesserae.plans import pipeline, serving
 from tesserae.sources import images, store
 from tesserae.streaming import frames
 
@@ -92,6 +92,15 @@ def test_files_to_predictions(spark, tree):
     assert len(out) == 14 and out["x"].code is None and out["x"].error == "no pixels"
     assert all(r.code in (0, 1) and r.confidence >= 0.6 for r in out.values() if r.id != "x")
     assert {r.label for r in pipeline.predict(odd, model, k=1, distance=0.0).collect() if r.label} >= {"glass", "paper"}  # rows of the model itself are at distance 0
+    machines = pipeline.train_svm(rows.select("id", "label", "features", "split"), "linear", cost=10.0, iterations=8)
+    by_svm = {r.id: r for r in pipeline.predict_svm(odd, machines, 0.5).collect()}
+    right = {r.id: r.label for r in rows.collect()}
+    assert by_svm["x"].error == "no pixels" and all(r.label == right[k] and 0.5 <= r.confidence <= 1 for k, r in by_svm.items() if k != "x")
+    read = lambda name: base64.b64encode(open(f"{tree}/{name}", "rb").read()).decode()  # noqa: E731, SIM115
+    asked = [(1, read("glass/0.png"), "knn"), (2, read("paper/3.png"), "KNN"), (3, base64.b64encode(b"no image").decode(), "knn"), (4, "@", "knn"), (5, read("glass/0.png"), "tree"), (6, read("glass/0.png"), "svm")]
+    rows = spark.createDataFrame([(k, json.dumps({"image": i, "classifier": c})) for k, i, c in asked], "id long, value string")
+    said = {r.id: (r.className, r.error) for r in serving.answer(rows, model, machines, side=32, k=3, certainty=0.5).collect()}
+    assert said == {1: ("glass", None), 2: ("paper", None), 3: (None, "no pixels"), 4: (None, "image is not base64"), 5: (None, "classifier must be knn or svm"), 6: ("glass", None)}
 
 
 def test_small_classes_are_refused(spark, tmp_path):
@@ -140,4 +149,4 @@ def test_classified_stream(spark, tmp_path):
     spark.createDataFrame([("a", t, t) for t in MS], schema).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     frames.classify_stream(stream, lambda df: df.withColumn("label", F.lit("glass")), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
-    assert [(r.ms, r.label) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1001, "glass")]
+    assert [(r.ms, r.label, r.batch_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1001, "glass", 0)]
