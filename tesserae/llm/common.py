@@ -48,11 +48,15 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | N
     """
     total = many.count() if total is None else total
     most = max(most, math.ceil(total / HOT))
-    counts = one if counts is None else counts
-    if total <= most or (counts.agg(F.max("n")).first()[0] or 0) <= most:
+    if total <= most:
+        return many.join(one, key)
+    # written, so that counting does not cost another shuffle of `many`
+    counts = keep(one if counts is None else counts)
+    one = counts if "n" in one.columns else one
+    if (counts.agg(F.max("n")).first()[0] or 0) <= most:
         return many.join(one, key)
     parts, salt = fresh(many.join(one, key), "parts", "salt")
-    hot = F.broadcast(keep(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias(parts))))
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias(parts)))
     rest = [F.col(c) for c in many.columns if c != key]
     left = many.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*rest), F.coalesce(parts, F.lit(1))).cast("int"))
     right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
