@@ -46,7 +46,7 @@ HEAD, CLASSES, STATES = 131_072, 64, 6
 ROUNDS, SETTLED = 6, 1e-3
 SEEDS, BUCKETS = 256, 256
 #: Tokens of a window, windows that are run side by side, and tokens of texts that are looked at together.
-WINDOW, GROUP, TOKENS = 512, 256, 1 << 18
+WINDOW, GROUP, TOKENS = 512, 256, 1 << 20
 #: Count classes per doubling, by which the head is cut off.
 STEPS = 16
 
