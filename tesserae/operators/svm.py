@@ -24,6 +24,8 @@ from tesserae.sources.scratch import keep
 # The grid, in the order of its nesting.
 COSTS, GAMMAS, KERNELS = (0.1, 1.0, 10.0, 100.0), ("scale", "auto", "0.001", "0.01", "0.1", "1"), ("rbf", "linear", "poly")
 MOST_CLASSES = 1000
+#: Rows of a partition at least, in training.
+ROWS = 4096
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -79,6 +81,7 @@ def train(rows: DataFrame, weights: DataFrame | None = None, cost: float = 1.0,
     df = rows.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(label).alias("__l"))
     df = df.join(F.broadcast(weights.select(F.col("label").alias("__l"), "weight")), "__l") if weights is not None else df.withColumn("weight", F.lit(1.0))
     n = df.count()
+    df = df.coalesce(max(1, math.ceil(n / ROWS)))  # every step is a job, so small tables are not spread
     one = LinearSVC(featuresCol="x", weightCol="weight", maxIter=iterations, regParam=1 / (cost * max(n, 1)))
     return OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted").fit(df.select("label", "x", "weight"))
 
