@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.sources.scratch import clear, keep, shared_dir
 
-__all__ = ["clear", "fold", "fresh", "join_spread", "keep", "shared_dir", "table"]
+__all__ = ["before", "clear", "fold", "fresh", "in_order", "join_spread", "keep", "shared_dir", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -61,3 +62,35 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | N
     left = many.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*rest), F.coalesce(parts, F.lit(1))).cast("int"))
     right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
     return left.drop(parts).join(right.drop(parts), [key, salt]).drop(salt)
+
+
+def before(df: DataFrame, group: str, part: str, order: list[Column], value: Column | None = None, name: str = "nth", total: str = "total") -> DataFrame:
+    """Adds, for each row, the sum of the value (None: 1, so the rank from 0) over the rows before it in its group, and the group's sum.
+
+    Parts of a group stand one behind the other in their own order and are summed up by themselves, so no task holds a group, but a
+    row for each of its parts. Neither group nor part may be null.
+    """
+    value = F.lit(1).cast("long") if value is None else value
+    own, start, g, p = fresh(df, "own", "start", "g", "p")
+    sums = df.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.sum(value).alias(own))
+    all_parts = Window.partitionBy(g)
+    starts = sums.select(g, p, (F.sum(own).over(all_parts.orderBy(p)) - F.col(own)).alias(start), F.sum(own).over(all_parts).alias(total))
+    local = F.sum(value).over(Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn(own, local).join(starts, (F.col(group) == F.col(g)) & (F.col(part) == F.col(p)))
+    return out.select(*df.columns, (F.col(start) + F.coalesce(own, F.lit(0))).cast("long").alias(name), F.col(total).cast("long").alias(total))
+
+
+#: Rows of a stretch of an order, as long as that makes no more than MOST_STRETCHES.
+STRETCH, MOST_STRETCHES = 8192, 20_000
+
+
+def in_order(df: DataFrame, group: str, order: list[Column], value: Column | None = None, name: str = "nth", total: str = "total") -> DataFrame:
+    """before(), with parts that are stretches between quantiles of (group, order); equal rows stand in any order.
+
+    The rows are written once, dealt into stretches; one more column tells equal rows apart, so that a stretch ends within a run of them.
+    """
+    part, own = fresh(df, "part", "row")
+    stretches = min(max(1, math.ceil(df.count() / STRETCH)), MOST_STRETCHES)
+    dealt = df.withColumn(own, F.monotonically_increasing_id()).repartitionByRange(stretches, F.col(group), *order, F.col(own))
+    out = before(keep(dealt.withColumn(part, F.spark_partition_id())), group, part, [*order, F.col(own)], value, name, total)
+    return out.drop(part, own)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import ann, decontam, hmm, langid, neardup, oracle, quality, secrets, sharding, spiece, wordpiece
+from tesserae.llm import ann, decontam, fim, hmm, langid, manifest, mixing, neardup, oracle, quality, secrets, sharding, spiece, wordpiece
 from tesserae.llm.common import table
 
 SHARDS = 24
@@ -54,9 +54,21 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hash")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op4_secrets, op5_sentencepiece, op6_token_counts, op7_sharding, op8_neardup, op9_ann, op10_decontam)}
+    return {f.__name__: f for f in (op1_quality, op2_hmm, op3_langid, op4_secrets, op5_sentencepiece, op6_token_counts, op7_sharding, op8_neardup, op9_ann, op10_decontam, op11_fim, op12_manifest, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": oracle.secrets_sql(), "op7_sharding": oracle.sharding_sql(SHARDS), "op8_neardup": oracle.neardup_sql()}
+    return {"op4_secrets": oracle.secrets_sql(), "op7_sharding": oracle.sharding_sql(SHARDS), "op8_neardup": oracle.neardup_sql(), "op11_fim": oracle.fim_sql(), "op12_manifest": oracle.manifest_sql(), "op13_mixing": oracle.mixing_sql()}

@@ -3,14 +3,21 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tesserae.llm import queries
-from tests.test_oracle import SF, rows
+from tests.test_oracle import SF
 
 SQL = queries.oracle_sql()
 
 
+def rows(df):
+    """Rows to compare, whole numbers as such also in columns with nulls."""
+    cell = lambda v: None if pd.isna(v) else int(v) if not isinstance(v, str) and v == int(v) else round(float(v), 5) if isinstance(v, float) else v
+    return sorted(repr([cell(v) for v in r]) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, name):
