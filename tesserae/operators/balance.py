@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.labels import half_even, shuffled
+from tesserae.functions.names import fresh
 from tesserae.operators.distribution import TARGETS
 from tesserae.operators.ranking import hash_rank
 
@@ -14,9 +15,10 @@ STRATEGIES = ("none", "balance", "oversample_minority", "undersample_majority")
 
 def split(df: DataFrame, key: str, label: str = "label", share: float = 0.3, seed: int = 42) -> DataFrame:
     """Adds `split`: of each class, the first ceil(share * n) rows in hash order are `val`, the others `train`."""
-    ranked = hash_rank(df, label, key, seed, "__rk", "__n")
-    val = F.col("__rk") <= F.ceil(F.lit(share) * F.col("__n"))
-    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("__rk", "__n")
+    rk, n = fresh(df, "rk", "n")
+    ranked = hash_rank(df, label, key, seed, rk, n)
+    val = F.col(rk) <= F.ceil(F.lit(share) * F.col(n))
+    return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop(rk, n)
 
 
 def small_classes(sizes: DataFrame, share: float = 0.3) -> DataFrame:
@@ -36,9 +38,10 @@ def plan(sizes: DataFrame, target: str = "median", multiplier: float = 1.0) -> D
 
 def sample(df: DataFrame, keep: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """Without replacement: of each class, as many rows as `keep` (label, keep) says; classes that it lacks stay whole."""
-    ranked = hash_rank(df, label, key, seed, "__rk", "__n")
-    limits = keep.select(F.col("label").alias("__l"), F.col("keep").alias("__k"))
-    return ranked.join(limits, F.col(label) == F.col("__l"), "left").where("__k is null or __rk <= __k").drop("__rk", "__n", "__l", "__k")
+    rk, n, l, k = fresh(df, "rk", "n", "l", "k")
+    ranked = hash_rank(df, label, key, seed, rk, n)
+    limits = keep.select(F.col("label").alias(l), F.col("keep").alias(k))
+    return ranked.join(limits, F.col(label) == F.col(l), "left").where(F.col(k).isNull() | (F.col(rk) <= F.col(k))).select(*df.columns)
 
 
 def undersample(df: DataFrame, limits: dict[str, int], key: str, label: str = "label", seed: int = 42) -> DataFrame:
@@ -61,9 +64,11 @@ def resample(df: DataFrame, strategy: str, key: str, label: str = "label", targe
 
 def slots(selected: DataFrame, needed: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """label, slot, key: a source for each augmented sample, drawn with replacement by hash from the selected rows of its class."""
-    ranked = hash_rank(selected, label, key, seed, "__rk", "__n")
+    rk, l = fresh(selected.select(label, key), "rk", "l")
+    ranked = hash_rank(selected.select(label, key), label, key, seed, rk, "n_" if key == "n" or label == "n" else "n")
     sizes = selected.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     want = needed.where("aug_needed > 0").select("label", "aug_needed").join(sizes, "label")
     drawn = want.select("label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("aug_needed"))).alias("slot"), "n")
     draw = F.conv(F.substring(shuffled(seed, F.concat_ws("-", "label", "slot")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
-    return drawn.withColumn("__draw", draw).join(ranked.select(F.col(label).alias("__l"), F.col(key), "__rk"), (F.col("label") == F.col("__l")) & (F.col("__draw") == F.col("__rk"))).select("label", "slot", key)
+    of = ranked.select(F.col(label).alias(l), F.col(key), rk)
+    return drawn.select("label", "slot", draw.alias("draw")).join(of, (F.col("label") == F.col(l)) & (F.col("draw") == F.col(rk))).select("label", "slot", key)

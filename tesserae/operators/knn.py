@@ -1,62 +1,20 @@
-"""Class-weighted nearest neighbours: exact search in blocks, votes, probabilities, and the sweep over k."""
+"""Class-weighted nearest neighbours: votes, probabilities, and the sweep over k."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.sources.scratch import keep
+from tesserae.operators import pivots
 
-#: Rows of a block of training vectors and of a block of queries.
-BLOCK = 4096
 EPSILON = 1e-10
 SWEEP = tuple(range(1, 47, 5))
 
 
-def _nearest(k: int):
-    def run(key, queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(train):
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "label": [], "distance": []})
-        train = train.sort_values("id")
-        q, x = np.stack(queries["features"]).astype(float), np.stack(train["features"]).astype(float)
-        ids, labels, out = train["id"].to_numpy(), train["label"].to_numpy(), []
-        square = (x * x).sum(1)
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            rough = (part * part).sum(1)[:, None] + square - 2 * part @ x.T
-            m = min(len(x), k + 8)
-            near = np.sort(np.argpartition(rough, m - 1, axis=1)[:, :m], axis=1)
-            exact = np.sqrt(((x[near] - part[:, None, :]) ** 2).sum(2))
-            best = np.argsort(exact, axis=1, kind="stable")[:, :k]
-            near, exact = np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
-            out.append(pd.DataFrame({"query_id": np.repeat(queries["id"].to_numpy()[a : a + 256], near.shape[1]), "neighbour_id": ids[near.ravel()], "label": labels[near.ravel()], "distance": exact.ravel()}))
-        return pd.concat(out)
-
-    return run
-
-
 def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "id", label: str = "label", vector: str = "features") -> DataFrame:
-    """query_id, rank, neighbour_id, label, distance: the k nearest training rows of each query; ties go to the smaller id.
-
-    Both sides are dealt out in blocks of about BLOCK rows; each pair of blocks gives k candidates for a query, and the best k
-    of those stay. No task holds more than two blocks, whatever the sizes. Both sides are written once, however long they took to make.
-    """
-    queries, train = keep(queries.select(key, vector)), keep(train.select(key, label, vector))
-    parts, rows = (max(1, math.ceil(x.count() / BLOCK)) for x in (train, queries))
-    kinds = {f.name: f.dataType.simpleString() for f in train.schema}
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col(key).alias("id"), F.col(vector).alias("features")).withColumn("row", deal(rows)).withColumn("part", every(parts))
-    right = train.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("features")).withColumn("part", deal(parts)).withColumn("row", every(rows))
-    schema = f"query_id {kinds[key]}, neighbour_id {kinds[key]}, label {kinds[label]}, distance double"
-    found = left.groupBy("row", "part").cogroup(right.groupBy("row", "part")).applyInPandas(_nearest(k), schema)
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "label", "distance")
+    """query_id, rank, neighbour_id, label, distance: the k nearest training rows of each query (exact); ties go to the smaller id."""
+    return pivots.nearest(train, queries, k, key, label, vector)
 
 
 def vote(near: DataFrame, weights: DataFrame | None = None, by_distance: bool = False) -> DataFrame:

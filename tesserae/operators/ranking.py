@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions.labels import shuffled
+from tesserae.functions.names import fresh
 
 
 def hash_rank(df: DataFrame, group: str, key: str, seed: int, rank: str = "rk", size: str = "n") -> DataFrame:
@@ -15,10 +16,14 @@ def hash_rank(df: DataFrame, group: str, key: str, seed: int, rank: str = "rk",
     Rows are ranked within parts of a group (by the first three digits of the hash, 4,096 parts); each part starts
     behind those before it. The table of parts is small and joins back; the largest sort is of a group's 4,096th part.
     """
-    hashed = df.withColumn("__h", shuffled(seed, F.col(key))).withColumn("__part", F.substring("__h", 1, 3))
-    parts = hashed.groupBy(group, "__part").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(group).orderBy("__part")
-    starts = parts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), (F.sum("__c").over(w) - F.col("__c")).alias("__start"), F.sum("__c").over(Window.partitionBy(group)).alias(size))
-    local = F.row_number().over(Window.partitionBy(group, "__part").orderBy("__h", key))
-    out = hashed.withColumn("__local", local).join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return out.withColumn(rank, F.col("__start") + F.col("__local")).drop("__h", "__part", "__g", "__p", "__start", "__local")
+    taken = [x for x in (rank, size) if x in df.columns]
+    if taken:
+        raise ValueError(f"the table has columns {taken}")
+    h, part, c, g, p, start, local = fresh(df, "h", "part", "c", "g", "p", "start", "local")
+    hashed = df.withColumn(h, shuffled(seed, F.col(key))).withColumn(part, F.substring(h, 1, 3))
+    parts = hashed.groupBy(group, part).agg(F.count("*").alias(c))
+    w = Window.partitionBy(group).orderBy(part)
+    starts = parts.select(F.col(group).alias(g), F.col(part).alias(p), (F.sum(c).over(w) - F.col(c)).alias(start), F.sum(c).over(Window.partitionBy(group)).alias(size))
+    ranked = hashed.withColumn(local, F.row_number().over(Window.partitionBy(group, part).orderBy(h, key)))
+    out = ranked.join(starts, F.col(group).eqNullSafe(F.col(g)) & (F.col(part) == F.col(p)))
+    return out.select(*df.columns, (F.col(start) + F.col(local)).alias(rank), size)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.names import fresh
+
 
 def fit(df: DataFrame, vector: str = "features") -> DataFrame:
     """dim (from 0), mean, scale. Sums are made per task first, so the shuffle has one row for each task and dimension."""
@@ -25,7 +27,8 @@ def scaled(vector: Column, mean: Column, scale: Column) -> Column:
 
 def transform(df: DataFrame, scaler: DataFrame, vector: str = "features") -> DataFrame:
     """Vectors scaled; one of another length than the scaler's stops the job."""
-    one = as_row(scaler).select(F.col("mean").alias("__mean"), F.col("scale").alias("__scale"))
-    fits = F.assert_true(F.size(vector) == F.size("__mean"), F.concat(F.lit("vector length "), F.size(vector), F.lit(", scaler "), F.size("__mean")))
+    mean, scale = fresh(df, "mean", "scale")
+    one = as_row(scaler).select(F.col("mean").alias(mean), F.col("scale").alias(scale))
+    fits = F.assert_true(F.size(vector) == F.size(mean), F.concat(F.lit("vector length "), F.size(vector), F.lit(", scaler "), F.size(mean)))
     out = df.join(F.broadcast(one))
-    return out.withColumn(vector, F.when(fits.isNull(), scaled(F.col(vector), F.col("__mean"), F.col("__scale")))).drop("__mean", "__scale")
+    return out.withColumn(vector, F.when(fits.isNull(), scaled(F.col(vector), F.col(mean), F.col(scale)))).drop(mean, scale)

@@ -24,6 +24,8 @@ from tesserae.sources.scratch import keep
 # The grid, in the order of its nesting.
 COSTS, GAMMAS, KERNELS = (0.1, 1.0, 10.0, 100.0), ("scale", "auto", "0.001", "0.01", "0.1", "1"), ("rbf", "linear", "poly")
 MOST_CLASSES = 1000
+#: What search() says of a point.
+MEASURES = ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted")
 #: Rows of a partition at least, in training.
 ROWS = 4096
 
@@ -43,6 +45,13 @@ def gamma_of(gamma: str, train: DataFrame, vector: str = "features") -> float:
     return 1 / dims if gamma == "auto" or not var else 1 / (dims * var)
 
 
+def with_gammas(points: DataFrame, train: DataFrame, vector: str = "features") -> DataFrame:
+    """Adds `value`, the number that each point's gamma stands for on these vectors."""
+    of = train.select(F.size(vector).alias("d"), F.explode(vector).alias("x")).agg(F.max("d").alias("d"), F.var_pop("x").alias("var"))
+    number = F.when(F.col("gamma") == "scale", F.when(F.col("var") > 0, 1 / (F.col("d") * F.col("var"))).otherwise(1 / F.col("d"))).when(F.col("gamma") == "auto", 1 / F.col("d")).otherwise(F.expr("try_cast(gamma AS double)"))
+    return points.join(F.broadcast(of)).withColumn("value", number).drop("d", "var")
+
+
 def projection(kernel: str, gamma: float, dims: int, size: int = 256, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
     """The map of rows (n x dims) that approximates the kernel. The numbers drawn are size * dims, whatever the rows."""
     rng = np.random.default_rng(seed)
@@ -178,7 +187,7 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
 
 
 def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: DataFrame | None = None, label: str = "label", vector: str = "features", size: int = 256, iterations: int = 40) -> DataFrame:
-    """combo, c, gamma, kernel, accuracy, balanced_accuracy, f1_macro of every point (combo, c, gamma, kernel) on held-out rows.
+    """combo, c, gamma, kernel and MEASURES of every point (combo, c, gamma, kernel) on held-out rows.
 
     Labels are integers; `weights` (label, weight) weighs rows by class. Points that differ in their cost alone share a map.
     """
@@ -217,11 +226,17 @@ def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: D
 
     val = as_rows(held).where("y is not null and x is not null")
     found = val.mapInArrow(run, "combo int, actual long, predicted long, n long").groupBy("combo", "actual", "predicted").agg(F.sum("n").alias("n"))
+    return points.join(F.broadcast(compared(found)), "combo").select("combo", "c", "gamma", "kernel", *MEASURES)
+
+
+def compared(found: DataFrame) -> DataFrame:
+    """combo and MEASURES of each point, from the counts n by (combo, actual, predicted); weighted means weigh classes by their actual rows."""
     right = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
     sides = found.select("combo", F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"), right.alias("tp")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("called"), F.lit(0).cast("long").alias("tp")))).alias("s")).select("combo", "s.*")
     per = sides.groupBy("combo", "label").agg(*(F.sum(c).alias(c) for c in ("support", "called", "tp")))
-    out = per.groupBy("combo").agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("tp") / F.col("support"))).alias("balanced_accuracy"), F.avg(2 * F.col("tp") / (F.col("called") + F.col("support"))).alias("f1_macro"))
-    return points.join(F.broadcast(out), "combo").select("combo", "c", "gamma", "kernel", "accuracy", "balanced_accuracy", "f1_macro")
+    f1 = 2 * F.col("tp") / (F.col("called") + F.col("support"))
+    measures = (F.sum("tp") / F.sum("support"), F.avg(F.when(F.col("support") > 0, F.col("tp") / F.col("support"))), F.avg(f1), F.sum(f1 * F.col("support")) / F.sum("support"))
+    return per.groupBy("combo").agg(*(m.alias(name) for m, name in zip(measures, MEASURES, strict=True)))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray):
@@ -231,6 +246,7 @@ def _pairs(a: np.ndarray, b: np.ndarray):
 
 
 def best(searched: DataFrame) -> DataFrame:
-    """The point with the largest accuracy, the first of equal ones."""
+    """The point with the largest balanced accuracy, the first of equal ones; no row if none is above 0."""
     names = searched.columns
-    return searched.agg(F.max_by(F.struct(*names), F.struct("accuracy", -F.col("combo"))).alias("b")).select("b.*")
+    good = searched.where(F.col("balanced_accuracy") > 0)
+    return good.agg(F.max_by(F.struct(*names), F.struct("balanced_accuracy", -F.col("combo"))).alias("b")).where(F.col("b").isNotNull()).select("b.*")

@@ -324,6 +324,9 @@ _GRID = """SELECT row_number() OVER (ORDER BY a, b, d)::INTEGER AS combo, c, gam
 (SELECT unnest([0.1, 1, 10, 100]::DOUBLE[]) AS c, generate_subscripts([1, 2, 3, 4], 1) AS a), (SELECT unnest(['scale', 'auto', '0.001', '0.01', '0.1', '1']) AS gamma, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS b), (SELECT unnest(['rbf', 'linear', 'poly']) AS kernel, generate_subscripts([1, 2, 3], 1) AS d)"""
 
 
-@query(f"SELECT * FROM ({_GRID}) WHERE NOT (kernel = 'linear' AND gamma <> 'scale')")
+@query(f"""WITH v AS (SELECT unnest(embedding::DOUBLE[]) AS x, len(embedding) AS d FROM embeddings), s AS (SELECT max(d) AS d, var_pop(x) AS var FROM v)
+SELECT g.*, round(CASE gamma WHEN 'scale' THEN 1 / (d * var) WHEN 'auto' THEN 1 / d::DOUBLE ELSE try_cast(gamma AS DOUBLE) END, 9) AS value FROM ({_GRID}) g, s WHERE NOT (kernel = 'linear' AND gamma <> 'scale')""")
 def svm_grid(spark, sf_dir):
-    return svm.grid(spark)
+    """The points of the grid, with the number that each gamma stands for on the table's vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    return svm.with_gammas(svm.grid(spark), rows).withColumn("value", F.round("value", 9))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.labels import is_image, label_of, suffix_of, unescaped
+from tesserae.functions.names import fresh
 from tesserae.sources.scratch import keep
 
 
@@ -105,10 +106,14 @@ REQUEST = "image string, classifier string"
 
 def requests(rows: DataFrame, column: str = "value") -> DataFrame:
     """JSON requests: content (decoded base64, null if it is none), classifier, error (null if the request is good)."""
-    r = rows.withColumn("__r", F.from_json(column, REQUEST)).withColumn("content", F.try_to_binary(F.col("__r.image"), F.lit("base64")))
-    name = F.lower(F.col("__r.classifier"))
+    taken = [c for c in rows.columns if c.lower() in ("content", "classifier", "error")]
+    if taken:
+        raise ValueError(f"requests have columns that are to be added: {taken}")
+    (asked,) = fresh(rows, "asked")
+    r = rows.withColumn(asked, F.from_json(column, REQUEST)).withColumn("content", F.try_to_binary(F.col(f"{asked}.image"), F.lit("base64")))
+    name = F.lower(F.col(f"{asked}.classifier"))
     error = F.when(F.col("content").isNull(), "image is not base64").when(~F.coalesce(name.isin("knn", "svm"), F.lit(False)), "classifier must be knn or svm")
-    return r.withColumn("classifier", name).withColumn("error", error).drop("__r")
+    return r.withColumn("classifier", name).withColumn("error", error).drop(asked)
 
 
 def spool_names(rows: DataFrame, at: str = "ts") -> DataFrame:

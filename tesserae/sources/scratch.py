@@ -25,6 +25,12 @@ def _folder(spark: SparkSession):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete_later(spark: SparkSession) -> None:
+    """This application's folder goes when the driver ends."""
+    top, files = _folder(spark)
+    files.deleteOnExit(top)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once and read back from a table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
 
@@ -33,11 +39,23 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    top, files = _folder(spark)
-    files.deleteOnExit(top)
+    delete_later(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*kept: DataFrame) -> None:
+    """Deletes the tables that these results of keep() read, once nothing reads them any more."""
+    for df in kept:
+        spark = df.sparkSession
+        top, files = _folder(spark)
+        inside = top.toUri().getPath()
+        for name in df.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if path.getParent().toUri().getPath() != inside:
+                raise ValueError(f"{path} is no kept table")
+            files.delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that keep() has written in this application."""
     path, files = _folder(spark)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 INTERVAL_MS = 500
-#: Milliseconds of one device that a task folds in one go.
-BLOCK_MS = 3_600_000
+#: Milliseconds of one device that a task folds in one go, at least, and that many intervals at least.
+BLOCK_MS, INTERVALS = 3_600_000, 64
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -36,35 +36,45 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
 
 
 def _ways(times: Iterator[int], bound: int, interval: int) -> tuple[list[int], list[int]]:
-    """Of each time at which the first frame of a block may be kept (those below bound, and the next), the time of the last one then kept."""
+    """Where the first frame of a block may be kept (below bound, or the next one), and the time of the last frame then kept.
+
+    Entries that lead to the same last frame stand together: `until` is the last of each run of them, `leave` where it leads.
+    """
     entry: list[int] = []
-    lasts: deque = deque()  # (last kept time, entries that lead to it), by time
+    lasts: deque = deque()  # (last kept time, tree of the entries that lead to it), by time
     for t in times:
-        here: list[int] = []
+        here = None
         while lasts and t - lasts[0][0] >= interval:
             own = lasts.popleft()[1]
-            here = here + own if here else own
+            here = own if here is None else (here, own)
         if not entry or entry[-1] < bound:
-            here.append(len(entry))
+            here = len(entry) if here is None else (here, len(entry))
             entry.append(t)
-        if here:
+        if here is not None:
             lasts.append((t, here))
     leave = [0] * len(entry)
-    for last, own in lasts:
-        for k in own:
-            leave[k] = last
-    return entry, leave
+    for last, tree in lasts:
+        todo = [tree]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                todo += x
+            else:
+                leave[x] = last
+    ends = [k for k in range(len(entry)) if k + 1 == len(entry) or leave[k + 1] != leave[k]]
+    return [entry[k] for k in ends], [leave[k] for k in ends]
 
 
 def throttle(frames: DataFrame, device: str, ms: str, key: str, interval: int = INTERVAL_MS) -> DataFrame:
     """Batch: keeps a frame unless it is less than `interval` after the last one kept of its device (the first one always stays).
 
-    Of frames at the same millisecond only the one with the least key can stay. A device's time is cut into blocks of BLOCK_MS, which
-    are folded by themselves: first for each of the few times at which the first kept frame of a block may be; from that it follows,
-    block by block, what was kept last before each of them. So a task holds no list of frames, and a device with many of them is spread
-    over tasks. Frames without a time all stay.
+    Of frames at the same millisecond only the one with the least key can stay. A device's time is cut into blocks of BLOCK_MS, or of
+    INTERVALS intervals if that is more, which are folded by themselves: first for each of the few times at which the first kept frame of
+    a block may be (those of its first interval); from that it follows, block by block, what was kept last before each of them. Ways that
+    meet go on as one, so a block says little. So a task holds no list of frames, and a device with many of them is spread over tasks.
+    Frames without a time all stay.
     """
-    block_ms = max(BLOCK_MS, interval)
+    block_ms = max(BLOCK_MS, INTERVALS * interval)
     rows = frames.select(F.col(device).alias("d"), F.col(ms).cast("long").alias("t"), F.col(key).alias("key"))
     done = rows.select(F.col("d").alias(device), "key", "t")
     if interval <= 0:
@@ -76,7 +86,7 @@ def throttle(frames: DataFrame, device: str, ms: str, key: str, interval: int =
         batches = iter(batches)
         b = next(batches, None)
         if b is not None:
-            schema = pa.schema([b.schema.field("d"), ("block", pa.int64()), ("entry", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
+            schema = pa.schema([b.schema.field("d"), ("block", pa.int64()), ("until", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
             yield from _batches(((*k, *_ways((t for _, _, t in own), k[1] * block_ms + interval, interval)) for k, own in _runs(_chain(b, batches))), schema)
 
     def before(batches):
@@ -89,8 +99,8 @@ def throttle(frames: DataFrame, device: str, ms: str, key: str, interval: int =
                 if now != (d,):
                     now, last = (d,), None
                 yield d, block, last
-                for _, _, entry, leave in own:
-                    at = 0 if last is None else int(np.searchsorted(entry, last + interval))
+                for _, _, until, leave in own:
+                    at = 0 if last is None else int(np.searchsorted(until, last + interval))
                     last = leave[at] if at < len(leave) else last
 
         if b is not None:
@@ -112,7 +122,7 @@ def throttle(frames: DataFrame, device: str, ms: str, key: str, interval: int =
         if b is not None:
             yield from _batches(run(), pa.schema([b.schema.field("d"), b.schema.field("key")]))
 
-    parts = first.select("d", "block", "t").repartition("d", "block").sortWithinPartitions("d", "block", "t").mapInArrow(ways, f"d {kinds['d']}, block long, entry array<long>, leave array<long>")
+    parts = first.select("d", "block", "t").repartition("d", "block").sortWithinPartitions("d", "block", "t").mapInArrow(ways, f"d {kinds['d']}, block long, until array<long>, leave array<long>")
     starts = parts.repartition("d").sortWithinPartitions("d", "block").mapInArrow(before, f"d {kinds['d']}, block long, last long")
     starts = starts.select(F.col("d").alias("d2"), F.col("block").alias("block2"), "last")
     both = first.join(starts, F.col("d").eqNullSafe(F.col("d2")) & (F.col("block") == F.col("block2"))).select("d", "block", "t", "key", "last")

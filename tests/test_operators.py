@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import labels
-from tesserae.operators import balance, distribution, knn, metrics, ordering, pixels, policy, scaling
+from tesserae.operators import balance, distribution, knn, metrics, ordering, pivots, pixels, policy, scaling
 
 
 def one(spark, *columns):
@@ -99,7 +99,7 @@ def test_scaler_keeps_constant_columns(spark):
 
 
 def test_neighbours_in_blocks_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 16)
+    monkeypatch.setattr(pivots, "BUNDLE", 16)
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, (70, 3)).astype(float)
     df = spark.createDataFrame([(k, k % 3, v.tolist()) for k, v in enumerate(x)], "id long, label int, features array<double>")

@@ -150,3 +150,20 @@ def test_classified_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     frames.classify_stream(stream, lambda df: df.withColumn("label", F.lit("glass")), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert [(r.ms, r.label, r.batch_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1001, "glass", 0)]
+
+
+def test_throttle_blocks_are_much_longer_than_the_interval(spark, monkeypatch):
+    """With the query's own interval: the few entries of a block are those of its first interval, and ways that meet are told once."""
+    day = 24 * 3_600_000
+    times = [t * day // 60 for t in range(600)]
+    said = []
+    monkeypatch.setattr(frames, "_ways", lambda ts, bound, interval, f=frames._ways: said.append(f(ts, bound, interval)) or said[-1])
+    for block in (0, 16 * day):
+        frames._ways(iter([t for t in times if block <= t < block + 16 * day]), block + day // 4, day // 4)
+    assert all(len(until) <= 16 for until, _ in said)
+    df = spark.createDataFrame([("hot", t, k) for k, t in enumerate(times)], "device string, ms long, key long")
+    want, last = [], None
+    for k, t in enumerate(times):
+        if last is None or t - last >= day // 4:
+            want, last = [*want, k], t
+    assert sorted(r.key for r in frames.throttle(df, "device", "ms", "key", day // 4).collect()) == want

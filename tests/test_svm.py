@@ -91,3 +91,10 @@ def test_calibration_is_logistic_regression(spark):
     got = spark.range(1).select(svm.probabilities(F.array(F.lit(1.0), F.lit(-1.0)), a, b).alias("p")).first().p
     plain = 1 / (1 + np.exp(a * np.array([1.0, -1.0]) + b))
     assert got == pytest.approx((plain / plain.sum()).tolist())
+
+
+def test_the_best_point_has_the_largest_balanced_accuracy(spark):
+    schema = "combo int, accuracy double, balanced_accuracy double, f1_macro double, f1_weighted double"
+    points = [(1, 0.9, 0.6, 0.0, 0.0), (2, 0.85, 0.8, 0.0, 0.0), (3, 0.5, 0.8, 0.0, 0.0), (4, 0.99, None, 0.0, 0.0)]
+    assert [r.combo for r in svm.best(spark.createDataFrame(points, schema)).collect()] == [2]
+    assert svm.best(spark.createDataFrame([(1, 0.9, 0.0, 0.0, 0.0)], schema)).count() == 0
