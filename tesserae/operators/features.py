@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tesserae.functions import vectors
 from tesserae.functions.blocks import DEFAULT, Block, layout, vector
+from tesserae.functions.names import fresh
 
 
 def _pixels(height: int, width: int, data) -> np.ndarray:
@@ -43,6 +45,32 @@ def extract(images: DataFrame, blocks: tuple[Block, ...] = DEFAULT, side: int =
     return images.mapInArrow(run, schema)
 
 
+def preprocessed(images: DataFrame, side: int = 256, pixels: str = "rgb", out: str = "pixels") -> DataFrame:
+    """Adds `out` (an array of side * side structs: gray, hue, saturation, value, light, a, b, red, green, blue) to rows of (height, width, pixels).
+
+    pixels: numbers in row order, red, green, blue or also alpha (which is dropped), clipped to 0 to 255. Rows without pixels, or with a
+    number of them that does not fit height and width, get null.
+    """
+    n = F.col("height") * F.col("width")
+    size = F.size(pixels)
+    rgb = F.transform(F.col(pixels), lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(255)))
+    # of four channels the last one goes
+    rgb = F.when(size == 4 * n, F.filter(rgb, lambda x, k: k % 4 != 3)).when(size == 3 * n, rgb)
+    (flat,) = fresh(images, "flat")
+    fits = (F.col("height") > 0) & (F.col("width") > 0) & F.col(flat).isNotNull()
+    small = vectors.resized(F.col(flat), F.col("height"), F.col("width"), side)
+    return images.withColumn(flat, rgb).withColumn(out, F.when(fits, F.transform(small, vectors.converted))).drop(flat)
+
+
+def expressed(images: DataFrame, blocks: tuple[vectors.Block, ...] = vectors.REGISTRY, side: int = 256, pixels: str = "rgb") -> DataFrame:
+    """As extract(), by expressions alone: the rows with `features` and `error` in place of the pixels (numbers in row order)."""
+    (s,) = fresh(images, "sample")
+    rows = preprocessed(images, side, pixels, s)
+    found = F.when(F.col(s).isNotNull(), vectors.vector(vectors.sample(F.col(s), side), blocks))
+    names = [c for c in images.columns if c not in (pixels, "features", "error")]
+    return rows.select(*names, found.alias("features"), F.when(F.col(s).isNull(), F.lit("no pixels, or as many as do not fit")).alias("error"))
+
+
 # Means and deviations of red, green and blue.
 CHANNEL_MEANS, CHANNEL_DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 

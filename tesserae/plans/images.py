@@ -7,10 +7,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.blocks import DEFAULT, layout
+from tesserae.functions import vectors
+from tesserae.functions.blocks import DEFAULT
 from tesserae.operators import features, pixels, svm
 from tesserae.operators.distribution import counts, weights
 from tesserae.plans import tabular
+from tesserae.sources.scratch import keep
 from tesserae.streaming.frames import throttle
 
 QUERIES, SQL = {}, {}
@@ -134,9 +136,105 @@ def frame_rotate(spark, sf_dir):
     return pixels.turned(_images(spark, sf_dir), F.lit(90)).select("id", F.posexplode("px").alias("place", "x"))
 
 
-@query("SELECT unnest(['glcm', 'lbp_multi_radius', 'gabor', 'color_moments_hsv', 'color_moments_lab', 'color_hist_hsv', 'gradient_mag_hist', 'specular_ratio', 'dct_energy_bands']) AS block, unnest([0, 24, 201, 233, 242, 251, 299, 331, 332])::INTEGER AS start, unnest([24, 177, 32, 9, 9, 48, 32, 1, 3])::INTEGER AS size")
+# --- colour: the first 48 values of an embedding stand in for 4 x 4 pixels of three colours, which are enlarged to 8 x 8
+
+_SIDE = 8
+
+
+def _colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 48), lambda x: F.least(F.greatest(F.floor((x + 0.5) * 256), F.lit(0)), F.lit(255)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit(4).alias("height"), F.lit(4).alias("width"), rgb.alias("rgb"))
+
+
+def _each(rows: DataFrame, column: str, n: int, place: str, value: str) -> DataFrame:
+    """id, place, value of the n members of an array. (An explode of the array itself would have it worked out once more, to filter by its size.)"""
+    return rows.select("id", column, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(place)).select("id", place, F.get(column, place).alias(value))
+
+
+_BILINEAR = "(t.x * (1 - c.f) + u.x * c.f) * (1 - r.f) + (v.x * (1 - c.f) + w.x * c.f) * r.f"
+_LINE = "CASE WHEN {0} / 255.0::DOUBLE <= 0.04045 THEN {0} / 255.0::DOUBLE / 12.92 ELSE (({0} / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 END"
+_CUBE = "CASE WHEN {0} > 0.008856 THEN {0} ** (1 / 3.0::DOUBLE) ELSE {0} * 7.787 + 16 / 116.0::DOUBLE END"
+_HUE = "CASE WHEN hi = lo THEN 0 ELSE 60 * CASE hi WHEN red THEN (green - blue) / (hi - lo)::DOUBLE WHEN green THEN 2 + (blue - red) / (hi - lo)::DOUBLE ELSE 4 + (red - green) / (hi - lo)::DOUBLE END END"
+_SAMPLED = f"""small AS (SELECT id, i // 12 AS r, i // 3 % 4 AS c, i % 3 AS k, x FROM (SELECT vec_id AS id, unnest(range(48)) AS i, least(greatest(floor((unnest(embedding[1:48]::DOUBLE[]) + 0.5) * 256), 0), 255)::INTEGER AS x FROM embeddings)),
+step AS (SELECT k, floor(x)::INTEGER AS i, least(floor(x) + 1, 3)::INTEGER AS j, x - floor(x) AS f FROM (SELECT k, greatest(least((k + 0.5::DOUBLE) * 4 / {_SIDE} - 0.5, 3), 0) AS x FROM (SELECT unnest(range({_SIDE})) AS k))),
+large AS (SELECT t.id, r.k AS r, c.k AS c, t.k, least(greatest(round_even({_BILINEAR}, 0), 0), 255)::INTEGER AS x FROM step r, step c, small t, small u, small v, small w
+WHERE t.r = r.i AND t.c = c.i AND u.id = t.id AND u.k = t.k AND u.r = r.i AND u.c = c.j AND v.id = t.id AND v.k = t.k AND v.r = r.j AND v.c = c.i AND w.id = t.id AND w.k = t.k AND w.r = r.j AND w.c = c.j),
+rgb AS (SELECT id, r, c, any_value(x) FILTER (k = 0) AS red, any_value(x) FILTER (k = 1) AS green, any_value(x) FILTER (k = 2) AS blue FROM large GROUP BY ALL),
+lin AS (SELECT *, greatest(red, green, blue) AS hi, least(red, green, blue) AS lo, {_LINE.format('red')} AS lr, {_LINE.format('green')} AS lg, {_LINE.format('blue')} AS lb FROM rgb),
+xyz AS (SELECT *, (lr * 0.412453 + lg * 0.357580 + lb * 0.180423) / 0.950456 AS x, (lr * 0.212671 + lg * 0.715160 + lb * 0.072169) / 1.0 AS y, (lr * 0.019334 + lg * 0.119193 + lb * 0.950227) / 1.088754 AS z, {_HUE} AS h FROM lin),
+f AS (SELECT *, {_CUBE.format('x')} AS fx, {_CUBE.format('y')} AS fy, {_CUBE.format('z')} AS fz FROM xyz),
+seen AS MATERIALIZED (SELECT id, r, c, red, green, blue, round_even(red * 0.299::DOUBLE + green * 0.587::DOUBLE + blue * 0.114::DOUBLE, 0)::INTEGER AS gray, round_even(CASE WHEN h < 0 THEN h + 360 ELSE h END / 2, 0)::INTEGER % 180 AS hue,
+round_even(255 * (hi - lo) / greatest(hi, 1)::DOUBLE, 0)::INTEGER AS saturation, hi AS value, least(greatest(round_even(CASE WHEN y > 0.008856 THEN fy * 116 - 16 ELSE y * 903.3 END * 255 / 100, 0), 0), 255)::INTEGER AS light,
+least(greatest(round_even((fx - fy) * 500 + 128, 0), 0), 255)::INTEGER AS a, least(greatest(round_even((fy - fz) * 200 + 128, 0), 0), 255)::INTEGER AS b FROM f)"""
+
+
+@query(f"WITH {_SAMPLED} SELECT id, (r * {_SIDE} + c)::INTEGER AS place, gray, hue, saturation, value, light, a, b, red, green, blue FROM seen")
+def image_preprocess(spark, sf_dir):
+    """Small colour images resized, and each pixel's gray, HSV and LAB."""
+    rows = features.preprocessed(_colours(spark, sf_dir), _SIDE)
+    return _each(rows, "pixels", _SIDE * _SIDE, "place", "p").select("id", "place", "p.*")
+
+
+def _block_shares(name: str, values: str, bins: int, low: float, high: float, start: int) -> str:
+    """A table of (id, k, x): shares of the values by bin, from place `start` of the vector on; zeros are left out."""
+    w = (high - low) / bins
+    return f"""{name} AS (SELECT id, {start} + bin AS k, n / sum(n) OVER (PARTITION BY id)::DOUBLE AS x FROM (SELECT id, least(floor((x - {low}) / {w}), {bins - 1})::BIGINT AS bin, count(*) AS n FROM ({values}) WHERE x BETWEEN {low} AND {high} GROUP BY 1, 2))"""
+
+
+def _vector_sql() -> str:
+    start = {name: at for name, at, _ in vectors.layout()}
+    lbp = lambda radius: f"""lw{radius} AS (SELECT p.id, p.r, p.c, k.j, any_value(p.x) AS x, sum(coalesce(n.x, 0) * k.w) AS v FROM px p CROSS JOIN (VALUES {_corners(8, radius)}) k(j, dr, dc, w) LEFT JOIN px n ON n.id = p.id AND n.r = p.r + k.dr AND n.c = p.c + k.dc GROUP BY p.id, p.r, p.c, k.j),
+lb{radius} AS (SELECT id, r, c, list((v + 1e-9 >= x)::INTEGER ORDER BY j) AS bits FROM lw{radius} GROUP BY 1, 2, 3),
+{_block_shares(f"lh{radius}", f"SELECT id, CASE WHEN list_sum(list_transform(range(1, 9), lambda i: abs(bits[i] - bits[i % 8 + 1]))) <= 2 THEN list_sum(bits) ELSE 9 END AS x FROM lb{radius}", 59, 0, 59, start["lbp_multi_radius"] + 59 * (radius - 1))}"""
+    tables, parts = [f"px AS (SELECT id, r, c, gray AS x FROM seen)", *(lbp(r) for r in (1, 2, 3))], ["lh1", "lh2", "lh3"]
+    tables.append(f"""o AS (SELECT p.id, k.distance, k.angle, p.x * 8 // 256 AS a, n.x * 8 // 256 AS b FROM px p, (VALUES {_OFFSETS}) k(distance, angle, dr, dc), px n WHERE n.id = p.id AND n.r = p.r + k.dr AND n.c = p.c + k.dc),
+os AS (SELECT * FROM o UNION ALL SELECT id, distance, angle, b, a FROM o), og AS (SELECT id, distance, angle, a, b, count(*)::DOUBLE AS n FROM os GROUP BY ALL), ot AS (SELECT id, distance, angle, sum(n) AS t FROM og GROUP BY ALL),
+op AS (SELECT id, 4 * (distance - 1) + angle AS k, [sum(n / t * (a - b) ** 2), sum(n / t / (1 + (a - b) ** 2)), sqrt(sum((n / t) ** 2))] AS v FROM og JOIN ot USING (id, distance, angle) GROUP BY ALL),
+glcm AS (SELECT id, {start["glcm"]} + 8 * p + k AS k, v[p + 1] AS x FROM op, (SELECT unnest(range(3)) AS p))""")
+    parts.append("glcm")
+    for space in ("hsv", "lab"):
+        long = "SELECT id, unnest(range(3)) AS ch, unnest([%s]) AS x FROM seen" % ", ".join(vectors.CHANNELS[space])
+        tables.append(f"""m{space} AS (SELECT id, ch, avg(x) AS m, stddev_pop(x) AS sd FROM ({long}) GROUP BY 1, 2), k{space} AS (SELECT id, ch, any_value(m) AS m, any_value(sd) AS sd, CASE WHEN any_value(sd) <= 1e-6 THEN 0 ELSE avg(((x - m) / sd) ** 3) END AS skew FROM ({long}) JOIN m{space} USING (id, ch) GROUP BY 1, 2),
+moments{space} AS (SELECT id, {start["color_moments_" + space]} + 3 * ch + p AS k, [m, sd, skew][p + 1] AS x FROM k{space}, (SELECT unnest(range(3)) AS p))""")
+        parts.append(f"moments{space}")
+    for k, c in enumerate(vectors.CHANNELS["hsv"]):
+        tables.append(_block_shares(f"hist{c}", f"SELECT id, {c} AS x FROM seen", 16, 0, 256, start["color_hist_hsv"] + 16 * k))
+        parts.append(f"hist{c}")
+    tables.append(_block_shares("grad", _SOBEL, 32, 0, 255, start["gradient_mag_hist"]))
+    tables.append(f"""spec AS (SELECT id, {start["specular_ratio"]} AS k, avg((value >= 240)::INTEGER::DOUBLE) AS x FROM seen GROUP BY 1)""")
+    tables.append(f"""ck AS (SELECT u.v AS u, x.v AS x, CASE WHEN u.v = 0 THEN sqrt(1 / 8.0::DOUBLE) ELSE sqrt(2 / 8.0::DOUBLE) END * cos(pi() * (2 * x.v + 1) * u.v / 16) AS w FROM (SELECT unnest(range(8)) AS v) u, (SELECT unnest(range(8)) AS v) x),
+cd AS (SELECT p.id, g.u, h.u AS v, sum(p.x / 255.0::DOUBLE * g.w * h.w) ** 2 AS e FROM px p JOIN ck g ON g.x = p.r JOIN ck h ON h.x = p.c GROUP BY ALL),
+cs AS (SELECT id, [coalesce(sum(e) FILTER (u < 1 AND v < 1), 0), coalesce(sum(e) FILTER (u BETWEEN 1 AND 2 AND v BETWEEN 1 AND 2), 0), coalesce(sum(e) FILTER (u >= 3 AND v >= 3), 0)] AS e FROM cd GROUP BY 1),
+dct AS (SELECT id, {start["dct_energy_bands"]} + p AS k, e[p + 1] / greatest(list_sum(e), 1e-12) AS x FROM cs, (SELECT unnest(range(3)) AS p))""")
+    parts += ["grad", "spec", "dct"]
+    dims = sum(n for _, _, n in vectors.layout())
+    every = " UNION ALL ".join(f"SELECT id, k, x FROM {p}" for p in parts)
+    return f"""WITH {_SAMPLED}, {', '.join(tables)}, every AS ({every})
+SELECT g.id, d.k::INTEGER AS k, round(coalesce(e.x, 0)::FLOAT::DOUBLE, 4) + 0.0 AS x FROM (SELECT DISTINCT id FROM seen) g CROSS JOIN (SELECT unnest(range({dims})) AS k) d LEFT JOIN every e ON e.id = g.id AND e.k = d.k"""
+
+
+@query(_vector_sql())
+def image_feature_vector(spark, sf_dir):
+    """All blocks' numbers of each small colour image, by expressions over its own row; rounded, as they are 32-bit numbers."""
+    rows = features.expressed(_colours(spark, sf_dir), side=_SIDE)
+    dims = sum(n for _, _, n in vectors.layout())
+    return _each(rows, "features", dims, "k", "x").withColumn("x", F.round(F.col("x").cast("double"), 4) + F.lit(0.0))
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, len(embedding) AS n FROM embeddings), l AS (SELECT unnest({[n for n, _, _ in vectors.layout()]}) AS block, unnest({[a for _, a, _ in vectors.layout()]}) AS start, unnest({[n for _, _, n in vectors.layout()]}) AS size)
+SELECT block, start::INTEGER AS start, size::INTEGER AS size, count(*) AS images FROM l, v WHERE n >= 48 GROUP BY ALL""")
 def feature_layout(spark, sf_dir):
-    return spark.createDataFrame(layout(DEFAULT), "block string, start int, size int")
+    """Where each block stands in the vectors, and how many of the table's images have a vector that reaches over it."""
+    spots = spark.createDataFrame(vectors.layout(), "block string, start int, size int")
+    rows = keep(features.expressed(_colours(spark, sf_dir), side=_SIDE).select(F.size("features").alias("n")))
+    return rows.join(F.broadcast(spots), F.col("n") >= F.col("start") + F.col("size")).groupBy("block", "start", "size").agg(F.count("*").alias("images"))
+
+
+@query()
+def image_feature_vector_numpy(spark, sf_dir):
+    """The 335 numbers of each pseudo-image with the filter responses that only the NumPy blocks have; 8 x 8 pixels are enlarged to 64 x 64."""
+    rows = _images(spark, sf_dir).select("id", "height", "width", F.transform("px", lambda x: F.array(x, x, x)).alias("rgb")).withColumn("rgb", F.flatten("rgb"))
+    return features.extract(rows, DEFAULT, side=64)
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -148,13 +246,6 @@ def frame_throttle(spark, sf_dir):
     return throttle(events, "user_id", "ms", "event_id", INTERVAL_MS).select("event_id", "user_id")
 
 
-@query()
-def image_feature_vector(spark, sf_dir):
-    """The 335 numbers of each pseudo-image, gray in all three colours; 8 x 8 pixels are enlarged to 64 x 64."""
-    rows = _images(spark, sf_dir).select("id", "height", "width", F.transform("px", lambda x: F.array(x, x, x)).alias("rgb")).withColumn("rgb", F.flatten("rgb"))
-    return features.extract(rows, DEFAULT, side=64)
-
-
 @query()
 def svm_linear_predict(spark, sf_dir):
     train, val = tabular._scaled(spark, sf_dir)
