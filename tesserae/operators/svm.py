@@ -1,8 +1,8 @@
 """Support-vector machines: one linear machine against the rest for each class, on explicit feature maps.
 
 MLlib has no kernel machine, and a solver over all rows would put the whole training set into one task. So the kernels are
-approximated by maps that each row makes for itself: `rbf` by random Fourier features, `poly` (degree 3) by products of random
-projections. A single machine is trained by MLlib. The grid is trained in one go: each pass over the rows gives the gradients of all
+approximated by maps that each row makes for itself: through landmarks (pairwise.landmark_map), or drawn blind: `rbf` by random Fourier
+features, `poly` (degree 3) by products of random projections. A single machine is trained by MLlib. The grid is trained in one go: each pass over the rows gives the gradients of all
 points and classes, so it costs as many passes as one machine. Probabilities come from a logistic curve fitted to the decision values
 of held-out rows.
 """
@@ -116,11 +116,11 @@ def probabilities(scores: Column, a: float, b: float) -> Column:
     return F.transform(each, lambda p: p / total)
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
+def matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
-def _added(rows: DataFrame, each, spark: SparkSession) -> dict[int, np.ndarray]:
+def added(rows: DataFrame, each) -> dict[int, np.ndarray]:
     """Sums, by number, of the arrays that `each` gives for a batch. Tasks add up their own; then those of one number meet in a task."""
     schema = "k int, v array<double>"
 
@@ -156,8 +156,8 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
     alone, whose number does not depend on the rows.
     """
     spark, n = rows.sparkSession, rows.count()
-    lifted = lambda project, b: np.column_stack([project(_matrix(b.column("x"))), np.ones(b.num_rows)])
-    moments = _added(rows, lambda b: {k: (z := lifted(p, b)).T @ (z * b.column("weight").to_numpy()[:, None]) for k, p in enumerate(maps)}, spark)
+    lifted = lambda project, b: np.column_stack([project(matrix(b.column("x"))), np.ones(b.num_rows)])
+    moments = added(rows, lambda b: {k: (z := lifted(p, b)).T @ (z * b.column("weight").to_numpy()[:, None]) for k, p in enumerate(maps)})
     if not moments:
         return [np.zeros((1, len(costs), len(classes))) for _ in maps]
     sides = [math.isqrt(len(moments[k])) for k in range(len(maps))]
@@ -178,7 +178,7 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
                 out[k] = -2 * np.einsum("nd,ncm->dcm", z, short * sign * weight[:, None, None], optimize=True)
             return out
 
-        grads, before, t_before = _added(rows, each, spark), w, t
+        grads, before, t_before = added(rows, each), w, t
         grads = [grads[k].reshape(ahead[k].shape) / n + shrink[k] * ahead[k] for k in range(len(maps))]
         w = [np.stack([ahead[k][:, c] - bound[k][c] @ grads[k][:, c] for c in range(len(costs))], axis=1) for k in range(len(maps))]
         t = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -186,10 +186,11 @@ def fit_grid(rows: DataFrame, maps: list[Callable[[np.ndarray], np.ndarray]], co
     return w
 
 
-def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: DataFrame | None = None, label: str = "label", vector: str = "features", size: int = 256, iterations: int = 40) -> DataFrame:
+def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: DataFrame | None = None, label: str = "label", vector: str = "features", size: int = 256, iterations: int = 40, landmarks: np.ndarray | None = None) -> DataFrame:
     """combo, c, gamma, kernel and MEASURES of every point (combo, c, gamma, kernel) on held-out rows.
 
-    Labels are integers; `weights` (label, weight) weighs rows by class. Points that differ in their cost alone share a map.
+    Labels are integers; `weights` (label, weight) weighs rows by class. Points that differ in their cost alone share a map: one through
+    landmarks if these are given, else one that is drawn blind.
     """
     spark = train_rows.sparkSession
     as_rows = lambda df: df.select(F.col(label).cast("long").alias("y"), F.col(vector).cast("array<double>").alias("x"))
@@ -205,7 +206,12 @@ def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: D
     kinds = sorted({(r["kernel"], "scale" if r["kernel"] == "linear" else r["gamma"]) for r in grid_rows})
     values = {g: gamma_of(g, rows, "x") if first else 1.0 for _, g in kinds}
     costs = sorted({r["c"] for r in grid_rows})
-    maps = [projection(kernel, values[g], dims, size) for kernel, g in kinds]
+    if landmarks is None:
+        maps = [projection(kernel, values[g], dims, size) for kernel, g in kinds]
+    else:
+        from tesserae.operators.pairwise import landmark_map
+
+        maps = [landmark_map(kernel, values[g], landmarks) for kernel, g in kinds]
     shared = spark.sparkContext.broadcast(fit_grid(rows, maps, costs, classes, iterations))
     at = [(r["combo"], kinds.index((r["kernel"], "scale" if r["kernel"] == "linear" else r["gamma"])), costs.index(r["c"])) for r in grid_rows]
 
@@ -214,7 +220,7 @@ def search(train_rows: DataFrame, held: DataFrame, points: DataFrame, weights: D
         for b in batches:
             for part in range(0, b.num_rows, 1024):
                 some = b.slice(part, 1024)
-                x, y = _matrix(some.column("x")), some.column("y").to_numpy()
+                x, y = matrix(some.column("x")), some.column("y").to_numpy()
                 scores = [np.einsum("nd,dcm->ncm", np.column_stack([p(x), np.ones(len(x))]), shared.value[k], optimize=True) for k, p in enumerate(maps)]
                 for combo, k, c in at:
                     predicted = np.array(classes)[scores[k][:, c].argmax(1)]

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.classification import OneVsRestModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.blocks import DEFAULT, Block
 from tesserae.functions.labels import CODES, code_of
-from tesserae.operators import augment, balance, distribution, features, knn, metrics, policy, scaling, svm
+from tesserae.operators import augment, balance, distribution, features, knn, metrics, pairwise, policy, scaling, svm
 from tesserae.sources import images as image_source
 from tesserae.sources.scratch import keep
 
@@ -91,42 +89,33 @@ def predict(rows: DataFrame, model: dict[str, DataFrame], k: int = 1, certainty:
 
 @dataclass(frozen=True)
 class Machines:
-    """scaler (dim, mean, scale), the map of scaled vectors, the machines, the labels by their numbers, and the curve of probabilities."""
+    """scaler (dim, mean, scale), the machines of scaled vectors, and the labels by their numbers."""
 
     scaler: DataFrame
-    mapped: Callable[[Column], Column]
-    model: OneVsRestModel
+    pairs: pairwise.PairMachines
     labels: tuple[str, ...]
-    curve: tuple[float, float]
 
 
-def train_svm(rows: DataFrame, kernel: str = "rbf", gamma: str = "scale", cost: float = 1.0, size: int = 256, iterations: int = 50) -> Machines:
-    """From (id, label, features, split): machines weighed by class; a fifth of the training rows (by hash of the id) is for the curve alone."""
-    train = rows.where("split = 'train' and features is not null")
+def train_svm(rows: DataFrame, kernel: str = "rbf", gamma: str = "scale", cost: float = 1.0, size: int = 256, iterations: int = 60) -> Machines:
+    """From (id, label, features, split): machines of all pairs, weighed by class; a fifth of the training rows (by hash of the id) is for the curves alone."""
+    train = rows.where("split = 'train' and features is not null and label is not null")
     scaler = scaling.fit(train)
     labels = tuple(r["label"] for r in distribution.counts(train).orderBy("label").limit(svm.MOST_CLASSES + 1).collect())
     if len(labels) > svm.MOST_CLASSES:
         raise ValueError(f"more than {svm.MOST_CLASSES} classes")
-    number = (F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("label")) - 1).cast("int")
-    scaled = scaling.transform(train, scaler).select("id", number.alias("label"), "features", F.col("label").alias("name"))
-    dims = scaled.select(F.size("features")).first()[0]
-    mapped = svm.feature_map(kernel, svm.gamma_of(gamma, scaled), dims, size)
-    ready = keep(scaled.select("id", "label", mapped(F.col("features")).alias("features")))
-    aside = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    model = svm.train(ready.where(~aside), distribution.weights(distribution.counts(ready)), cost, iterations=iterations)
-    seen = svm.predict(model, ready.where(aside)).join(ready.select("id", "label"), "id")
-    each = keep(seen.select(F.posexplode("scores").alias("c", "score"), "label").select("score", (F.col("c") == F.col("label")).alias("hit")))
-    kinds = each.agg(F.count_distinct("hit")).first()[0]
-    return Machines(scaler, mapped, model, labels, svm.calibrate(each) if kinds == 2 else (-1.0, 0.0))
+    number = (F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("label")) - 1).cast("long")
+    weights = distribution.weights(distribution.counts(train)).select(F.col("label").alias("name"), "weight")
+    scaled = scaling.transform(train, scaler).select("id", F.col("label").alias("name"), number.alias("y"), F.col("features").alias("x")).join(F.broadcast(weights), "name")
+    ready = keep(scaled.select("y", F.col("weight").cast("double").alias("weight"), "x", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("aside")))
+    return Machines(scaler, pairwise.train(ready, len(labels), kernel, svm.gamma_of(gamma, ready, "x"), cost, size, iterations), labels)
 
 
 def predict_svm(rows: DataFrame, machines: Machines, certainty: float = policy.CERTAINTY) -> DataFrame:
-    """As predict(), by machines: `unknown` where the largest probability is below `certainty`."""
+    """As predict(), by machines: the class with most votes, or `unknown` where the largest probability is below `certainty`."""
     good = scaling.transform(rows.where("features is not null"), machines.scaler)
-    out = svm.predict(machines.model, good.select("id", machines.mapped(F.col("features")).alias("features")))
-    p = svm.probabilities(F.col("scores"), *machines.curve)
+    out = machines.pairs.predict(good)
     name = F.element_at(F.array(*(F.lit(x) for x in machines.labels)), F.col("predicted") + 1)
-    label, sure = policy.by_probability(name, F.get(p, F.col("predicted")), certainty)
+    label, sure = policy.by_probability(name, F.array_max("probabilities"), certainty)
     joined = rows.select("id", "error").join(out.select("id", label.alias("label"), sure.alias("confidence")), "id", "left")
     return joined.select("id", "label", F.when(F.col("label").isNotNull(), code_of(F.col("label"))).alias("code"), "confidence", "error")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.blocks import DEFAULT
-from tesserae.operators import distribution, features, knn, metrics, policy, svm
+from tesserae.operators import distribution, features, knn, metrics, pairwise, policy, svm
 from tesserae.plans import images as image_plans
 from tesserae.plans import pipeline, tabular
 from tesserae.sources import images, store
@@ -247,6 +247,14 @@ def imagenet_normalise(spark, sf_dir):
 def svm_search(spark, sf_dir):
     """All points of the grid, trained and compared on the held-out rows."""
     train, val = tabular._scaled(spark, sf_dir)
+    marks = pairwise.landmarks(train, 256, "features")
+    return svm.search(train, val, svm.grid(spark), distribution.weights(distribution.counts(train)), landmarks=marks)
+
+
+@query()
+def svm_search_blind(spark, sf_dir):
+    """The same on maps drawn blind, to compare."""
+    train, val = tabular._scaled(spark, sf_dir)
     return svm.search(train, val, svm.grid(spark), distribution.weights(distribution.counts(train)))
 
 
@@ -291,7 +299,7 @@ def grid_best(spark, sf_dir):
 
 @query()
 def svm_proba(spark, sf_dir):
-    """id, label or `unknown`, code, confidence (calibrated on a fifth of the training rows) by machines on random Fourier features."""
+    """id, label or `unknown`, code, confidence (coupled from the pairs' curves) by machines of all pairs of classes on a map through landmarks."""
     name = F.element_at(F.array(*(F.lit(x) for x in tabular._NAMES)), F.col("label") % 8 + 1)
     rows = tabular._vectors(spark, sf_dir).withColumn("label", name)
     held = rows.where("split = 'val'").select("id", "features", F.lit(None).cast("string").alias("error"))
