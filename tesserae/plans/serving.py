@@ -14,7 +14,7 @@ from tesserae.plans import images as image_plans
 from tesserae.plans import pipeline, tabular
 from tesserae.sources import images, store
 from tesserae.sources.scratch import delete_later, keep, shared_dir
-from tesserae.streaming import frames
+from tesserae.streaming import frames, newest, requests
 
 QUERIES, SQL = {}, {}
 _SPLIT = f"s AS (SELECT vec_id AS id, label, v, split FROM ({tabular._split_sql('(SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)', 'vec_id', 'label')}))"
@@ -232,6 +232,48 @@ def stream_throttle(spark, sf_dir):
     return spark.read.schema("user_id bigint, ms bigint, event_id bigint").parquet(out).select("event_id", "user_id")
 
 
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_stream(spark, sf_dir):
+    """The events as a stream of which only each user's newest goes on, with a state by user; the last that went on of each."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    out, at = _new(spark, "newest"), _new(spark, "progress")
+    with newest.state_in_rocksdb(spark):
+        rows = newest.newest_stream(events, "user_id", "ms", "event_id")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return frames.latest(spark.read.schema(rows.schema).parquet(out), "user_id", "ms", "event_id").select("user_id", "event_id", "event_type")
+
+
+def _by_nearest(asked: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """Requests (id, value) with 64 gray bytes each, answered by the nearest of the model's rows."""
+    parsed = images.requests(asked)
+    good = parsed.where("error is null").select("id", gray_of(F.col("content"), 64).alias("features"))
+    near = knn.neighbours(model["knn"], good, 1)
+    label, sure = policy.by_distance(F.col("label"), F.col("distance"), 1.0)
+    found = near.select(F.col("query_id").alias("id"), label.alias("class_name"), F.round(sure, 6).alias("confidence"))
+    return parsed.select("id", "error").join(found, "id", "left")
+
+
+@query(f"""WITH {_NEAREST} SELECT s.id, {_ERROR.format(k='s.id')} AS error, CASE WHEN s.id % 5 = 0 OR s.id % 7 = 0 THEN NULL WHEN distance <= 1.0 THEN nn.label::VARCHAR ELSE 'unknown' END AS class_name,
+CASE WHEN s.id % 5 = 0 OR s.id % 7 = 0 THEN NULL WHEN distance <= 1.0 THEN round(1 - distance, 6) ELSE 0 END AS confidence, 'knn-1' AS run_id FROM s JOIN nn ON nn.query_id = s.id WHERE s.split = 'val'""")
+def request_stream(spark, sf_dir):
+    """As request_answer, from a stream of requests, with a model from the registry; answers and failures come from their tables."""
+    rows = tabular._vectors(spark, sf_dir)
+    gray = F.transform("features", lambda x: F.least(F.greatest(F.floor((x + 0.5) * 256), F.lit(0)), F.lit(255)).cast("int"))
+    held = rows.where("split = 'val'").withColumn("px", F.unhex(F.array_join(F.transform(gray, lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+    spool, out = _new(spark, "asked"), _new(spark, "served")
+    held.select(*_asked("id", F.col("px"))).write.parquet(spool)
+    runs = store.Runs(spark, _new(spark, "runs"))
+    runs.save("knn", {"knn": rows.where("split = 'train'").select("id", "label", F.transform(gray, lambda x: x / 255.0).alias("features"))}, run_id="knn-1")
+    stream = spark.readStream.schema("id long, value string").parquet(spool)
+    requests.Server(runs, "knn", ["knn"], _by_nearest, out).start(stream, f"{out}/progress").awaitTermination()
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{out}/{name}")
+    good = read("answers", "id long, class_name string, confidence double, run_id string")
+    bad = read("failures", "id long, value string, error string, run_id string")
+    return good.select("id", F.lit(None).cast("string").alias("error"), "class_name", "confidence", "run_id").union(bad.select("id", "error", F.lit(None), F.lit(None), "run_id"))
+
+
 # --- vectors and machines
 
 

@@ -6,6 +6,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ class Runs:
         rows = self.runs().where((F.col("kind") == kind) & value.isNotNull()).orderBy(value.desc(), "saved_at").limit(1).collect()
         return rows[0]["run_id"] if rows else None
 
+    def newest(self, kind: str) -> str | None:
+        """The run of a kind that was saved last; None if there is none yet."""
+        try:
+            rows = self.runs().where(F.col("kind") == kind).orderBy(F.col("saved_at").desc(), "run_id").limit(1).collect()
+        except AnalysisException:  # nothing saved
+            return None
+        return rows[0]["run_id"] if rows else None
+
     def _tables(self, run_id: str) -> list[str]:
         rows = self.runs().where(F.col("run_id") == run_id).collect()
         return json.loads(rows[0]["tables"]) if rows else []
