@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.sources.scratch import clear, keep, shared_dir
+from tesserae.sources.scratch import clear, drop, keep, shared_dir
 
-__all__ = ["before", "clear", "fold", "fresh", "in_order", "join_spread", "keep", "shared_dir", "table"]
+__all__ = ["before", "brief", "clear", "fold", "fresh", "in_order", "join_spread", "keep", "shared_dir", "sieve", "sifted", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -36,6 +38,39 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def brief() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A keep() whose tables are deleted at the end of the block."""
+    tables: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        tables.append(keep(df))
+        return tables[-1]
+
+    yield hold
+    drop(*tables)
+
+
+#: Bits of a sieve, and of one of its rows.
+SIEVE, ROW = 1 << 26, 1 << 15
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the keys' hashes, SIEVE bits (8 MB) whatever their number, in rows (nth, bitmap) that are there if they have a bit."""
+    h = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    return keys.select(F.floor(h / ROW).cast("int").alias("nth"), (h % ROW).alias("bit")).groupBy("nth").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def sifted(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """df without rows whose key is not in the sieve: all that are left out match none of its keys. It is for what comes before a shuffle."""
+    nth, bits, h = fresh(df, "nth", "bits", "h")
+    rows = df.withColumn(h, F.pmod(F.xxhash64(key), F.lit(SIEVE)))
+    rows = rows.join(F.broadcast(bitmap.select(F.col("nth").alias(nth), F.col("bitmap").alias(bits))), F.floor(F.col(h) / ROW).cast("int") == F.col(nth))
+    place = (F.col(h) % ROW).cast("int")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(({h} % {ROW}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, place % 8) == 1).select(*df.columns)
+
+
 #: Rows of one key that join_spread() gives to one task, and keys at most that have more.
 MOST, HOT = 1 << 16, 100_000
 

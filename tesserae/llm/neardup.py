@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import text as T
-from tesserae.llm.common import fresh, join_spread, keep
+from tesserae.llm.common import brief, drop, fresh, join_spread, keep, sieve, sifted
 
 SIZE, HALVES, ROWS = 5, 24, 3
 #: Links: SHARE * intersection >= PART * union.
@@ -147,10 +147,15 @@ def _tables(classes: DataFrame) -> DataFrame:
     """key, node, weight: buckets with more than one class. weight: how many classes share the node's half-keys."""
     counted = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     halves = classes.select("node", F.explode("halves").alias("half"))
-    own = join_spread(halves, counted(halves, "half"), "half", total=HALVES * classes.count()).groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
-    pairs = own.select("node", "weight", "halves", F.posexplode("halves").alias("k", "a"))
-    keys = keep(pairs.select("node", "weight", "a", F.explode(F.slice("halves", F.col("k") + 2, F.size("halves"))).alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight"))
-    return keep(join_spread(keys, counted(keys, "key"), "key").select("key", "node", "weight"))
+    with brief() as hold:
+        several = hold(counted(halves, "half"))
+        some = sifted(halves, "half", sieve(several, "half"))
+        own = join_spread(some, several, "half", total=HALVES * classes.count()).groupBy("node").agg(F.sort_array(F.collect_list("half")).alias("halves"), F.sum("n").alias("weight"))
+        pairs = own.select("node", "weight", "halves", F.posexplode("halves").alias("k", "a"))
+        keys = hold(pairs.select("node", "weight", "a", F.explode(F.slice("halves", F.col("k") + 2, F.size("halves"))).alias("b")).select(F.xxhash64("a", "b").alias("key"), "node", "weight"))
+        several = hold(counted(keys, "key"))
+        some = sifted(keys, "key", sieve(several, "key"))
+        return keep(join_spread(some, several, "key", total=keys.count()).select("key", "node", "weight"))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -163,7 +168,7 @@ def _stars(tables: DataFrame) -> DataFrame:
     return join_spread(tables, centre, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct()
 
 
-def _shared(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared(nodes: DataFrame, texts: DataFrame, hold) -> DataFrame:
     """node, shared: how many of a class's shingles occur in another component as well. nodes: node, label."""
 
     def run(batches):
@@ -173,7 +178,7 @@ def _shared(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("of").take(at), pa.array(value.view(np.int64))], ["id", "of", "shingle"])
 
     rows = texts.join(nodes, "node").select(F.xxhash64("node").alias("id"), F.xxhash64("label").alias("of"), "text")
-    shingles = keep(rows.mapInArrow(run, "id long, of long, shingle long"))
+    shingles = hold(rows.mapInArrow(run, "id long, of long, shingle long"))
     across = shingles.groupBy("shingle").agg(F.min("of").alias("l"), F.max("of").alias("m")).where("l <> m").select("shingle")
     counts = shingles.select("id", "shingle").join(across, "shingle").groupBy("id").agg(F.count("*").alias("shared"))
     return nodes.select("node", F.xxhash64("node").alias("id")).join(counts, "id").select("node", "shared")
@@ -202,22 +207,26 @@ def _sketched(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(run, "node binary, " + ", ".join(f"{x} long" for x in names))
 
 
-def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components, could be linked, and are not checked yet.
+def _rest(tables: DataFrame, classes: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, hold) -> DataFrame:
+    """Pairs of a bucket that are in different components, could be linked, and are not checked yet. The tables are deleted.
 
     Two bounds leave out pairs before they are written. What two classes of different components have in common is at most what
     each shares with other components at all. And of 1,024 bits, at most FAR differ for linked classes (128 +- 10.6 at 0.75, so
     a link fails this with 3e-7). A pair is written in the bucket of the first two half-keys that it shares, so once.
     """
     named = keep(tables.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    drop(tables)
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m").select("key", "n")
-    left = keep(join_spread(named, mixed, "key").select("key", "node", "label"))
-    bounds = _shared(left.select("node", "label").distinct(), texts).join(classes.select("node", "n_shingles", F.sort_array("halves").alias("halves")), "node")
-    alone = SHARE * F.col("shared") >= PART * F.col("n_shingles")  # else no partner of any size is similar enough
-    bounds = keep(bounds.where(alone))
-    left = keep(left.join(bounds.select("node"), "node", "left_semi"))
+    across = keep(join_spread(named, mixed, "key").select("key", "node", "label"))
+    drop(named)
+    with brief() as inner:
+        bounds = _shared(across.select("node", "label").distinct(), texts, inner).join(classes.select("node", "n_shingles", F.sort_array("halves").alias("halves")), "node")
+        alone = SHARE * F.col("shared") >= PART * F.col("n_shingles")  # else no partner of any size is similar enough
+        bounds = hold(bounds.where(alone))
+    left = hold(across.join(bounds.select("node"), "node", "left_semi"))
+    drop(across)
     sizes = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    left = keep(join_spread(left, sizes, "key").join(bounds.join(_sketched(bounds, texts), "node"), "node"))
+    left = hold(join_spread(left, sizes, "key").join(bounds.join(_sketched(bounds, texts), "node"), "node"))
     # a bucket is cut into blocks; each pair of blocks is joined by itself
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
@@ -256,16 +265,19 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label (the smallest node of its component) for every node that has a link."""
+    """node, label (the smallest node of its component) for every node that has a link. Each round's tables replace those of the one before."""
     edges = keep(links.select("a", "b").where("a <> b").distinct())
     before, total = None, edges.count()
     for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = keep(join_spread(both, least, "a", total=2 * total).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
-        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = join_spread(large, least, "b", total=2 * total)
-        edges = keep(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        with brief() as hold:
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+            large = hold(join_spread(both, least, "a", total=2 * total).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+            least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+            small = join_spread(large, least, "b", total=2 * total)
+            old = edges
+            edges = keep(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+        drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -275,20 +287,34 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, tables: DataFrame, classes: DataFrame, hold) -> DataFrame:
+    """node and text of the classes in the tables. A sieve of their hashes keeps most other texts out of the shuffle."""
+    needed = hold(tables.select("node").distinct().join(classes, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.hash").alias("hash")))
+    own = sifted(docs.select(F.col("doc_id").alias("id_"), F.col("text").alias("text"), _hash().alias("hash_")), "hash_", sieve(needed, "hash"))
+    return hold(own.join(needed, (F.col("hash_") == F.col("hash")) & F.col("id_").eqNullSafe(F.col("id"))).groupBy("node").agg(F.first("text").alias("text")))
+
+
+def _labels(docs: DataFrame, classes: DataFrame, outer) -> DataFrame:
+    """node, label of all linked classes, written by `outer`; what leads to it is deleted."""
+    with brief() as hold:
+        tables = _tables(classes)
+        texts = _texts(docs, tables, classes, hold)
+        stars = hold(_stars(tables))
+        links = hold(confirm(stars, texts))
+        first = components(links)
+        with brief() as inner:
+            pairs = hold(_rest(tables, classes, first, stars, texts, inner))
+        more = hold(confirm(pairs, texts))
+        return outer(components(links.union(more)))
+
+
+def _grouped(docs: DataFrame, hold=keep) -> DataFrame:
     """doc_id, hash, n_shingles, component_id, kept, and group (of rows in a group of more than one, else null)."""
-    rows = keep(sketches(docs))
-    classes = keep(_classes(rows))
-    tables = _tables(classes)
-    needed = tables.select("node").distinct().join(classes, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.hash").alias("hash"))
-    own = docs.select(F.col("doc_id").alias("id_"), F.col("text").alias("text"), _hash().alias("hash_"))
-    texts = own.join(needed, (own["hash_"] == needed["hash"]) & own["id_"].eqNullSafe(needed["id"])).groupBy("node").agg(F.first("text").alias("text"))
-    texts = keep(texts)
-    stars = keep(_stars(tables))
-    links = keep(confirm(stars, texts))
-    labels = components(links)
-    more = keep(confirm(keep(_rest(tables, classes, labels, stars, texts)), texts))
-    labels = keep(components(links.union(more)))
+    with brief() as full:
+        sketched = full(sketches(docs))
+        classes = hold(_classes(sketched))
+        rows = hold(sketched.drop("halves"))
+    labels = _labels(docs, classes, hold)
     first = classes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("linked"))
     smallest = first.where("linked").groupBy("label").agg(F.min("first").alias("component_id"))
     named = first.where("linked or copies > 1").join(smallest, "label", "left").select("node", F.coalesce("component_id", "first").alias("component_id"), F.col("label").alias("group"))
@@ -305,9 +331,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group, with all columns."""
     id_, hash_, stays, n = fresh(docs, "id", "hash", "stays", "n")
-    rows = keep(_grouped(docs).where("group is not null").groupBy("group", "doc_id", "hash", "kept").agg(F.count("*").alias("n")))
+    with brief() as hold:
+        rows = keep(_grouped(docs, hold).where("group is not null").groupBy("group", "doc_id", "hash", "kept").agg(F.count("*").alias("n")))
     best = rows.where("kept").groupBy("group").agg(F.min("hash").alias("best"))
     marked = keep(rows.join(best, "group").select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), (F.col("kept") & (F.col("hash") == F.col("best"))).alias(stays), F.col("n").alias(n)))
+    drop(rows)
     same = (_hash() == F.col(hash_)) & F.col("doc_id").eqNullSafe(F.col(id_))
     out = docs.join(marked.where(~F.col(stays) | (F.col(n) > 1)), same, "left_anti")
     again = marked.where(F.col(stays) & (F.col(n) > 1))

@@ -249,3 +249,13 @@ def test_places_do_not_depend_on_stretches(spark, monkeypatch):
         mine = sorted((r["v_"], r["v"]) for r in out if r["grp"] == g)
         assert [k for k, _ in mine] == list(range(50)) and [v for _, v in mine] == sorted(v for _, v in mine)
         assert all(r["n"] == 50 for r in out)
+
+
+def test_a_sieve_lets_all_its_keys_through(spark):
+    keys = spark.range(0, 3000, 7).select((F.col("id") * 1_000_003).alias("k"))
+    df = spark.range(3000).select((F.col("id") * 1_000_003).alias("k"), F.col("id").alias("nth"), F.lit(1).alias("bits"))
+    out = common.sifted(df, "k", common.sieve(keys, "k"))
+    assert out.columns == df.columns
+    got = {r.nth for r in out.collect()}
+    assert set(range(0, 3000, 7)) <= got and len(got) < 3000 / 7 + 10
+    assert common.sifted(df, "k", common.sieve(keys.limit(0), "k")).count() == 0
