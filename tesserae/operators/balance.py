@@ -62,6 +62,17 @@ def resample(df: DataFrame, strategy: str, key: str, label: str = "label", targe
     return sample(df, sizes.select("label").join(F.broadcast(base)), key, label, seed)
 
 
+def training_set(parts: DataFrame, key: str, label: str = "label", target: str = "median", multiplier: float = 1.0, seed: int = 42) -> DataFrame:
+    """key, label, split, is_augmented, slot: the validation rows, the chosen training rows, and a row for each augmented sample, drawn from the chosen ones."""
+    train, val = parts.where("split = 'train'"), parts.where("split = 'val'")
+    goal = plan(train.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), target, multiplier)
+    chosen = sample(train, goal, key, label, seed)
+    plain = val.select(key, label, "split").unionByName(chosen.select(key, label, "split"))
+    plain = plain.select("*", F.lit(False).alias("is_augmented"), F.lit(None).cast("long").alias("slot"))
+    more = slots(chosen, goal, key, label, seed).select(key, F.col("label").alias(label), F.lit("train").alias("split"), F.lit(True).alias("is_augmented"), "slot")
+    return plain.unionByName(more)
+
+
 def slots(selected: DataFrame, needed: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """label, slot, key: a source for each augmented sample, drawn with replacement by hash from the selected rows of its class."""
     rk, l = fresh(selected.select(label, key), "rk", "l")

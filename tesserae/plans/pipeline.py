@@ -41,14 +41,9 @@ def build(spark: SparkSession, root: str, settings: Build = Build()) -> DataFram
     if small:
         raise ValueError(f"classes with too few images to split: {sorted(small)}")
     parts = balance.split(listed, "path", share=settings.share, seed=settings.seed)
-    train, val = parts.where("split = 'train'"), parts.where("split = 'val'")
-    plan = balance.plan(distribution.counts(train), settings.target, settings.multiplier)
-    chosen = balance.sample(train, plan, "path", seed=settings.seed)
-    slots = balance.slots(chosen, plan, "path", seed=settings.seed)
     pixels = image_source.images(spark, root).drop("label")
-    plain = val.select("path", "label", "split").union(chosen.select("path", "label", "split")).withColumn("slot", F.lit(None).cast("long"))
-    wanted = plain.union(slots.select("path", "label", F.lit("train"), "slot"))
-    wanted = keep(wanted)
+    wanted = balance.training_set(parts, "path", target=settings.target, multiplier=settings.multiplier, seed=settings.seed)
+    wanted = keep(wanted.select("path", "label", "split", "slot"))
     small = wanted.count() <= CHOSEN
     rows = augment.apply(pixels.join(F.broadcast(wanted) if small else wanted, "path"), settings.keys, settings.seed)
     out = features.extract(rows, settings.blocks, settings.side)

@@ -211,6 +211,32 @@ def run_registry(spark, sf_dir):
     return runs.runs().select("run_id", "kind", accuracy.alias("accuracy"), (F.col("run_id") == runs.best("knn")).alias("best"))
 
 
+@query(f"WITH {tabular._SWEEP} SELECT run_id, sw.k, round(accuracy, 9) AS accuracy FROM sw, (SELECT unnest(['first', 'second']) AS run_id) WHERE k <= 11")
+def sweep_log(spark, sf_dir):
+    """Two sweeps appended to one log, read back."""
+    path = _new(spark, "log")
+    swept = keep(knn.sweep(*tabular._near(spark, sf_dir, 11), ks=(1, 6, 11)))
+    for run_id in ("first", "second"):
+        store.log_sweep(swept, path, run_id)
+    return spark.read.schema("k int, accuracy double, accuracy_percent double, run_id string").parquet(path).select("run_id", "k", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(f"""WITH {tabular._S}, d AS (SELECT count(*) AS dims, round(sum(mean), 6) AS total FROM sc), l AS (SELECT * FROM (VALUES ('both', 'knn', 'knn_scaler'), ('machines', 'svm', 'svm_scaler'), ('old', 'svm', 'scaler')) v(run_id, kind, scaler))
+SELECT run_id, kind, dims, round(total + CASE scaler WHEN 'knn_scaler' THEN 0 WHEN 'svm_scaler' THEN dims ELSE 2 * dims END, 6) AS total FROM l, d""")
+def model_lookup(spark, sf_dir):
+    """Of runs with several models and scalers, those that are preferred; told apart by what is added to the scalers' means."""
+    rows = tabular._vectors(spark, sf_dir)
+    fitted = keep(tabular.scaling.fit(rows.where("split = 'train'")))
+    moved = lambda n: fitted.withColumn("mean", F.col("mean") + n)
+    model = rows.where("split = 'train'").select("id", "label")
+    runs = store.Runs(spark, _new(spark, "runs"))
+    runs.save("knn", {"svm": model, "knn": model, "scaler": moved(2), "svm_scaler": moved(1), "knn_scaler": moved(0)}, run_id="both")
+    runs.save("svm", {"svm": model, "scaler": moved(2), "svm_scaler": moved(1)}, run_id="machines")
+    runs.save("svm", {"svm": model, "scaler": moved(2)}, run_id="old")
+    found = [runs.scaler(r).agg(F.count("*").alias("dims"), F.round(F.sum("mean"), 6).alias("total")).select(F.lit(r).alias("run_id"), F.lit(runs.model(r)[0]).alias("kind"), "dims", "total") for r in ("both", "machines", "old")]
+    return found[0].union(found[1]).union(found[2])
+
+
 # --- streams
 
 
