@@ -9,7 +9,8 @@ Trigrams are counted per task and language before the shuffle, and prototypes ar
 task holds a language's texts. The prototypes (languages x dims) are all that the driver sees.
 
 Defined cases: `und` with score 0 if the text is null or has no letter, or if nothing was learned; a null key counts as held
-out; rows without a language are not learned from; other columns are not read.
+out; rows without a language are not learned from; repeated rows are learned from as often as they occur and get equal rows; an empty table
+gives no rows; a very long text is worked on whole, as a slice of its own; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ Each (key, shard) pair has its own uniform draw u from md5(key # shard); the key
 draws of the others stay as they were.
 
 Defined cases: a null key counts as the text `\\0`; a null text has size 8 and crc 0; repeated rows go to one shard and get
-slots of their own; other columns of the input are not read; an empty table gives no rows.
+slots of their own; other columns of the input are not read; a very long text is read once, for its size and
+crc, and goes no further; an empty table gives no rows.
 """
 
 from __future__ import annotations
