@@ -131,11 +131,11 @@ _PARTS = _split_sql("(SELECT doc_id, lang AS label FROM documents)", "doc_id", "
 r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}-' || doc_id), doc_id) AS rk FROM p WHERE split = 'train'), s AS (SELECT doc_id, label, rk, count(*) OVER (PARTITION BY label) AS m FROM r, t WHERE rk <= target_n),
 w AS (SELECT label, unnest(generate_series(1, target_n - n)) AS slot FROM c, t WHERE n < target_n),
 a AS (SELECT s.doc_id, w.label, w.slot FROM w JOIN s ON s.label = w.label AND s.rk = ('0x' || substr(md5('{SEED}-' || w.label || '-' || w.slot), 1, 8))::BIGINT % s.m + 1)
-SELECT doc_id, label, 'val' AS split, FALSE AS is_augmented, NULL::BIGINT AS slot FROM p WHERE split = 'val' UNION ALL SELECT doc_id, label, 'train', FALSE, NULL FROM s UNION ALL SELECT doc_id, label, 'train', TRUE, slot FROM a""")
+SELECT doc_id, label, 'val' AS split, FALSE AS is_augmented, 0::BIGINT AS slot FROM p WHERE split = 'val' UNION ALL SELECT doc_id, label, 'train', FALSE, 0 FROM s UNION ALL SELECT doc_id, label, 'train', TRUE, slot FROM a""")
 def training_set(spark, sf_dir):
     """What a build works on: the validation part whole, the training part cut to the median class, and augmented samples of smaller classes."""
     parts = balance.split(_documents(spark, sf_dir), "doc_id", seed=SEED)
-    return balance.training_set(parts, "doc_id", seed=SEED)
+    return balance.training_set(parts, "doc_id", seed=SEED).withColumn("slot", F.coalesce("slot", F.lit(0)))
 
 
 @query(f"SELECT doc_id, label FROM ({_RANKED}) WHERE (label = 'en' AND rk <= 100) OR (label = 'fr' AND rk <= 50) OR label NOT IN ('en', 'fr')")
