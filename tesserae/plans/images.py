@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import vectors
 from tesserae.functions.blocks import DEFAULT
-from tesserae.operators import features, pixels, svm
+from tesserae.functions.oriented import oriented
+from tesserae.operators import features, pixels, svm, warps
 from tesserae.operators.distribution import counts, weights
 from tesserae.plans import tabular
 from tesserae.sources.scratch import keep
@@ -136,6 +137,59 @@ def frame_rotate(spark, sf_dir):
     return pixels.turned(_images(spark, sf_dir), F.lit(90)).select("id", F.posexplode("px").alias("place", "x"))
 
 
+def _warped_sql(row: str, col: str, low: float, high: float) -> str:
+    """A gather through (row, col), expressions in r, c and the image's drawn number a."""
+    inside = lambda x: f"least(greatest({x}, 0), 7)"
+    return f"""WITH {_PX}, a AS (SELECT id, {low} + {high - low} * ('0x' || substr(md5('7-' || id), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS a FROM (SELECT DISTINCT id FROM px)),
+s AS (SELECT id, r, c, {inside(row)} AS y, {inside(col)} AS x FROM px JOIN a USING (id)), f AS (SELECT *, floor(y)::INTEGER AS i, floor(x)::INTEGER AS j FROM s)
+SELECT f.id, (f.r * 8 + f.c)::INTEGER AS place, round_even((t.x * (1 - (f.x - j)) + u.x * (f.x - j)) * (1 - (y - i)) + (v.x * (1 - (f.x - j)) + w.x * (f.x - j)) * (y - i), 0)::INTEGER AS x FROM f
+JOIN px t ON t.id = f.id AND t.r = i AND t.c = j JOIN px u ON u.id = f.id AND u.r = i AND u.c = least(j + 1, 7) JOIN px v ON v.id = f.id AND v.r = least(i + 1, 7) AND v.c = j JOIN px w ON w.id = f.id AND w.r = least(i + 1, 7) AND w.c = least(j + 1, 7)"""
+
+
+@query(_warped_sql("4 + (r - 4) * cos(a * (pi() / 180)) + (c - 4) * sin(a * (pi() / 180))", "4 + (c - 4) * cos(a * (pi() / 180)) - (r - 4) * sin(a * (pi() / 180))", -15.0, 15.0))
+def augment_rotate(spark, sf_dir):
+    """Each image turned by an angle between -15 and 15 degrees, drawn by hash."""
+    return _each(warps.rotated(_images(spark, sf_dir), warps.drawn("id", 7, -15.0, 15.0)), "px", 64, "place", "x")
+
+
+_RADIAL = "(1 + a * (((c - 4) / 8.0::DOUBLE) * ((c - 4) / 8.0::DOUBLE) + ((r - 4) / 8.0::DOUBLE) * ((r - 4) / 8.0::DOUBLE)))"
+
+
+@query(_warped_sql(f"4.0::DOUBLE + (r - 4) / 8.0::DOUBLE * {_RADIAL} * 8", f"4.0::DOUBLE + (c - 4) / 8.0::DOUBLE * {_RADIAL} * 8", -0.1, 0.1))
+def augment_bulge(spark, sf_dir):
+    """Each image distorted radially, by a strength drawn by hash."""
+    return _each(warps.bulged(_images(spark, sf_dir), warps.drawn("id", 7, -0.1, 0.1)), "px", 64, "place", "x")
+
+
+def _oriented_sql(dealt: bool) -> str:
+    """Cells of 2 x 2 pixels, so 4 x 4 cells and 3 x 3 blocks of 2 x 2 cells."""
+    votes = "SELECT id, cell, (low + 9) % 9 AS bin, m * (1 - (turn - 0.5 - low)) AS v FROM t UNION ALL SELECT id, cell, (low + 10) % 9, m * (turn - 0.5 - low) FROM t" if dealt else "SELECT id, cell, least(floor(turn), 8)::BIGINT AS bin, m AS v FROM t"
+    return f"""WITH {_PX}, g AS (SELECT p.id, p.r, p.c, CASE WHEN p.r BETWEEN 1 AND 6 THEN d.x - u.x ELSE 0 END AS gd, CASE WHEN p.c BETWEEN 1 AND 6 THEN k.x - l.x ELSE 0 END AS gr FROM px p
+LEFT JOIN px d ON d.id = p.id AND d.c = p.c AND d.r = p.r + 1 LEFT JOIN px u ON u.id = p.id AND u.c = p.c AND u.r = p.r - 1 LEFT JOIN px k ON k.id = p.id AND k.r = p.r AND k.c = p.c + 1 LEFT JOIN px l ON l.id = p.id AND l.r = p.r AND l.c = p.c - 1),
+o AS (SELECT id, r // 2 * 4 + c // 2 AS cell, sqrt(gd::DOUBLE * gd + gr::DOUBLE * gr) AS m, atan2(gd, gr) * (180 / pi()) AS a FROM g), t AS (SELECT *, floor(turn - 0.5)::BIGINT AS low FROM (SELECT *, (CASE WHEN a < 0 THEN a + 180 WHEN a >= 180 THEN a - 180 ELSE a END) / 20 AS turn FROM o)),
+h AS (SELECT id, cell, bin, sum(v) / 4 AS v FROM ({votes}) GROUP BY ALL),
+b AS (SELECT i.id, k.b, k.p * 9 + k.bin AS place, coalesce(h.v, 0) AS v FROM (SELECT DISTINCT id FROM px) i CROSS JOIN (SELECT b, p, bin, (b // 3 + p // 2) * 4 + b % 3 + p % 2 AS cell FROM range(9) x(b), range(4) y(p), range(9) z(bin)) k LEFT JOIN h ON h.id = i.id AND h.cell = k.cell AND h.bin = k.bin),
+n AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY id, b) + 1e-10), 0.2) AS u FROM b)
+SELECT id, (b * 36 + place)::INTEGER AS k, round(u / sqrt(sum(u * u) OVER (PARTITION BY id, b) + 1e-10), 6) AS x FROM n"""
+
+
+def _oriented(spark, sf_dir, dealt: bool) -> DataFrame:
+    rows = _images(spark, sf_dir).withColumn("v", oriented(F.col("px"), F.col("height"), F.col("width"), cell=2, dealt=dealt))
+    return _each(rows, "v", 324, "k", "x").withColumn("x", F.round("x", 6))
+
+
+@query(_oriented_sql(False))
+def oriented_gradients(spark, sf_dir):
+    """With cells of 2 x 2 pixels, as the images are small; each pixel votes for one bin."""
+    return _oriented(spark, sf_dir, False)
+
+
+@query(_oriented_sql(True))
+def oriented_gradients_dealt(spark, sf_dir):
+    """The same with votes dealt between two bins."""
+    return _oriented(spark, sf_dir, True)
+
+
 # --- colour: the first 48 values of an embedding stand in for 4 x 4 pixels of three colours, which are enlarged to 8 x 8
 
 _SIDE = 8
