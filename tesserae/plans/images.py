@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import vectors
 from tesserae.functions.blocks import DEFAULT
 from tesserae.functions.oriented import oriented
-from tesserae.operators import features, pixels, svm, warps
+from tesserae.operators import edges, features, pixels, svm, warps
 from tesserae.operators.distribution import counts, weights
 from tesserae.plans import tabular
 from tesserae.sources.scratch import keep
@@ -137,6 +137,22 @@ def frame_rotate(spark, sf_dir):
     return pixels.turned(_images(spark, sf_dir), F.lit(90)).select("id", F.posexplode("px").alias("place", "x"))
 
 
+_EDGES = f"""WITH RECURSIVE {_PX}, k AS (SELECT * FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc)),
+g AS (SELECT p.id, p.r, p.c, sum(n.x * k.dc * (2 - abs(k.dr)))::BIGINT AS gx, sum(n.x * k.dr * (2 - abs(k.dc)))::BIGINT AS gy FROM px p, k, px n WHERE n.id = p.id AND n.r = least(greatest(p.r + k.dr, 0), 7) AND n.c = least(greatest(p.c + k.dc, 0), 7) GROUP BY ALL),
+m AS MATERIALIZED (SELECT *, abs(gx) + abs(gy) AS m, CASE WHEN (gx < 0) <> (gy < 0) THEN -1 ELSE 1 END AS s FROM g),
+w AS (SELECT m.*, CASE WHEN abs(gy) < abs(gx) * 0.41421356237309503::DOUBLE THEN 0 WHEN abs(gy) > abs(gx) * 2.414213562373095::DOUBLE THEN 1 ELSE s END AS sr, CASE WHEN abs(gy) < abs(gx) * 0.41421356237309503::DOUBLE THEN 'l' WHEN abs(gy) > abs(gx) * 2.414213562373095::DOUBLE THEN 'u' ELSE 'd' END AS way FROM m),
+t AS (SELECT w.*, coalesce(a.m, 0) AS one, coalesce(b.m, 0) AS two FROM w
+LEFT JOIN m a ON a.id = w.id AND a.r = w.r - (w.way <> 'l')::INT AND a.c = w.c - CASE w.way WHEN 'l' THEN 1 WHEN 'u' THEN 0 ELSE w.s END LEFT JOIN m b ON b.id = w.id AND b.r = w.r + (w.way <> 'l')::INT AND b.c = w.c + CASE w.way WHEN 'l' THEN 1 WHEN 'u' THEN 0 ELSE w.s END),
+c AS MATERIALIZED (SELECT id, r, c, m > 200 AS strong FROM t WHERE m > 100 AND m > one AND CASE way WHEN 'd' THEN m > two ELSE m >= two END),
+e AS (SELECT id, r, c FROM c WHERE strong UNION SELECT c.id, c.r, c.c FROM e JOIN c ON c.id = e.id AND abs(c.r - e.r) <= 1 AND abs(c.c - e.c) <= 1)
+SELECT i.id, round(coalesce(n, 0) * 255.0::DOUBLE / 64, 6) AS density FROM (SELECT DISTINCT id FROM px) i LEFT JOIN (SELECT id, count(*) AS n FROM e GROUP BY 1) x ON x.id = i.id"""
+
+
+@query(_EDGES)
+def edge_density(spark, sf_dir):
+    return edges.edge_density(_images(spark, sf_dir)).withColumn("density", F.round("density", 6))
+
+
 def _warped_sql(row: str, col: str, low: float, high: float) -> str:
     """A gather through (row, col), expressions in r, c and the image's drawn number a."""
     inside = lambda x: f"least(greatest({x}, 0), 7)"
