@@ -46,7 +46,9 @@ HEAD, CLASSES, STATES = 131_072, 64, 6
 ROUNDS, SETTLED = 6, 1e-3
 SEEDS, BUCKETS = 256, 256
 #: Tokens of a window, windows that are run side by side, and tokens of texts that are looked at together.
-WINDOW, GROUP, TOKENS = 512, 256, 1 << 20
+WINDOW, GROUP, TOKENS = 512, 512, 1 << 20
+#: Tokens between two scalings where no scale is needed for itself; probabilities of so many tokens are no underflow.
+SCALED = 8
 #: Count classes per doubling, by which the head is cut off.
 STEPS = 16
 
@@ -186,36 +188,48 @@ class _Windows:
         self.log = np.zeros(len(n))
 
     def groups(self, of: np.ndarray):
-        """Groups of GROUP of these windows: (indices, how many of them reach each token)."""
+        """Groups of GROUP of these windows: (indices, how many of them reach each token, where each token's row starts, places in obs)."""
         for g in range(0, len(of), GROUP):
             own = of[g : g + GROUP]
-            size = self.length[own]
-            yield own, [int(np.searchsorted(-size, -t)) for t in range(int(size[0]))]
+            steps = int(self.length[own[0]])
+            active = np.searchsorted(-self.length[own], -np.arange(steps))
+            at = np.cumsum(active) - active
+            place = np.arange(active.sum()) - np.repeat(at, active)
+            yield own, active.tolist(), at.tolist(), place, self.begin[own][place] + np.repeat(np.arange(steps), active)
 
     def run(self, backward: bool) -> None:
-        """Fills log and entry, and with `backward` exit."""
+        """Fills log and entry, and with `backward` exit. Arrays are by state first; values are scaled every SCALED tokens."""
         model, states = self.model, len(self.model.start)
+        turned = np.ascontiguousarray(model.move.T)
         first, later = np.flatnonzero(self.nth == 0), np.flatnonzero(self.nth > 0)
         last = np.zeros((self.docs, states))
-        for own, active in self.groups(first):
-            alpha, log = np.broadcast_to(model.start, (len(own), states)).copy(), np.zeros(len(own))
-            for t, a in enumerate(active):
-                now = (alpha[:a] @ model.move if t else alpha[:a]) * model.emit[self.obs[self.begin[own[:a]] + t]]
-                scale = now.sum(1)
-                alpha[:a] = now / scale[:, None]
-                log[:a] += np.log(scale)
-            last[self.doc[own]], self.log[self.doc[own]] = alpha, log
+        for own, active, at, _, tokens in self.groups(first):
+            emits = np.ascontiguousarray(model.emit[self.obs[tokens]].T)
+            alpha, log, a = np.repeat(model.start[:, None], len(own), 1), np.zeros(len(own)), len(own)
+            for t, now in enumerate(active):
+                if now < a or t % SCALED == 0:
+                    self._scale(alpha, log)
+                    last[self.doc[own[now:a]]], self.log[self.doc[own[now:a]]] = alpha[:, now:].T, log[now:]
+                    alpha, log, a = alpha[:, :now], log[:now], now
+                alpha = (turned @ alpha if t else alpha) * emits[:, at[t] : at[t] + now]
+            self._scale(alpha, log)
+            last[self.doc[own[:a]]], self.log[self.doc[own[:a]]] = alpha.T, log
         if not len(later):
             return
         matrix, scales = np.empty((len(self.doc), states, states)), np.zeros(len(self.doc))
-        for own, active in self.groups(later):
-            m, log = np.broadcast_to(np.eye(states), (len(own), states, states)).copy(), np.zeros(len(own))
-            for t, a in enumerate(active):
-                now = (m[:a].reshape(-1, states) @ model.move).reshape(a, states, states) * model.emit[self.obs[self.begin[own[:a]] + t]][:, None, :]
-                scale = now.sum((1, 2))
-                m[:a] = now / scale[:, None, None]
-                log[:a] += np.log(scale)
-            matrix[own], scales[own] = m, log
+        for own, active, at, _, tokens in self.groups(later):
+            emits = np.ascontiguousarray(model.emit[self.obs[tokens]].T)
+            # by state reached, then by state at the entry
+            m, log, a = np.repeat(np.eye(states)[:, :, None], len(own), 2), np.zeros(len(own)), len(own)
+            for t, now in enumerate(active):
+                if now < a or t % SCALED == 0:
+                    self._scale(m, log)
+                    matrix[own[now:a]], scales[own[now:a]] = m[:, :, now:].transpose(2, 1, 0), log[now:]
+                    m, log, a = np.ascontiguousarray(m[:, :, :now]), log[:now], now
+                m = (turned @ m.reshape(states, -1)).reshape(states, states, now)
+                m *= emits[:, None, at[t] : at[t] + now]
+            self._scale(m, log)
+            matrix[own[:a]], scales[own[:a]] = m.transpose(2, 1, 0), log
         by_nth = later[np.argsort(self.nth[later], kind="stable")]
         steps = np.split(by_nth, np.flatnonzero(np.diff(self.nth[by_nth])) + 1)
         for own in steps:
@@ -234,6 +248,13 @@ class _Windows:
                 behind[d] = now / now.sum(1, keepdims=True)
             self.exit[first] = behind[self.doc[first]]
 
+    @staticmethod
+    def _scale(x: np.ndarray, log: np.ndarray) -> None:
+        """Makes the values of each window add up to 1, and adds the logarithm of what they were to its sum."""
+        total = x.sum(tuple(range(x.ndim - 1)))
+        x /= total
+        log += np.log(total)
+
 
 def log10_likelihood(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Of each sequence (obs holds one after the other, n their lengths), by the scaled forward recursion."""
@@ -244,40 +265,55 @@ def log10_likelihood(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = W
 
 def expected(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """Expected starts, moves and emissions (symbol x state) of whole sequences, and their log-likelihood."""
-    states = len(model.start)
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+    own, start, move, emit, log = _expected(model, obs, n, window)
+    full = np.zeros(model.emit.shape)
+    full[own] = emit
+    return [start, move, full, log]
+
+
+def _expected(model: Hmm, obs: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """The same with emissions of the sequences' own symbols alone, which come first."""
+    states, own_symbols, obs = len(model.start), *_own(obs, len(model.emit))
+    model = Hmm(model.start, model.move, model.emit[own_symbols])
+    start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(own_symbols)))
+    turned = np.ascontiguousarray(model.move.T)
     w = _Windows(model, obs, n, window)
     w.run(True)
-    for own, active in w.groups(np.arange(len(w.doc))):
-        at, head, entry = w.begin[own], w.nth[own] == 0, w.entry[own]
-        alphas, emits, scales, seen = [], [], [], []
-        alpha = np.where(head[:, None], model.start, entry @ model.move)
-        ended = np.empty((len(own), states))
+    for own, active, at, place, tokens in w.groups(np.arange(len(w.doc))):
+        head, entry, symbol = w.nth[own] == 0, w.entry[own].T, obs[tokens]
+        emits = np.ascontiguousarray(model.emit[symbol].T)
+        alphas, scales = np.empty_like(emits), np.empty(len(symbol))
+        alpha = np.where(head, model.start[:, None], turned @ entry)
         for t, a in enumerate(active):
-            seen.append(obs[at[:a] + t])
-            emits.append(model.emit[seen[-1]])
-            now = (alpha[:a] @ model.move if t else alpha) * emits[-1]
-            scales.append(now.sum(1))
-            alpha = now / scales[-1][:, None]
-            alphas.append(alpha)
-            ended[:a] = alpha
-        beta = w.exit[own]
-        beta = beta / (ended * beta).sum(1, keepdims=True)
-        gammas = []
+            here = slice(at[t], at[t] + a)
+            alpha = (turned @ alpha[:, :a] if t else alpha) * emits[:, here]
+            scales[here] = scale = alpha.sum(0)
+            alpha /= scale
+            alphas[:, here] = alpha
+        ended = alphas[:, np.array(at)[w.length[own] - 1] + np.arange(len(own))]
+        beta = w.exit[own].T.copy()
+        beta /= (ended * beta).sum(0)
+        emits /= scales
         for t in range(len(active) - 1, -1, -1):
-            a = active[t]
-            gammas.append(alphas[t] * beta[:a])
-            back = emits[t] * beta[:a] / scales[t][:, None]
+            a, here = active[t], slice(at[t], at[t] + active[t])
+            back = emits[:, here] * beta[:, :a]
             if t:
-                move += (alphas[t - 1][:a].T @ back) * model.move
-                beta[:a] = back @ model.move.T
+                moves += alphas[:, at[t - 1] : at[t - 1] + a] @ back.T
             else:
-                move += (entry[~head].T @ back[~head]) * model.move
-        start += gammas[-1][head].sum(0)
-        symbol, gamma = np.concatenate(seen[::-1]), np.concatenate(gammas)
+                moves += entry[:, ~head] @ back[:, ~head].T
+            alphas[:, here] *= beta[:, :a]  # from here on the weights of the states
+            beta[:, :a] = model.move @ back
+        start += alphas[:, : active[0]][:, head].sum(1)
         for s in range(states):
-            emit[:, s] += np.bincount(symbol, gamma[:, s], len(emit))
-    return [start, move, emit, np.array([w.log.sum()])]
+            emit[s] += np.bincount(symbol, alphas[s], len(own_symbols))
+    return own_symbols, start, moves * model.move, emit.T, np.array([w.log.sum()])
+
+
+def _own(obs: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols in order, and each symbol's place among them."""
+    there = np.zeros(symbols, bool)
+    there[obs] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[obs]
 
 
 def _bags(obs: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -301,21 +337,21 @@ def _centres(bags: np.ndarray, states: int) -> np.ndarray:
     return centre
 
 
-def _summed(rows: DataFrame, each, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol, values by state) of what `each` gives for slices (obs, n): symbol-by-state counts, and more rows with symbols below 0.
+def _summed(rows: DataFrame, each, symbols: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, values by state) of what `each` gives for slices (obs, n): symbols, their counts by state, and more rows with symbols below 0.
 
     Tasks are merged to a few for each core before, as each of them sends a row for every symbol that it has seen.
     """
     names = [f"s{s}" for s in range(states)]
 
     def run(batches):
-        total = None
+        emit, rest = np.zeros((symbols, states)), None
         for b in batches:
             for _, obs, n in _ragged(b.column("seq")):
-                now = each(obs, n)
-                total = now if total is None else [x + y for x, y in zip(total, now, strict=True)]
-        if total is not None:
-            emit, *rest = total
+                own, now, *more = each(obs, n)
+                emit[own] += now
+                rest = more if rest is None else [x + y for x, y in zip(rest, more, strict=True)]
+        if rest is not None:
             used = np.flatnonzero(emit.any(1))
             below = np.concatenate([np.atleast_2d(x) if x.shape[-1] == states else np.full((1, states), x[0] / states) for x in rest]) if rest else np.zeros((0, states))
             symbol, values = np.concatenate([used, -1 - np.arange(len(below))]), np.concatenate([emit[used], below])
@@ -346,9 +382,10 @@ def start_model(rows: DataFrame, vocab: Vocabulary, states: int = STATES, seeds:
 
         def each(obs, n):
             own = np.round(_bags(obs, n) @ shared.value.T, 9).argmax(1)
-            return [np.bincount(obs.astype(np.int64) * states + np.repeat(own, n), minlength=emit.size).reshape(emit.shape).astype(float)]
+            of, code = _own(obs, len(emit))
+            return of, np.bincount(code * states + np.repeat(own, n), minlength=len(of) * states).reshape(-1, states).astype(float)
 
-        symbol, values = _summed(rows, each, states)
+        symbol, values = _summed(rows, each, len(emit), states)
         emit[symbol] += values
     return Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
 
@@ -360,10 +397,10 @@ def baum_welch(rows: DataFrame, vocab: Vocabulary, model: Hmm, rounds: int = ROU
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
         def each(obs, n, shared=shared):
-            start, move, emit, log = expected(shared.value, obs, n)
-            return [emit, move, start, log]
+            own, start, move, emit, log = _expected(shared.value, obs, n)
+            return own, emit, move, start, log
 
-        symbol, values = _summed(rows, each, states)
+        symbol, values = _summed(rows, each, vocab.symbols, states)
         emit = prior * np.repeat(vocab.shares()[:, None], states, axis=1)
         emit[symbol[symbol >= 0]] += values[symbol >= 0]
         more = np.zeros((states + 2, states))
