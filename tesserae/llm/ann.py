@@ -14,10 +14,12 @@ Spark deals lists out in bundles of at most BLOCK vectors (a longer list is seve
 that a third of all vectors fall into is many groups, each of bounded size. A query goes once to each bundle that holds a list it
 probes, with the numbers of these lists. Each group gives k candidates for a query at most; the best k of all stay.
 
-Defined cases: vectors that are null, zero or hold null, NaN or infinite components take no part (as query or candidate), nor do
-null ids; shorter vectors count as padded with zeros; a row is a candidate of every row but itself, also of rows with the same id
-or an equal vector, and each row with a query's id is a query of its own; ties go to the smaller id; an empty table gives an empty
-one; of more vectors than the sample holds those with the smallest hashes are in it; other columns are not read.
+Defined cases: vectors that are null, zero or hold null, NaN or infinite components take no part (as query or candidate); a row
+with a null id is a candidate like any other, but no query of nearest(); shorter vectors count as padded with zeros; a row is a
+candidate of every row but itself, also of rows with the same id or an equal vector, and each row with a query's id is a query of
+its own; of the vectors found, ties go to the smaller id, null last (which of equally near ones are found is up to the probed lists);
+an empty table gives an empty one; of more vectors than the sample holds those with the smallest hashes are in it; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,15 +75,20 @@ def _matrix(lists, dims: int) -> np.ndarray:
     return out
 
 
+def _ids(column) -> np.ndarray:
+    """Ids as 64-bit numbers, the largest one in place of nulls."""
+    return pc.fill_null(column, np.iinfo(np.int64).max).to_numpy()
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id and v (as they are, if they are floats, else doubles) of the vectors that take part."""
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("v").isNotNull() & F.col("id").isNotNull()).where(fine)
+    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("v").isNotNull()).where(fine)
 
 
 def _to_sample(ix: Index, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances to the sample's vectors, infinite to those with a query's own id."""
+    """Squared distances to the sample's vectors, infinite to those with a query's own id (which makes bounds wider only)."""
     far = ((x**2).sum(1)[:, None] + (ix.sample**2).sum(1) - 2 * x @ ix.sample.T).astype(float)
     far[ids[:, None] == ix.ids] = np.inf
     return far
@@ -96,7 +104,7 @@ def fit(rows: DataFrame, k: int, sample: int = SAMPLE, rounds: int = 12) -> Inde
     rng = np.random.default_rng(9)
     turn, _ = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))
     none = np.zeros((0, dims + 1), np.float32)
-    index = Index(dims, top * (1 + 1e-9), turn, none, none, some.column("id").to_numpy(), np.zeros(0, int), 1)
+    index = Index(dims, top * (1 + 1e-9), turn, none, none, _ids(some.column("id")), np.zeros(0, int), 1)
     raw = _matrix(some.column("v"), dims)
     x = index.lifted(raw)
     lists = max(1, min(round(math.sqrt(n)), len(x) // 8))
@@ -164,7 +172,7 @@ def _asked(queries: DataFrame, index, bundles: dict[int, tuple[int, int]], k: in
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                ids, x = b.column("id").to_numpy(), ix.lifted(_matrix(b.column("v"), ix.dims), True)
+                ids, x = _ids(b.column("id")), ix.lifted(_matrix(b.column("v"), ix.dims), True)
                 order, bound, probes = ix.nearest_lists(x), np.full(len(ids), np.inf), np.full(len(ids), len(ix.centres))
                 if not whole:
                     far = _to_sample(ix, x, ids)
@@ -227,10 +235,10 @@ def _group(index, k: int):
 
     def run(queries: pa.Table, found: pa.Table) -> pa.Table:
         ix = index.value
-        cells, ids, rows = (found.column(c).to_numpy() for c in ("cell", "id", "row"))
+        cells, rows, ids, unnamed = found.column("cell").to_numpy(), found.column("row").to_numpy(), _ids(found.column("id")), found.column("id").is_null().to_numpy()
         raw = _matrix(found.column("v"), ix.dims)
         x = np.ascontiguousarray(ix.lifted(raw).T) if len(raw) else np.zeros((ix.dims + 1, 0), np.float32)
-        qids, qrows, qraw = queries.column("id").to_numpy(), queries.column("row").to_numpy(), _matrix(queries.column("v"), ix.dims)
+        qids, qrows, qraw = queries.column("id").combine_chunks(), queries.column("row").to_numpy(), _matrix(queries.column("v"), ix.dims)
         bounds, qx = queries.column("bound").to_numpy() * (1 + 1e-5) + 1e-5, ix.lifted(qraw, True)
         lists = queries.column("cells").combine_chunks()
         probed, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(qids)), np.diff(np.asarray(lists.offsets)))
@@ -247,11 +255,11 @@ def _group(index, k: int):
                 score = np.concatenate([np.einsum("ij,ij->i", raw[two[c : c + 65536]], qraw[one[c : c + 65536]]) for c in range(0, len(one), 65536)] or [np.zeros(0)])
                 out.append((one, two, score))
         one, two, score = (np.concatenate(y) for y in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        best = np.lexsort((rows[two], ids[two], -score, one))
+        best = np.lexsort((rows[two], unnamed[two], ids[two], -score, one))
         one, two, score = one[best], two[best], score[best]
         first = np.arange(len(one)) - np.searchsorted(one, one) < k
         one, two, score = one[first], two[first], score[first]
-        return pa.table([pa.array(y) for y in (qrows[one], qids[one], rows[two], ids[two], score)], names)
+        return pa.table([pa.array(qrows[one]), qids.take(pa.array(one)), pa.array(rows[two]), pa.array(ids[two], mask=unnamed[two]), pa.array(score)], names)
 
     return run
 
@@ -276,7 +284,7 @@ def _search(queries: DataFrame, among: DataFrame, index, k: int) -> DataFrame:
     short = keep(short.select("row", "id", "v"))
     if not short.isEmpty():
         found = found.join(short.select("row"), "row", "left_anti").union(_scanned(short, among, index, k, True))
-    w = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id", "vec_row")
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.asc_nulls_last("vec_id"), "vec_row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -6,7 +6,8 @@ bundles those of its training texts. The language with the largest cosine to the
 that sorts first. Runs of other characters count as one separator, which also stands before and after a text.
 
 Trigrams are counted per task and language before the shuffle, and prototypes are sums of counts times trigram vectors, so no
-task holds a language's texts. The prototypes (languages x dims) are all that the driver sees.
+task holds a language's texts. The prototypes (languages x dims) are all that the driver sees and that is broadcast: LANGS languages at
+most (64 MB); more of them stop the job before any prototype is made.
 
 Defined cases: `und` with score 0 if the text is null or has no letter, or if nothing was learned; a null key counts as held
 out; rows without a language are not learned from; repeated rows are learned from as often as they occur and get equal rows; an empty table
@@ -27,6 +28,8 @@ from tesserae.llm import text as T
 from tesserae.llm.common import fold
 
 DIMS = 1024
+#: Languages whose prototypes are broadcast, at most.
+LANGS = 8192
 #: Texts whose vectors are made at once.
 GROUP = 64
 
@@ -84,6 +87,9 @@ def _counted(batches):
 def prototypes(docs: DataFrame, dims: int = DIMS, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and their prototypes."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    n = rows.select("lang").distinct().limit(LANGS + 1).count()
+    if n > LANGS:
+        raise ValueError(f"more than {LANGS} languages to learn")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     def bundle(batches):
@@ -100,8 +106,9 @@ def prototypes(docs: DataFrame, dims: int = DIMS, lang: str = "lang", text: str
 
     rows = counts.mapInArrow(bundle, "lang string, dim long, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v")).toPandas()
     names = sorted(set(rows["lang"]))
+    place = {name: k for k, name in enumerate(names)}
     out = np.zeros((len(names), dims))
-    out[[names.index(x) for x in rows["lang"]], rows["dim"].to_numpy(int)] = rows["v"]
+    out[rows["lang"].map(place).to_numpy(int), rows["dim"].to_numpy(int)] = rows["v"]
     return names, out
 
 

@@ -252,6 +252,36 @@ def test_langid(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify_all(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_prototypes_and_folds_are_those_of_a_plain_version(spark, monkeypatch):
+    def bag(text):
+        low, out = "", np.zeros(langid.DIMS)
+        for c in f" {text} ".lower():
+            low += c if c.isalpha() else "" if low.endswith("\0") else "\0"
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            turned = [np.roll(langid._letter(ord(x) if x.isalpha() else 0, langid.DIMS), k) for x, k in ((a, 2), (b, 1), (c, 0))]
+            out += turned[0] * turned[1] * turned[2] if any(x.isalpha() for x in low) else 0
+        return out
+
+    words = {"xx": ["kala", "kivi", "maja"], "yy": ["stone", "house", "fish"], "zz": ["дом", "рыба"]}
+    rows = [(k, " ".join(words[lang][(k * j) % len(words[lang])] + "!" * (j % 2) for j in range(1, 6)), lang) for k in range(40) for lang in [sorted(words)[k % 3]]]
+    rows += [(40, "fish", None), (41, "12", "xx"), (42, None, "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if crc(r[0], 3) != 1 and r[1] and r[2]]
+    names = sorted({lang for _, t, lang in learned if bag(t).any()})
+    protos = np.array([sum(bag(t) for _, t, own in learned if own == lang) for lang in names])
+    got_names, got = langid.prototypes(df.where(F.col("doc_id").isin([r[0] for r in learned])))
+    assert got_names == names and np.allclose(got, protos)
+    found = {r.doc_id: r for r in langid.identify_all(df).collect()}
+    for k, text, _ in rows:
+        b = bag(text or "")
+        cos = protos @ b / np.maximum(np.linalg.norm(b) * np.linalg.norm(protos, axis=1), 1e-12)
+        want = (names[cos.argmax()], max(cos.max(), 0)) if b.any() else ("und", 0)
+        assert found[k].lang_pred == want[0] and found[k].score == pytest.approx(want[1], abs=1e-5) and found[k].held_out == (crc(k, 3) == 1)
+    monkeypatch.setattr(langid, "LANGS", 2)
+    with pytest.raises(ValueError):
+        langid.prototypes(df)
+
+
 def test_langid_bundles_bound_trigrams():
     texts = pa.array(["Ab, c", None, "12", "é"])
     protos = np.random.default_rng(0).normal(size=(2, langid.DIMS))
@@ -462,13 +492,13 @@ def test_components_of_a_long_chain(spark):
 
 
 def plain_nearest(vectors, every, k):
-    ok = {i: [float(x) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ok = {i: [float(x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
     out = []
     for q in ok:
-        if q % every == 0:
-            best = sorted(((-dot(ok[q], v), i) for i, v in ok.items() if i != q))[:k]
-            out += [(q, r, i) for r, (_, i) in enumerate(best, 1)]
+        if q is not None and q % every == 0:
+            best = sorted(((-dot(ok[q], v), i is None, i or 0, i) for i, v in ok.items() if i != q))[:k]
+            out += [(q, r, i) for r, (*_, i) in enumerate(best, 1)]
     return set(out)
 
 
@@ -502,6 +532,12 @@ def test_every_row_is_a_candidate(spark):
     assert got == sorted([(0, 1, 0, 1.0), (0, 2, 0, 0.5), (0, 3, 1, 0.0)] * 2 + [(0, 1, 0, 0.5), (0, 2, 0, 0.5), (0, 3, 1, 0.5)])
 
 
+def test_rows_without_an_id_are_candidates(spark):
+    some = [(k, [1.0 + k / 100, 0.5]) for k in range(5)] + [(None, [9.0, 9.0]), (None, [1.0, 0.5]), ((1 << 63) - 1, [1.0, 0.5])]
+    got = [(r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(some, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [None, 4, 3, 2, 1, (1 << 63) - 1, None] and got[0][1] == 13.5 and got[5][1] == got[6][1] == 1.25
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), rng.normal(size=8).round(2).tolist()) for i in range(200)]
