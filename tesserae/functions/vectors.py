@@ -11,7 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -271,6 +273,116 @@ def dct_bands(s: Sample, fractions: Sequence[float] = (0.15, 0.40)) -> Column:
     return let(F.transform(span(side), wave), lambda w: let(transformed(w), bands))
 
 
+def numbers(values: np.ndarray) -> Column:
+    """A constant array of doubles, in row order."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in np.ravel(values))), ",").cast("array<double>")
+
+
+def _rows(flat: Column, side: int) -> Column:
+    return F.transform(span(side), lambda r: F.slice(flat, r * side + 1, side))
+
+
+def _both_ways(square: Column, first: Column, second: Column) -> Column:
+    """Sums of a square's numbers (an array of rows) times waves: along rows by the first waves, then along columns by the second. Flat, with the first waves by row."""
+    side = F.size(first)
+    half = F.transform(square, lambda row: F.transform(first, lambda w: dot(row, w)))
+    turned = let(half, lambda a: F.transform(F.sequence(F.lit(0), side - 1), lambda v: F.transform(a, lambda row: F.get(row, v))))
+    return F.flatten(F.transform(turned, lambda col: F.transform(second, lambda w: dot(w, col))))
+
+
+def fft_bands(s: Sample, fractions: Sequence[float] = (0.15, 0.40)) -> Column:
+    """Shares of the energy of the Fourier transform in three rings around frequency 0, as shares of the farthest frequency's distance."""
+    side, half = s["side"], s["side"] // 2
+    one, two = fractions
+    turn = 2 * math.pi * np.outer(np.arange(side), np.arange(side)) / side
+    gray = F.transform(s["gray"], lambda x: x / 255.0)
+
+    def energy(x: Column, c: Column, n: Column) -> Column:
+        part = lambda a, b: _both_ways(x, a, b)
+        real, other = F.zip_with(part(c, c), part(n, n), lambda a, b: a - b), F.zip_with(part(c, n), part(n, c), lambda a, b: a + b)
+        return F.zip_with(real, other, lambda a, b: a * a + b * b)
+
+    def ring(k: Column) -> Column:
+        off = lambda u: ((u + half) % side - half).cast("double")
+        far = lambda v: F.sqrt(v["r"] * v["r"] + v["c"] * v["c"]) / (math.hypot(half, half) or 1.0)
+        return let(F.struct(off(F.floor(k / side)).alias("r"), off(k % side).alias("c")), lambda v: F.when(far(v) <= one, F.lit(0)).when(far(v) <= two, F.lit(1)).otherwise(F.lit(2)))
+
+    def bands(e: Column) -> Column:
+        own = lambda b: total(F.transform(e, lambda x, k: F.when(ring(k) == b, x).otherwise(F.lit(0.0))))
+        return let(F.array(own(0), own(1), own(2)), lambda b: F.transform(b, lambda x: x / F.greatest(total(b), F.lit(1e-12))))
+
+    ready = F.struct(_rows(gray, side).alias("x"), _rows(numbers(np.cos(turn)), side).alias("c"), _rows(numbers(np.sin(turn)), side).alias("n"))
+    return let(ready, lambda v: let(energy(v["x"], v["c"], v["n"]), bands))
+
+
+#: Side of the largest square whose filters are constants of the plan.
+FILTERED = 64
+
+
+@lru_cache(maxsize=8)
+def _filters(side: int, orientations: int, sigmas: tuple, lambdas: tuple, gamma: float, ksize: int) -> tuple[np.ndarray, ...]:
+    """Cosine waves of the mirrored square with the weights of their transform, sine waves, and of each filter how it weighs waves: even and odd parts.
+
+    A square mirrored without its edge goes on with period 2 (side - 1), as a sum of products of cosines. A filter that is the same upside
+    down and mirrored turns such a product into itself and the product of the sines, each times a number.
+    """
+    k = np.arange(side)
+    angle = math.pi / max(side - 1, 1)
+    ends = np.where((k == 0) | (k == side - 1), 0.5, 1.0) if side > 1 else np.ones(1)
+    cos, sin = np.cos(angle * np.outer(k, k)), np.sin(angle * np.outer(k, k))
+    analysis = cos * np.outer(ends, ends) * (2 / (side - 1) if side > 1 else 1)
+    tap = np.arange(ksize) - ksize // 2
+    y, x = np.meshgrid(tap, tap, indexing="ij")
+    even, odd = np.cos(angle * np.outer(k, tap)), np.sin(angle * np.outer(k, tap))
+    weights = []
+    for sigma in sigmas:
+        for wavelength in lambdas:
+            for theta in np.arange(orientations) * np.pi / orientations:
+                along, across = x * np.cos(theta) + y * np.sin(theta), y * np.cos(theta) - x * np.sin(theta)
+                kernel = np.exp(-(along**2 + (gamma * across) ** 2) / (2 * sigma**2)) * np.cos(2 * np.pi * along / wavelength)
+                weights.append((even @ kernel @ even.T, odd @ kernel @ odd.T))
+    return analysis, cos, sin, np.array([w for w, _ in weights]), np.array([w for _, w in weights])
+
+
+def gabor(s: Sample, orientations: int = 4, sigmas: Sequence[float] = (2.0, 4.0), lambdas: Sequence[float] = (6.0, 10.0), gamma: float = 0.5, ksize: int = 31) -> Column:
+    """Mean and population deviation of the responses to each filter: sigma first, then wavelength, then angle. The square is mirrored outside.
+
+    The square's cosine transform is made once; a filter weighs it and turns it back. Squares have FILTERED pixels a side at most, as the
+    weights are constants of the plan; ksize is odd.
+    """
+    side = s["side"]
+    if side > FILTERED or ksize % 2 == 0:
+        raise ValueError(f"filters of an odd size on squares of at most {FILTERED} pixels a side")
+    analysis, cos, sin, even, odd = _filters(side, orientations, tuple(sigmas), tuple(lambdas), gamma, ksize)
+    gray = F.transform(s["gray"], lambda x: x.cast("double"))
+    n = side * side
+
+    def measured(r: Column) -> Column:
+        return let(total(r) / n, lambda m: F.array(m, F.sqrt(total(F.transform(r, lambda x: (x - m) * (x - m))) / n)))
+
+    def answered(v: Column, k: Column) -> Column:
+        back = lambda weights, waves: _both_ways(_rows(F.zip_with(v["a"], F.slice(weights, k * n + 1, n), lambda a, w: a * w), side), waves, waves)
+        return F.zip_with(back(v["even"], v["cos"]), back(v["odd"], v["sin"]), lambda x, y: x + y)
+
+    def turned(waves: Column) -> Column:
+        # transposed twice: once here, once on the way back
+        whole = let(_both_ways(_rows(gray, side), waves, waves), lambda a: F.transform(span(n), lambda i: F.get(a, (i % side) * side + F.floor(i / side).cast("int"))))
+        return whole
+
+    ready = F.struct(let(_rows(numbers(analysis), side), turned).alias("a"), *(_rows(numbers(w), side).alias(c) for c, w in (("cos", cos), ("sin", sin))), numbers(even).alias("even"), numbers(odd).alias("odd"))
+    return let(ready, lambda v: F.flatten(F.transform(span(len(even)), lambda k: let(answered(v, k), measured))))
+
+
+def joint_hist(s: Sample, bins: int = 8) -> Column:
+    """Hue, saturation and value together (hue first), of length 1; bins is 8 at most."""
+    place = lambda c, high: F.transform(s[c], lambda x: binned(x, bins, 0, high))
+    inner = F.zip_with(place("saturation", 256), place("value", 256), lambda a, b: a * bins + b)
+    codes = F.zip_with(place("hue", 180), inner, lambda h, k: F.struct(h.alias("h"), k.alias("k")))
+    some = lambda v, h: counts(F.transform(v, lambda x: F.when(x["h"] == h, x["k"])), bins * bins)
+    found = let(codes, lambda v: F.flatten(F.transform(span(bins), lambda h: some(v, h))))
+    return let(found, lambda n: let(F.sqrt(total(F.transform(n, lambda x: (x * x).cast("double")))), lambda t: F.transform(n, lambda x: x / F.greatest(t, F.lit(1e-12)))))
+
+
 @dataclass(frozen=True)
 class Block:
     """A named expression with its settings, and how many numbers it gives."""
@@ -295,6 +407,9 @@ REGISTRY = (
     Block("dct_energy_bands", dct_bands, 3),
 )
 
+#: With the blocks whose constants bound the square's side (FILTERED), as the NumPy blocks have them.
+FULL = (*REGISTRY[:2], Block("gabor", gabor, 32), *REGISTRY[2:], Block("fft_energy_bands", fft_bands, 3, enabled=False))
+
 
 def with_settings(blocks: Sequence[Block] = REGISTRY, **settings: dict) -> tuple[Block, ...]:
     """All blocks, those named with other settings, `enabled` or `size` among them."""

@@ -300,6 +300,41 @@ def feature_layout(spark, sf_dir):
     return rows.join(F.broadcast(spots), F.col("n") >= F.col("start") + F.col("size")).groupBy("block", "start", "size").agg(F.count("*").alias("images"))
 
 
+_FILTERS = "SELECT s.i * 8 + l.i * 4 + t.i AS k, s.v::DOUBLE AS sigma, l.v::DOUBLE AS lam, t.i * pi() / 4 AS theta FROM (VALUES (0, 2), (1, 4)) s(i, v), (VALUES (0, 6), (1, 10)) l(i, v), range(4) t(i)"
+_FOLD = "least((({0} + {1}) % 14 + 14) % 14, 14 - (({0} + {1}) % 14 + 14) % 14)"
+
+
+@query(f"""WITH {_PX}, f AS ({_FILTERS}), t AS (SELECT k, sigma, lam, y.v - 15 AS dy, x.v - 15 AS dx, (x.v - 15) * cos(theta) + (y.v - 15) * sin(theta) AS u, (y.v - 15) * cos(theta) - (x.v - 15) * sin(theta) AS v FROM f, range(31) y(v), range(31) x(v)),
+w AS (SELECT k, r.v AS r, c.v AS c, {_FOLD.format('r.v', 'dy')} AS qr, {_FOLD.format('c.v', 'dx')} AS qc, sum(exp(-(u * u + 0.25::DOUBLE * t.v * t.v) / (2 * sigma * sigma)) * cos(2 * pi() * u / lam)) AS w FROM t, range(8) r(v), range(8) c(v) GROUP BY ALL),
+a AS (SELECT p.id, w.k, w.r, w.c, sum(p.x * w.w) AS y FROM px p JOIN w ON w.qr = p.r AND w.qc = p.c GROUP BY ALL)
+SELECT id, k::INTEGER AS k, round(avg(y), 6) + 0.0 AS mean, round(stddev_pop(y), 6) AS sd FROM a GROUP BY ALL""")
+def filter_responses(spark, sf_dir):
+    """Mean and deviation of each image's responses to 16 oriented filters of 31 x 31 pixels."""
+    rows = _images(spark, sf_dir).where(F.size("px") == _SIDE * _SIDE)
+    rows = rows.withColumn("v", vectors.gabor({"gray": F.col("px"), "side": _SIDE}))
+    at = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    return at.select("id", "k", (F.round(F.get("v", F.col("k") * 2), 6) + F.lit(0.0)).alias("mean"), F.round(F.get("v", F.col("k") * 2 + 1), 6).alias("sd"))
+
+
+@query(f"""WITH {_PX}, w AS (SELECT p.id, u.v AS u, v.v AS v, sum(p.x / 255.0::DOUBLE * cos(2 * pi() * (u.v * p.r + v.v * p.c) / 8)) ** 2 + sum(p.x / 255.0::DOUBLE * sin(2 * pi() * (u.v * p.r + v.v * p.c) / 8)) ** 2 AS e FROM px p, range(8) u(v), range(8) v(v) GROUP BY ALL),
+d AS (SELECT id, e, sqrt((((u + 4) % 8 - 4) ** 2 + ((v + 4) % 8 - 4) ** 2)::DOUBLE) / sqrt(32.0::DOUBLE) AS far FROM w),
+b AS (SELECT id, sum(CASE WHEN far <= 0.15 THEN e ELSE 0 END) AS low, sum(CASE WHEN far > 0.15 AND far <= 0.4 THEN e ELSE 0 END) AS mid, sum(CASE WHEN far > 0.4 THEN e ELSE 0 END) AS high FROM d GROUP BY 1)
+SELECT id, round(low / greatest(low + mid + high, 1e-12), 9) AS low, round(mid / greatest(low + mid + high, 1e-12), 9) AS mid, round(high / greatest(low + mid + high, 1e-12), 9) AS high FROM b""")
+def spectrum_bands(spark, sf_dir):
+    """Shares of the Fourier spectrum's energy near, around and far from frequency 0."""
+    rows = _images(spark, sf_dir).where(F.size("px") == _SIDE * _SIDE)
+    return rows.select("id", vectors.fft_bands({"gray": F.col("px"), "side": _SIDE}).alias("v")).select("id", *(F.round(F.get("v", F.lit(k)), 9).alias(c) for k, c in enumerate(("low", "mid", "high"))))
+
+
+@query(f"""WITH {_SAMPLED}, n AS (SELECT id, least(hue * 8 // 180, 7) * 64 + value // 32 + saturation // 32 * 8 AS k, count(*) AS n FROM seen GROUP BY ALL)
+SELECT id, k::INTEGER AS k, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)::DOUBLE), 9) AS x FROM n""")
+def joint_histogram(spark, sf_dir):
+    """Hue, saturation and value of each small colour image together: the bins that are not 0 of a vector of length 1."""
+    rows = features.preprocessed(_colours(spark, sf_dir), _SIDE, out="seen").where("seen is not null")
+    rows = rows.withColumn("v", vectors.joint_hist(vectors.sample(F.col("seen"), _SIDE)))
+    return _each(rows, "v", 512, "k", "x").where("x > 0").withColumn("x", F.round("x", 9))
+
+
 @query()
 def image_feature_vector_numpy(spark, sf_dir):
     """The 335 numbers of each pseudo-image with the filter responses that only the NumPy blocks have; 8 x 8 pixels are enlarged to 64 x 64."""

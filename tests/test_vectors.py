@@ -51,6 +51,47 @@ def test_vectors_are_the_plain_ones(images):
             assert off.max() < 1e-3, (k, off.argmax())
 
 
+def test_full_vectors_are_the_plain_ones(images):
+    chosen = vectors.with_settings(vectors.FULL, fft_energy_bands={"enabled": True})
+    plain = blocks.with_settings(blocks.REGISTRY, fft_energy_bands={"enabled": True})
+    assert [x for x in vectors.layout(vectors.FULL) if x[2]][-1] == ("dct_energy_bands", 332, 3)
+    out = {r.id: r.features for r in features.expressed(images.where("id < 6"), chosen, side=10).collect()}
+    places = {name: slice(a, a + n) for name, a, n in vectors.layout(chosen)}
+    for k, h, w, px in pictures():
+        img = np.array(px).reshape(h, w, -1)
+        want, got = blocks.vector(img, plain, 10), np.array(out[k])
+        assert len(want) == len(got) == 338
+        assert np.allclose(got[places["gabor"]], want[places["gabor"]], rtol=0.02, atol=3), k  # halves are rounded either way
+        assert np.allclose(got[places["fft_energy_bands"]], want[places["fft_energy_bands"]], atol=2e-3), k
+        if k in (1, 2):  # no halves to round
+            assert np.allclose(got[places["gabor"]], want[places["gabor"]], rtol=1e-4, atol=1e-2), k
+
+
+@pytest.mark.parametrize("side", [1, 2, 7, 16])
+def test_filters_and_bands_on_given_squares(spark, side):
+    rng = np.random.default_rng(side)
+    grays = [rng.integers(0, 256, (side, side)) for _ in range(3)] + [np.zeros((side, side), int), np.full((side, side), 255)]
+    df = spark.createDataFrame([(k, [int(v) for v in g.ravel()]) for k, g in enumerate(grays)] + [(9, None)], "id long, gray array<int>")
+    s = {"gray": F.col("gray"), "side": side}
+    got = {r.id: r for r in df.select("id", vectors.gabor(s).alias("g"), vectors.gabor(s, sigmas=(4.0,), lambdas=(10.0,)).alias("one"), vectors.fft_bands(s).alias("f")).collect()}
+    assert got[9].g is None or all(x is None for x in got[9].g)
+    for k, g in enumerate(grays):
+        plain = blocks.Sample(*(g if f == "gray" else None for f in blocks.Sample.__dataclass_fields__))
+        assert np.allclose(got[k].g, blocks.gabor(plain), atol=1e-6) and np.allclose(got[k].one, blocks.gabor(plain, sigmas=(4.0,), lambdas=(10.0,)), atol=1e-6)
+        assert np.allclose(got[k].f, blocks.fft_bands(plain), atol=1e-9)
+    with pytest.raises(ValueError):
+        vectors.gabor({"gray": F.col("gray"), "side": 65})
+
+
+def test_joint_histogram_is_the_plain_one(images):
+    some = features.preprocessed(images.where("id < 6"), 8, out="seen")
+    got = {r.id: r for r in some.select("id", "seen", vectors.joint_hist(vectors.sample(F.col("seen"), 8)).alias("j")).collect()}
+    for k, *_ in pictures():
+        hsv = np.array([[p[c] for c in vectors.CHANNELS["hsv"]] for p in got[k].seen]).reshape(8, 8, 3)
+        plain = blocks.Sample(*(hsv if f == "hsv" else None for f in blocks.Sample.__dataclass_fields__))
+        assert np.allclose(got[k].j, blocks.joint_hist(plain), atol=1e-12)
+
+
 def test_settings_and_layout(images):
     assert [x for x in vectors.layout() if x[0] == "dct_energy_bands"] == [("dct_energy_bands", 300, 3)]
     some = vectors.with_settings(**{b.name: {"enabled": b.name == "specular_ratio"} for b in vectors.REGISTRY})
