@@ -330,9 +330,10 @@ def spectrum_bands(spark, sf_dir):
 SELECT id, k::INTEGER AS k, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)::DOUBLE), 9) AS x FROM n""")
 def joint_histogram(spark, sf_dir):
     """Hue, saturation and value of each small colour image together: the bins that are not 0 of a vector of length 1."""
-    rows = features.preprocessed(_colours(spark, sf_dir), _SIDE, out="seen").where("seen is not null")
+    rows = features.preprocessed(_colours(spark, sf_dir), _SIDE, out="seen")
     rows = rows.withColumn("v", vectors.joint_hist(vectors.sample(F.col("seen"), _SIDE)))
-    return _each(rows, "v", 512, "k", "x").where("x > 0").withColumn("x", F.round("x", 9))
+    # coalesce, so that no null check of the whole expression is pushed below the explode
+    return _each(rows, "v", 512, "k", "x").where("coalesce(x, 0) > 0").withColumn("x", F.round("x", 9))
 
 
 @query()
