@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.sources.scratch import keep
+from tesserae.sources.scratch import drop, keep
 
 # The grid, in the order of its nesting.
 COSTS, GAMMAS, KERNELS = (0.1, 1.0, 10.0, 100.0), ("scale", "auto", "0.001", "0.01", "0.1", "1"), ("rbf", "linear", "poly")
@@ -67,32 +67,34 @@ def projection(kernel: str, gamma: float, dims: int, size: int = 256, seed: int
 
 
 def feature_map(kernel: str, gamma: float, dims: int, size: int = 256, seed: int = 42) -> Callable[[Column], Column]:
-    """The same from a vector column to a column of the mapped vector (null stays null), in Arrow batches with one matrix for each task."""
+    """The same from a vector column to a column of the mapped vector (null stays null), in Arrow batches, 1,024 rows at a time, with one matrix for each task."""
     if kernel == "linear":
         return lambda v: v
     project = projection(kernel, gamma, dims, size, seed)
 
-    @F.pandas_udf("array<double>")
-    def run(vectors):
-        import pandas as pd
-
-        out, some = [None] * len(vectors), np.flatnonzero(vectors.notna())
-        if len(some):
-            for k, z in zip(some.tolist(), project(np.stack(vectors.iloc[some].to_list()).astype(float)), strict=True):
-                out[k] = z
-        return pd.Series(out, index=vectors.index, dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(vectors: pa.Array) -> pa.Array:
+        some = vectors.drop_null()
+        parts = [project(matrix(some.slice(at, 1024))) for at in range(0, len(some), 1024)]
+        mapped = pa.array(np.concatenate(parts).ravel() if parts else np.zeros(0))
+        lengths = np.where(vectors.is_valid(), len(mapped) // max(len(some), 1), 0)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), mapped, mask=vectors.is_null())
 
     return run
 
 
 def train(rows: DataFrame, weights: DataFrame | None = None, cost: float = 1.0, label: str = "label", vector: str = "features", iterations: int = 50) -> OneVsRestModel:
     """Fits on integer labels; `weights` (label, weight) weighs rows by class."""
-    df = rows.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"), F.col(label).alias("__l"))
+    df = rows.select(F.col(label).cast("double").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("__l"))
     df = df.join(F.broadcast(weights.select(F.col("label").alias("__l"), "weight")), "__l") if weights is not None else df.withColumn("weight", F.lit(1.0))
-    n = df.count()
-    df = df.coalesce(max(1, math.ceil(n / ROWS)))  # every step is a job, so small tables are not spread
+    kept = keep(df.select("label", "v", "weight"))  # each class is some hundred jobs, which find the rows mapped and joined
+    n = kept.count()
+    df = kept.select("label", array_to_vector("v").alias("x"), "weight").coalesce(max(1, math.ceil(n / ROWS)))  # every step is a job, so small tables are not spread
     one = LinearSVC(featuresCol="x", weightCol="weight", maxIter=iterations, regParam=1 / (cost * max(n, 1)))
-    return OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted").fit(df.select("label", "x", "weight"))
+    fitted = OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted").fit(df)
+    drop(kept)
+    return fitted
 
 
 def predict(model: OneVsRestModel, rows: DataFrame, key: str = "id", vector: str = "features") -> DataFrame:

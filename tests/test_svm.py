@@ -40,6 +40,42 @@ def test_feature_map_column(spark):
     assert got[99] is None and np.allclose([got[k] for k in range(12)], svm.projection("rbf", 0.5, 2, 8)(x))
 
 
+def test_feature_map_works_out_few_rows_at_a_time(spark, monkeypatch):
+    """What a task holds does not grow with Arrow's batches; a batch of nulls alone stays null."""
+    project, most = svm.projection("rbf", 0.5, 2, 8), 1024
+
+    def bounded(*args):
+        def run(x):
+            if len(x) > most:
+                raise ValueError(f"{len(x)} rows at a time")
+            return project(x)
+
+        return run
+
+    monkeypatch.setattr(svm, "projection", bounded)
+    rows = spark.range(5000).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.array(F.sin("id"), F.cos("id"))).alias("features"))
+    got = {r.id: r.z for r in rows.select("id", svm.feature_map("rbf", 0.5, 2, 8)(F.col("features")).alias("z")).collect()}
+    assert all((got[k] is None) == (k % 7 == 0) for k in range(5000))
+    some = [k for k in range(5000) if k % 7]
+    assert np.allclose([got[k] for k in some], project(np.stack([np.sin(some), np.cos(some)], 1)))
+    none = rows.where("features is null").select(svm.feature_map("rbf", 0.5, 2, 8)(F.col("features")).alias("z"))
+    assert none.where("z is null").count() == 715
+
+
+def test_training_reads_rows_that_are_worked_out_once(spark):
+    """The classes' jobs do not go back to the mapped rows: each row is mapped once in training."""
+    x, y = rings(60)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def mapped(v):
+        seen.add(1)
+        return v
+
+    svm.train(frame(spark, x, y).withColumn("features", mapped("features")), iterations=3)
+    assert seen.value == 60
+
+
 def test_grid_machines_are_the_plain_optimum(spark):
     x, y = rings(150)
     weight = np.where(y == 0, 2.0, 1.0)
