@@ -3,7 +3,8 @@
 The first two steps are expressions over the image's own row: Sobel gradients with the edge going on outside, |gx| + |gy| as magnitude, and of
 each pixel a comparison with its two neighbours across the edge (along the row, the column or a diagonal, parted at 22.5 and 67.5 degrees).
 Only pixels above the lower threshold become rows. From the strong ones, above the upper threshold, links go to weak ones among the eight
-neighbours, round by round, keyed by image and place, until nothing is new; each round's tables replace those before.
+neighbours, round by round, keyed by image and place, until nothing is new; each round's tables replace those before. The joins name their
+method: tables of pixels are small as files and large in memory, so none of them is broadcast through the driver.
 
 Defined cases: an image without pixels, or with null ones, has density 0; a null id is an image; repeated ids are taken for one image.
 """
@@ -59,11 +60,11 @@ def linked(images: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame
     while True:
         around = F.explode(F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)))
         near = front.select("id", around.alias("p")).select("id", "p.r", "p.c").distinct()
-        front = keep(weak.join(near, ["id", "r", "c"], "left_semi"))
+        front = keep(weak.join(near.hint("merge"), ["id", "r", "c"], "left_semi"))
         if front.isEmpty():
             break
         parts.append(front)
-        rest = keep(weak.join(front, ["id", "r", "c"], "left_anti"))
+        rest = keep(weak.join(front.hint("merge"), ["id", "r", "c"], "left_anti"))
         drop(weak)
         weak = rest
     out = parts[0]
@@ -77,4 +78,4 @@ def edge_density(images: DataFrame, low: float = LOW, high: float = HIGH) -> Dat
     counts = linked(images, low, high).groupBy(F.struct("id").alias("of")).agg(F.count("*").alias("n"))
     rows = images.select(F.struct("id").alias("of"), "id", "height", "width")
     share = F.coalesce(F.try_divide(F.col("n") * 255.0, F.col("height") * F.col("width")), F.lit(0.0))
-    return rows.join(counts, "of", "left").select("id", share.alias("density"))
+    return rows.join(counts.hint("merge"), "of", "left").select("id", share.alias("density"))

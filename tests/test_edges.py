@@ -22,3 +22,19 @@ def test_edges_are_thin_linked_and_defined(spark):
     assert density[0] == density[None] == 12 * 255 / 144 and density[2] == density[3] == density[4] == 0
     assert edges.edge_density(df.limit(0)).count() == 0
     assert df.select(F.size(edges.graded(F.col("px"), F.col("height"), F.col("width"))).alias("n")).where("n = 144").count() == 4
+
+
+def test_no_table_of_pixels_goes_through_the_driver(spark, monkeypatch):
+    """Kept tables of pixels are small as files, so joins that do not say how would broadcast them."""
+    kept, plans = edges.keep, []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(edges, "keep", watched)
+    fading = [0 if c < 6 else 120 - 9 * r for r in range(12) for c in range(12)]
+    out = edges.edge_density(spark.createDataFrame([(k, 12, 12, fading, 1) for k in range(20)], SCHEMA))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("BroadcastExchange" in p for p in plans)
