@@ -291,12 +291,13 @@ def image_feature_vector(spark, sf_dir):
     return _each(rows, "features", dims, "k", "x").withColumn("x", F.round(F.col("x").cast("double"), 4) + F.lit(0.0))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, len(embedding) AS n FROM embeddings), l AS (SELECT unnest({[n for n, _, _ in vectors.layout()]}) AS block, unnest({[a for _, a, _ in vectors.layout()]}) AS start, unnest({[n for _, _, n in vectors.layout()]}) AS size)
+@query(f"""WITH v AS (SELECT vec_id AS id, len(embedding) AS n FROM embeddings), l AS (SELECT unnest({[n for n, _, _ in vectors.layout(vectors.FULL)]}) AS block, unnest({[a for _, a, _ in vectors.layout(vectors.FULL)]}) AS start, unnest({[n for _, _, n in vectors.layout(vectors.FULL)]}) AS size)
 SELECT block, start::INTEGER AS start, size::INTEGER AS size, count(*) AS images FROM l, v WHERE n >= 48 GROUP BY ALL""")
 def feature_layout(spark, sf_dir):
     """Where each block stands in the vectors, and how many of the table's images have a vector that reaches over it."""
-    spots = spark.createDataFrame(vectors.layout(), "block string, start int, size int")
-    rows = keep(features.expressed(_colours(spark, sf_dir), side=_SIDE).select(F.size("features").alias("n")))
+    spots = spark.createDataFrame(vectors.layout(vectors.FULL), "block string, start int, size int")
+    images = _colours(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes and much work: dealt to all cores
+    rows = keep(features.expressed(images, vectors.FULL, side=_SIDE).select(F.size("features").alias("n")))
     return rows.join(F.broadcast(spots), F.col("n") >= F.col("start") + F.col("size")).groupBy("block", "start", "size").agg(F.count("*").alias("images"))
 
 

@@ -103,3 +103,18 @@ def test_settings_and_layout(images):
     wrong = vectors.with_settings(some, specular_ratio={"size": 2})
     with pytest.raises(Exception, match="does not have 2 numbers"):
         features.expressed(images.where("id < 6"), wrong, side=4).select(F.size("features")).collect()
+
+
+def test_the_layout_has_every_block_of_the_vector(spark):
+    """The query and its SQL name all nine blocks of the 335 numbers, the filter responses too, each with all images."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    folder = "/root/testdata/sf0.001"
+    want = [(*b, 500) for b in blocks.layout()]
+    assert len(want) == 9 and ("gabor", 201, 32, 500) in want
+    assert sorted(tuple(r) for r in e.queries()["feature_layout"](spark, folder).collect()) == sorted(want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    assert sorted(con.execute(e.oracle_sql()["feature_layout"]).fetchall()) == sorted(want)
