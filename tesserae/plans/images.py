@@ -340,7 +340,9 @@ def joint_histogram(spark, sf_dir):
 @query()
 def image_feature_vector_numpy(spark, sf_dir):
     """The 335 numbers of each pseudo-image with the filter responses that only the NumPy blocks have; 8 x 8 pixels are enlarged to 64 x 64."""
-    rows = _images(spark, sf_dir).select("id", "height", "width", F.transform("px", lambda x: F.array(x, x, x)).alias("rgb")).withColumn("rgb", F.flatten("rgb"))
+    # a file's rows are few bytes and much work, so they are dealt to all cores
+    rows = _images(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = rows.select("id", "height", "width", F.transform("px", lambda x: F.array(x, x, x)).alias("rgb")).withColumn("rgb", F.flatten("rgb"))
     return features.extract(rows, DEFAULT, side=64)
 
 

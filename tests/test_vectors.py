@@ -118,3 +118,21 @@ def test_the_layout_has_every_block_of_the_vector(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
     assert sorted(con.execute(e.oracle_sql()["feature_layout"]).fetchall()) == sorted(want)
+
+
+def test_filter_responses_are_plain_correlations_by_fast_transforms(monkeypatch):
+    """94 pixels a side, the image and its mirrored edges, have the factor 47: the transforms take the next length without such factors."""
+    bank, shapes = blocks._gabor_bank, []
+    monkeypatch.setattr(blocks, "_gabor_bank", lambda shape, *rest: shapes.append(shape) or bank(shape, *rest))
+    img = np.random.default_rng(3).integers(0, 256, (64, 64, 3))
+    s = blocks.sample(img, 64)
+    got = blocks.gabor(s)
+    assert shapes == [(96, 96)] and [blocks._fast(n) for n in (1, 7, 94, 286, 300)] == [1, 8, 96, 288, 300]
+    g = np.pad(s.gray.astype(float), 15, mode="reflect")
+    y, x = np.mgrid[-15:16, -15:16]
+    for k in (0, 5, 11, 15):
+        sigma, lam, theta = (2, 4)[k // 8], (6, 10)[k // 4 % 2], k % 4 * np.pi / 4
+        u, v = x * np.cos(theta) + y * np.sin(theta), y * np.cos(theta) - x * np.sin(theta)
+        kernel = np.exp(-(u * u + 0.25 * v * v) / (2 * sigma**2)) * np.cos(2 * np.pi * u / lam)
+        full = np.einsum("rcij,ij->rc", np.lib.stride_tricks.sliding_window_view(g, (31, 31)), kernel)
+        assert got[2 * k : 2 * k + 2] == pytest.approx([full.mean(), full.std()], rel=1e-9, abs=1e-9)
