@@ -38,7 +38,9 @@ MOST_QUERIES = 65_536
 #: Distances come from products, whose rounding is this share of the vectors' lengths at most.
 ROUNDING = 1e-7
 #: Pairs whose distances are worked out in one go.
-PAIRS = 1 << 16
+PAIRS = 1 << 12
+#: Numbers of a table that says which rings some queries see, or of what is sent on for them.
+STEP = 1 << 18
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -97,8 +99,11 @@ def _routes(rings: Rings, k: int, second: bool | None, salts: np.ndarray | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(int(rings.bundle.max(initial=0)) + 1, np.int64)
-        step = max(1, min(1024, (1 << 22) // max(len(rings.n), 1)))
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a query is repeated for each bundle that it sees, so what a step holds does not grow with bundles and rings
+            step = max(1, min(1024, STEP // max(len(rings.n), len(seen) * (len(batch.column("features")[0]) + 8))))
             for at in range(0, batch.num_rows, step):
                 b = batch.slice(at, step)
                 x, bound = _matrix(b.column("features")), b.column("bound").to_numpy()
@@ -216,8 +221,9 @@ class Nearest:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    b = batch.slice(at, 1024)
+                step = max(1, min(1024, STEP // max(len(shared.value), 1)))
+                for at in range(0, batch.num_rows, step):
+                    b = batch.slice(at, step)
                     d = _distances(_matrix(b.column("features")), shared.value)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "label", "features", "cell", "d"])
 

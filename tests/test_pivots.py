@@ -66,3 +66,17 @@ def test_odd_rows(spark, monkeypatch):
     assert knn.neighbours(t.limit(0), q, 3).count() == 0 and knn.neighbours(t, q.limit(0), 3).count() == 0
     named = spark.createDataFrame([("p", 1, [0.0]), ("q", 2, [0.0]), ("a", 3, [1.0])], "id string, label int, features array<float>")
     assert [tuple(r) for r in knn.neighbours(named, named.where("id = 'q'"), 2).orderBy("rank").collect()] == [("q", 1, "p", 1, 0.0), ("q", 2, "q", 2, 0.0)]
+
+
+def test_what_a_task_sends_on_at_a_time_does_not_grow_with_bundles():
+    """1,024 queries that see each of 200 bundles were one batch of 204,800 rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rings = pivots.Rings(rng.normal(size=(50, 16)), [{"bundle": b, "cell": c, "n": 80, "lo": 0.0, "hi": 99.0} for b in range(200) for c in range(50)])
+    x = pa.array(rng.normal(size=(1024, 16)).tolist(), pa.list_(pa.float64()))
+    asked = pa.RecordBatch.from_arrays([pa.array(range(1024)), x, pa.array([np.inf] * 1024)], ["q", "features", "bound"])
+    for second in (None, True):
+        sent = list(pivots._routes(rings, 5, second, None, False)(iter([asked])))
+        assert sum(b.num_rows for b in sent) == 1024 * 200 and max(b.nbytes for b in sent) < 1 << 23
+        assert sum(sum(b.column("pairs").to_pylist()) for b in sent) == 1024 * 200 * 50 * 80
