@@ -26,8 +26,10 @@ COSTS, GAMMAS, KERNELS = (0.1, 1.0, 10.0, 100.0), ("scale", "auto", "0.001", "0.
 MOST_CLASSES = 1000
 #: What search() says of a point.
 MEASURES = ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted")
-#: Rows of a partition at least, in training.
-ROWS = 4096
+#: Rows of a partition at least, in training, and numbers at most.
+ROWS, NUMBERS = 4096, 1 << 23
+#: Classes whose machines are trained at a time.
+AT_ONCE = 4
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -84,15 +86,20 @@ def feature_map(kernel: str, gamma: float, dims: int, size: int = 256, seed: int
     return run
 
 
+def spread(n: int, numbers: int, cores: int) -> int:
+    """Partitions for training on n rows of so many numbers together. Every step is a job, so there are no more than cores, but for their size."""
+    return max(1, min(math.ceil(n / ROWS), max(cores, math.ceil(numbers / NUMBERS))))
+
+
 def train(rows: DataFrame, weights: DataFrame | None = None, cost: float = 1.0, label: str = "label", vector: str = "features", iterations: int = 50) -> OneVsRestModel:
     """Fits on integer labels; `weights` (label, weight) weighs rows by class."""
     df = rows.select(F.col(label).cast("double").alias("label"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("__l"))
     df = df.join(F.broadcast(weights.select(F.col("label").alias("__l"), "weight")), "__l") if weights is not None else df.withColumn("weight", F.lit(1.0))
     kept = keep(df.select("label", "v", "weight"))  # each class is some hundred jobs, which find the rows mapped and joined
-    n = kept.count()
-    df = kept.select("label", array_to_vector("v").alias("x"), "weight").coalesce(max(1, math.ceil(n / ROWS)))  # every step is a job, so small tables are not spread
+    n, numbers = kept.agg(F.count("*"), F.sum(F.size("v"))).first()
+    df = kept.select("label", array_to_vector("v").alias("x"), "weight").coalesce(spread(n, numbers or 0, rows.sparkSession.sparkContext.defaultParallelism))
     one = LinearSVC(featuresCol="x", weightCol="weight", maxIter=iterations, regParam=1 / (cost * max(n, 1)))
-    fitted = OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted").fit(df)
+    fitted = OneVsRest(classifier=one, featuresCol="x", labelCol="label", weightCol="weight", predictionCol="predicted", parallelism=AT_ONCE).fit(df)
     drop(kept)
     return fitted
 

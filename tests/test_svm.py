@@ -76,6 +76,13 @@ def test_training_reads_rows_that_are_worked_out_once(spark):
     assert seen.value == 60
 
 
+def test_steps_have_no_more_tasks_than_cores(spark):
+    """430,000 rows of 64 numbers had 105 tasks a step; rows beyond 64 MB for each core are dealt further."""
+    assert svm.spread(430_000, 430_000 * 64, 12) == 12
+    assert svm.spread(7_000, 7_000 * 64, 12) == 2 and svm.spread(0, 0, 12) == 1
+    assert svm.spread(430_000_000, 430_000_000 * 64, 12) == 3281
+
+
 def test_grid_machines_are_the_plain_optimum(spark):
     x, y = rings(150)
     weight = np.where(y == 0, 2.0, 1.0)
