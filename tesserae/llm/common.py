@@ -99,11 +99,12 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame | N
     return left.drop(parts).join(right.drop(parts), [key, salt]).drop(salt)
 
 
-def before(df: DataFrame, group: str, part: str, order: list[Column], value: Column | None = None, name: str = "nth", total: str = "total") -> DataFrame:
+def before(df: DataFrame, group: str, part: str, order: list[Column], value: Column | None = None, name: str = "nth", total: str = "total", merge: bool = False) -> DataFrame:
     """Adds, for each row, the sum of the value (None: 1, so the rank from 0) over the rows before it in its group, and the group's sum.
 
     Parts of a group stand one behind the other in their own order and are summed up by themselves, so no task holds a group, but a
-    row for each of its parts. Neither group nor part may be null.
+    row for each of its parts. Neither group nor part may be null. merge: the parts' sums are not broadcast, for rows exploded from
+    few, whose estimated size says nothing of their number.
     """
     value = F.lit(1).cast("long") if value is None else value
     own, start, g, p = fresh(df, "own", "start", "g", "p")
@@ -111,6 +112,7 @@ def before(df: DataFrame, group: str, part: str, order: list[Column], value: Col
     all_parts = Window.partitionBy(g)
     starts = sums.select(g, p, (F.sum(own).over(all_parts.orderBy(p)) - F.col(own)).alias(start), F.sum(own).over(all_parts).alias(total))
     local = F.sum(value).over(Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.hint("merge") if merge else starts
     out = df.withColumn(own, local).join(starts, (F.col(group) == F.col(g)) & (F.col(part) == F.col(p)))
     return out.select(*df.columns, (F.col(start) + F.coalesce(own, F.lit(0))).cast("long").alias(name), F.col(total).cast("long").alias(total))
 

@@ -10,7 +10,8 @@ last stretch are left out. As the points are a permutation of all multiples of 2
 spread over any part of the schedule. The permutation is its own inverse, so the map is run from the stretches to the slots, which
 needs no range join. A source's slots, ranked, join its blocks in an order shuffled anew for each epoch.
 
-No task holds a source: ranks and sums run over hash parts or stretches of an order.
+No task holds a source: ranks and sums run over hash parts or stretches of an order. Slots and blocks are exploded from a row for each
+source, so their estimated size is that of a few rows; their joins name their method, and none of them is broadcast through the driver.
 
 Defined cases: a null or empty text has no words and is taken 0 times; a source whose texts have no words has target 0; a null source
 is a source of its own, the last one; repeated rows and null ids are rows of their own; documents that hash alike stand by id, size
@@ -89,13 +90,13 @@ def schedule(plan: DataFrame) -> DataFrame:
     slot = F.conv(F.reverse(F.lpad(F.bin(F.col("first") + F.col("place")), bits, "0")), 2, 10).cast("long")
     slots = _each(plan.select("src", "first", "slots", "blocks"), "slots", "place").select("src", "blocks", slot.alias("slot"))
     # 4,096 stretches of the schedule, over which each source is spread evenly
-    slots = before(slots.withColumn("part", F.shiftright("slot", max(0, bits - 12))), "src", "part", [F.col("slot")], name="nth")
+    slots = before(slots.withColumn("part", F.shiftright("slot", max(0, bits - 12))), "src", "part", [F.col("slot")], name="nth", merge=True)
     per = _each(plan.select("src", "blocks"), "blocks", "block").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EPOCHS).cast("long") - 1)))
     h = F.md5(F.concat_ws("-", F.lit(SEED), "src", "epoch", "block").cast("binary"))
     per = per.withColumns({"h": h, "part": F.substring(h, 1, 3), "of": F.concat_ws("-", "epoch", "src")})
-    shuffled = before(per, "of", "part", [F.col("h"), F.col("block")], name="rank")
+    shuffled = before(per, "of", "part", [F.col("h"), F.col("block")], name="rank", merge=True)
     shuffled = shuffled.select(F.col("src").alias("src2"), "epoch", "block", (F.col("epoch") * F.col("blocks") + F.col("rank")).alias("nth2"))
-    return slots.join(shuffled, (F.col("src") == F.col("src2")) & (F.col("nth") == F.col("nth2"))).select("slot", "src", "epoch", "block")
+    return slots.join(shuffled.hint("merge"), (F.col("src") == F.col("src2")) & (F.col("nth") == F.col("nth2"))).select("slot", "src", "epoch", "block")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK, fine: int = FINE) -> DataFrame:
@@ -122,7 +123,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("all", F.lit(0))
     plan = planned(targets(keep(sources), weights, budget), block)
     parts = pieces(rows, block).withColumnsRenamed({"src": "src2", "block": "block2"})
-    mix = schedule(plan).join(parts, (F.col("src") == F.col("src2")) & (F.col("block") == F.col("block2"))).select("slot", "epoch", "row", "offset", "words")
+    mix = schedule(plan).join(parts.hint("merge"), (F.col("src") == F.col("src2")) & (F.col("block") == F.col("block2"))).select("slot", "epoch", "row", "offset", "words")
     return rows, plan, mix
 
 
@@ -130,7 +131,7 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     rows, plan, mix = mixed(docs)
     taken = mix.groupBy(F.col("row").alias("row2")).agg(F.sum("words").alias("taken"))
-    out = rows.select("row", "doc_id", "src", "size").join(taken, F.col("row") == F.col("row2"), "left")
+    out = rows.select("row", "doc_id", "src", "size").join(taken.hint("merge"), F.col("row") == F.col("row2"), "left")
     of = plan.select("src", "n", "source_size", F.round("target", 6).alias("target"))
     out = join_spread(out, of, "src", total=plan.agg(F.sum("n")).first()[0] or 0)
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

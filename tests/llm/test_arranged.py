@@ -241,6 +241,27 @@ def test_mixing_schedule_is_even(spark):
     assert {r.slot for r in mix.select("slot").distinct().collect()} == {r.slot for r in told}
 
 
+def test_no_table_of_slots_or_blocks_goes_through_the_driver(spark):
+    """They are exploded from a row for each source, so joins that do not say how would broadcast them, whatever their number."""
+    joins = re.compile(r"(\w+Join) \[([^\]]*)\], \[([^\]]*)\]")
+
+    def planned(df):
+        plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString()).split("== Initial Plan ==")[0]
+        return Counter((m[1], m[2], m[3]) for m in joins.finditer(plan)), plan.count("BroadcastExchange")
+
+    _, plan, mix = mixing.mixed(many(spark, 3))
+    slots = Counter({("SortMergeJoin", a, b): 1 for a, b in (("src, part", "g, p"), ("of, part", "g, p"), ("src, nth", "src2, nth2"))})
+    told, out = mixing.schedule(plan), mixing.report(many(spark, 3))
+    assert planned(told) == (slots, 0)
+    for df in (mix, out):
+        df.collect()  # a plan that changes as it runs keeps to this
+        found, _ = planned(df)
+        assert not slots - found and found["SortMergeJoin", "src, block", "src2, block2"] == 1
+    assert found["SortMergeJoin", "row", "row2"] == 1
+    # what is broadcast has a row for each stretch of the documents, or for each source, and is no larger than it seems
+    assert {k for k in found if k[0] == "BroadcastHashJoin"} <= {("BroadcastHashJoin", "src, part", "g, p"), ("BroadcastHashJoin", "src", "src")}
+
+
 def test_places_do_not_depend_on_stretches(spark, monkeypatch):
     monkeypatch.setattr(common, "STRETCH", 7)
     df = spark.createDataFrame([(k % 5 if k < 60 else 9, f"g{k % 2}") for k in range(100)], "v long, grp string")
